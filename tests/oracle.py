@@ -73,7 +73,7 @@ def main(argv):
         "local[8]",
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"},
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     connection = connect(sf_dir)
     queries = load_queries()
     failures = 0

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from voltmill.plans.telemetry import Tables
 from voltmill.session import ensure_utc
 
-DIGITS = {"d": 6, "r": 9}
+DIGITS = {"d": 6, "r": 12}
 _SPARK_TYPES = {"s": "string", "i": "bigint", "t": "timestamp_ntz", "b": "boolean"}
 _SQL_TYPES = {"s": "VARCHAR", "i": "BIGINT", "t": "TIMESTAMP", "b": "BOOLEAN"}
 
