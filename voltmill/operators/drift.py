@@ -35,7 +35,7 @@ def psi(df: DataFrame, by: Sequence[str], value: str = "value", current: str = "
     edges = (
         exact_quantiles(finite.filter(~F.col("_cur")), by, "_v", probs, bounded_groups=True)
         .groupBy(*by)
-        .agg(F.array_sort(F.collect_set("quantile")).alias("_edges"))
+        .agg(F.sort_array(F.collect_set("quantile")).alias("_edges"))
     )
     # left join: a group without reference rows still gets its zero
     binned = finite.join(F.broadcast(edges), by, "left").withColumn(
@@ -68,7 +68,7 @@ def psi(df: DataFrame, by: Sequence[str], value: str = "value", current: str = "
     )
     return totals.select(
         *by,
-        F.when(enough, F.aggregate(F.array_sort("_bins"), F.lit(0.0), term)).otherwise(F.lit(0.0)).alias("psi"),
+        F.when(enough, F.aggregate(F.sort_array("_bins"), F.lit(0.0), term)).otherwise(F.lit(0.0)).alias("psi"),
         "reference_rows",
         "current_rows",
     )

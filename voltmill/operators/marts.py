@@ -127,7 +127,7 @@ def sparkline(
         .withColumn("_rn", F.row_number().over(newest))
         .filter(F.col("_rn") <= n)
     )
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("_rn")).alias("k"), F.col(value).alias("v"))))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("_rn")).alias("k"), F.col(value).alias("v"))))
     return kept.groupBy("asset_id").agg(F.transform(ordered, lambda x: x["v"]).alias("sparkline"))
 
 

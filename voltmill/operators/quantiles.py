@@ -57,7 +57,7 @@ def exact_quantiles(
         binned.groupBy(*keys, "_bin")
         .agg(F.sum("_c").alias("m"))
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("_bin").alias("b"), "m"))).alias("_bins"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("_bin").alias("b"), "m"))).alias("_bins"))
         .withColumn("_n", F.expr("aggregate(_bins, 0L, (a, x) -> a + x.m)"))
     )
     targets = (

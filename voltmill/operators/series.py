@@ -33,14 +33,18 @@ def number_rows(
     ts: str,
     tiebreak: Sequence[str] = (),
     bucket_seconds: int = BUCKET_SECONDS,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Add ``_bucket`` and the zero-based series position ``_pos``.
 
-    Two shuffles: the rows by (series, bucket), and the bucket counts, which
-    are one row per series and bucket.
+    ``ts`` is a timestamp, or any ordered column when ``bucket`` (a column
+    that grows with it) is given. Two shuffles: the rows by (series, bucket),
+    and the bucket counts, which are one row per series and bucket.
     """
     keys = list(keys)
-    bucketed = df.withColumn("_bucket", epoch_bucket(ts, bucket_seconds))
+    bucketed = df.withColumn(
+        "_bucket", epoch_bucket(ts, bucket_seconds) if bucket is None else bucket
+    )
     offsets = (
         bucketed.groupBy(*keys, "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))

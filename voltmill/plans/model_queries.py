@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voltmill.operators import anomaly, drift, forecast, inspection
-from voltmill.operators.features import build_features
 from voltmill.operators.joins import label_intervals
 from voltmill.plans.feature_queries import FEATURES_SQL, WINDOWS_SQL, scenario_windows
 from voltmill.plans.quality_queries import EVAL_SQL, FILLED_SQL, evaluation
@@ -63,7 +62,7 @@ LONG_FEATURES_SQL = "long_features AS (" + " UNION ALL ".join(
 
 
 def windows(t):
-    return drift.drift_windows(build_features(t.silver))
+    return materialize(drift.drift_windows(t.features), "drift-windows")
 
 
 @query(
@@ -518,7 +517,7 @@ SCALE = ("residual_ratio", "availability", "temperature_c", "wind_speed_ms")
     SELECT event_sequence, {', '.join(f'({c} - {c}_2) / CASE WHEN {c}_3 - {c}_1 = 0 THEN 1 ELSE {c}_3 - {c}_1 END AS {c}_scaled' for c in SCALE)} FROM imputed, q""",
 )
 def _(t):
-    return anomaly.impute_and_scale(anomaly.residuals(t.silver))
+    return anomaly.impute_and_scale(anomaly.residuals(t.silver_table))
 
 
 LABELLED_SQL = f"""collapsed AS (
@@ -642,7 +641,7 @@ baselined AS (
 
 
 def split(t):
-    return forecast.holdout_split(build_features(t.silver))
+    return forecast.holdout_split(t.features)
 
 
 @query(

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltmill.operators.silver import clean_generation
+from voltmill.session import materialize
 from voltmill.sources.tables import read_table
 
 
@@ -35,6 +36,18 @@ class Tables:
         """Deduplicated and flagged readings."""
         return clean_generation(self.telemetry)
 
+    @cached_property
+    def silver_table(self) -> DataFrame:
+        """Silver written once, for plans that read it several times."""
+        return materialize(self.silver, "silver")
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """Feature table written once; models and drift read it several times."""
+        from voltmill.operators.features import build_features
+
+        return materialize(build_features(self.silver_table), "features")
+
     @cached_property
     def assets(self) -> DataFrame:
         return assets_from_events(self.read("events"))
