@@ -108,9 +108,14 @@ def nearest_asof(
         line.select(*by, "_bucket", "_time", "_match"), by, "_time",
         {"_m": F.when(F.col("_match").isNotNull(), F.col("_match"))},
     )
-    ordered = Window.partitionBy(*by, "_bucket").orderBy("_time", "_side")
-    before = F.last("_match", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_match", ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing))
+    inside = Window.partitionBy(*by, "_bucket")
+    running = (Window.unboundedPreceding, 0)
+    before = F.last("_match", ignorenulls=True).over(
+        inside.orderBy("_time", "_side").rowsBetween(*running)
+    )
+    after = F.last("_match", ignorenulls=True).over(
+        inside.orderBy(F.col("_time").desc(), "_side").rowsBetween(*running)
+    )
     placed = (
         line.select("*", before.alias("_before"), after.alias("_after"))
         .filter(F.col("_side") == 1)

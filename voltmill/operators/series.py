@@ -133,13 +133,18 @@ def carry_bounds(
         aggregates.append(F.max_by(column, F.when(column.isNotNull(), F.col(order))).alias(f"_l_{name}"))
         aggregates.append(F.min_by(column, F.when(column.isNotNull(), F.col(order))).alias(f"_f_{name}"))
     summary = df.groupBy(*keys, "_bucket").agg(*aggregates)
-    series = Window.partitionBy(*keys).orderBy("_bucket")
-    before = series.rowsBetween(Window.unboundedPreceding, -1)
-    after = series.rowsBetween(1, Window.unboundedFollowing)
+    # a frame to the end of the partition is recomputed per row, so "after"
+    # runs backwards from the other end instead
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    after = (
+        Window.partitionBy(*keys)
+        .orderBy(F.col("_bucket").desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     columns = [*keys, "_bucket"]
     for name in wanted:
         columns.append(F.last(f"_l_{name}", ignorenulls=True).over(before).alias(f"{name}_before"))
-        columns.append(F.first(f"_f_{name}", ignorenulls=True).over(after).alias(f"{name}_after"))
+        columns.append(F.last(f"_f_{name}", ignorenulls=True).over(after).alias(f"{name}_after"))
     return summary.select(*columns)
 
 

@@ -117,14 +117,16 @@ def fill_short_gaps(
         for c in columns
     }
     bounds = carry_bounds(rows, keys, "_pos", anchors)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_pos")
-    backward = inside.rowsBetween(Window.unboundedPreceding, 0)
-    forward = inside.rowsBetween(0, Window.unboundedFollowing)
-    seen = rows
-    for column in columns:
-        anchor = anchors[f"_a_{column}"]
-        seen = seen.withColumn(f"_p_{column}", F.last(anchor, ignorenulls=True).over(backward))
-        seen = seen.withColumn(f"_n_{column}", F.first(anchor, ignorenulls=True).over(forward))
+    # both directions are running frames: one pass each, in opposite order
+    running = (Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_bucket")
+    earlier = inside.orderBy("_pos").rowsBetween(*running)
+    later = inside.orderBy(F.col("_pos").desc()).rowsBetween(*running)
+    seen = rows.select(
+        "*", *[F.last(anchors[f"_a_{c}"], ignorenulls=True).over(earlier).alias(f"_p_{c}") for c in columns]
+    ).select(
+        "*", *[F.last(anchors[f"_a_{c}"], ignorenulls=True).over(later).alias(f"_n_{c}") for c in columns]
+    )
     joined = seen.join(bounds, [*keys, "_bucket"])
     filled = {}
     for column in columns:
