@@ -31,7 +31,7 @@ def psi(df: DataFrame, by: Sequence[str], value: str = "value", current: str = "
     finite = df.filter(
         F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) != F.lit(float("inf")))
     ).select(*by, F.col(value).alias("_v"), F.col(current).alias("_cur"))
-    probs = [k / bins for k in range(bins + 1)]
+    probs = [k * (1.0 / bins) for k in range(bins)] + [1.0]
     edges = (
         exact_quantiles(finite.filter(~F.col("_cur")), by, "_v", probs, bounded_groups=True)
         .groupBy(*by)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voltmill.operators import governance
 from voltmill.plans.registry import query
 from voltmill.plans.telemetry import SILVER_SQL, TELEMETRY_SQL
-from voltmill.session import new_path
+from voltmill.session import materialize, new_path
 from voltmill.sources import envelopes, publish, tables
 
 HASHED = ("asset_id", "cents", "seq")
@@ -101,7 +101,7 @@ def _(t):
     tampered = chained.withColumn(
         "result", F.when(F.col("seq") % 1700 == 7, "edited").otherwise(F.col("result"))
     )
-    return governance.verify_chain(tampered, block_rows=64)
+    return governance.verify_chain(materialize(tampered, "audit"), block_rows=64)
 
 
 @query(

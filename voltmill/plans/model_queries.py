@@ -30,7 +30,7 @@ windowed AS (
 
 def psi_sql(long: str) -> str:
     """PSI per (technology, feature) over a frame ``long`` (technology, feature, value, is_current)."""
-    probs = ", ".join(str(k / 10) for k in range(11))
+    probs = ", ".join(str(p) for p in [k * 0.1 for k in range(10)] + [1.0])
     return f"""edges AS (
   SELECT technology, feature, list_sort(list_distinct(quantile_cont(value, [{probs}]))) AS e
   FROM {long} WHERE NOT is_current AND value IS NOT NULL GROUP BY 1, 2
