@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -56,7 +58,7 @@ def candidates(seed: int = SEED) -> dict[str, list]:
                 bootstrap=False, **tree
             )
         ],
-        "gradient_boosting": [GBTRegressor(maxIter=30, maxDepth=4, stepSize=0.1, **tree)],
+        "gradient_boosting": [GBTRegressor(maxIter=20, maxDepth=4, stepSize=0.1, **tree)],
     }
 
 
@@ -107,35 +109,71 @@ def fit(
     return Fitted(technology, name, model, medians, columns)
 
 
-def validation_mae(
+def validate(
     train: DataFrame, technology: str, name: str, stages: list, medians: dict[str, float],
     folds: int = 3, gap_hours: int = 24,
-) -> float:
-    """Mean absolute error over rolling-origin folds of the training rows."""
+) -> tuple[float, DataFrame]:
+    """Mean absolute error over rolling-origin folds, and the rows scored there."""
     folded = time_folds(train.filter(F.col("power_mw").isNotNull()), folds, gap_hours)
-    scores = []
+    parts = []
     for fold in range(1, folds + 1):
         rows = folded.filter(F.col("fold") == fold)
         fitted = fit(rows.filter(F.col("role") == "fit"), technology, name, stages, medians=medians)
-        scored = fitted.transform(rows.filter(F.col("role") == "validate"))
-        scores.append(scored.agg(F.avg(F.abs(F.col("power_mw") - F.col("point_mw"))).alias("m")).first().m)
-    known = [s for s in scores if s is not None]
-    return float(np.mean(known)) if known else float("inf")
+        parts.append(fitted.transform(rows.filter(F.col("role") == "validate")))
+    scored = _union(parts).select("technology", "timestamp_utc", "fold", "power_mw", "point_mw")
+    errors = scored.groupBy("fold").agg(F.avg(F.abs(F.col("power_mw") - F.col("point_mw"))).alias("m"))
+    mean = errors.agg(F.avg("m").alias("m")).first().m
+    return (float("inf") if mean is None else float(mean)), scored
 
 
-def conformal_quantiles(scored: DataFrame, probs: Sequence[float] = PROBS) -> DataFrame:
-    """Residual quantiles per (technology, hour): 24 rows per technology."""
+def _union(parts: list[DataFrame]) -> DataFrame:
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def conformal_quantiles(
+    scored: DataFrame, probs: Sequence[float] = PROBS, minimum_rows: int = 30
+) -> DataFrame:
+    """Residual quantiles per (technology, hour): 24 rows per technology.
+
+    Hours with fewer than ``minimum_rows`` residuals take the quantiles of
+    their whole technology; too few residuals give intervals that are too thin.
+    """
     residual = scored.filter(F.col("power_mw").isNotNull()).select(
         "technology",
         F.hour("timestamp_utc").alias("hour"),
         (F.col("power_mw") - F.col("point_mw")).alias("residual"),
     )
-    long = exact_quantiles(residual, ["technology", "hour"], "residual", probs, bounded_groups=True)
-    return long.groupBy("technology", "hour").agg(
-        *[
-            F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(f"_q{int(p * 100)}")
-            for p in probs
-        ]
+    wide = lambda by, prefix: (
+        exact_quantiles(residual, by, "residual", probs, bounded_groups=True)
+        .groupBy(*by)
+        .agg(
+            *[
+                F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(f"{prefix}{int(p * 100)}")
+                for p in probs
+            ]
+        )
+    )
+    hours = residual.groupBy("technology").agg(F.count(F.lit(1)).alias("_all")).select(
+        "technology", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour")
+    )
+    counts = residual.groupBy("technology", "hour").agg(F.count(F.lit(1)).alias("_n"))
+    enough = F.coalesce("_n", F.lit(0)) >= minimum_rows
+    # two technologies and 24 hours: all of these are a few dozen rows
+    return (
+        hours.join(counts, ["technology", "hour"], "left")
+        .join(wide(["technology", "hour"], "_h"), ["technology", "hour"], "left")
+        .join(wide(["technology"], "_t"), "technology")
+        .select(
+            "technology",
+            "hour",
+            *[
+                F.when(enough, F.col(f"_h{int(p * 100)}")).otherwise(F.col(f"_t{int(p * 100)}")).alias(f"_q{int(p * 100)}")
+                for p in probs
+            ],
+        )
     )
 
 
@@ -169,61 +207,64 @@ class Training:
 
 def train_forecasters(
     features: DataFrame, names: Sequence[str] | None = None, days: int = 14, folds: int = 3,
-    gap_hours: int = 24, seed: int = SEED,
+    gap_hours: int = 24, seed: int = SEED, parallelism: int = 5,
 ) -> Training:
     """Train all candidates per technology and keep the best on validation.
 
-    The holdout is read only for the final metrics. The interval offsets come
-    from the training rows.
+    The holdout is read only for the final metrics. The interval offsets are
+    the champion's residual quantiles on the validation folds, rows it was not
+    fitted on. All candidates are scored against the champion's interval.
     """
     split = materialize(holdout_split(features, days), "split")
     stages = candidates(seed)
+    train = {t: split.filter((F.col("technology") == t) & ~F.col("is_test")) for t in RENEWABLE}
+    medians = {t: column_medians(rows, FEATURES) for t, rows in train.items()}
+
+    def attempt(task: tuple[str, str]) -> tuple[float, Fitted, DataFrame]:
+        technology, name = task
+        arguments = (train[technology], technology, name, stages[name], medians[technology])
+        score, scored = validate(*arguments, folds, gap_hours)
+        return score, fit(*arguments[:4], medians=arguments[4]), scored
+
+    # the fits are independent Spark jobs, so several are submitted at a time
+    tasks = [(technology, name) for technology in RENEWABLE for name in names or stages]
+    with ThreadPoolExecutor(parallelism) as pool:
+        fits = list(pool.map(inheritable_thread_target(attempt), tasks))
     champions: dict[str, Fitted] = {}
-    fits: dict[tuple[str, str], tuple[float, Fitted]] = {}
-    for technology in RENEWABLE:
-        train = split.filter((F.col("technology") == technology) & ~F.col("is_test"))
-        medians = column_medians(train, FEATURES)
-        best = float("inf")
-        for name in names or stages:
-            score = validation_mae(train, technology, name, stages[name], medians, folds, gap_hours)
-            fitted = fit(train, technology, name, stages[name], medians=medians)
-            fits[technology, name] = (score, fitted)
-            if score < best or technology not in champions:
-                best, champions[technology] = score, fitted
-
-    in_sample = _by_technology(champions, split.filter(~F.col("is_test")))
-    offsets = materialize(conformal_quantiles(in_sample), "interval-offsets")
+    unseen: dict[str, DataFrame] = {}
+    for _, fitted, scored in sorted(fits, key=lambda item: item[0]):
+        champions.setdefault(fitted.technology, fitted)
+        unseen.setdefault(fitted.technology, scored)
+
+    offsets = materialize(conformal_quantiles(_union(list(unseen.values()))), "interval-offsets")
     evaluation = materialize(
         quantile_intervals(_by_technology(champions, split.filter(F.col("is_test"))), offsets), "evaluation"
     )
-    metrics = None
-    for (technology, name), (score, fitted) in fits.items():
-        test = fitted.transform(split.filter((F.col("technology") == technology) & F.col("is_test")))
-        row = forecast_metrics(
-            quantile_intervals(test, offsets), ("technology",), point="point_mw"
-        ).withColumns(
-            {
-                "model": F.lit(name),
-                "validation_mae_mw": F.lit(score),
-                "validation_folds": F.lit(folds),
-                "validation_gap_hours": F.lit(gap_hours),
-            }
+    rows = []
+    for score, fitted, _ in fits:
+        test = evaluation.filter(F.col("technology") == fitted.technology).drop("point_mw")
+        rows.append(
+            forecast_metrics(fitted.transform(test), ("technology",), point="point_mw").withColumns(
+                {
+                    "model": F.lit(fitted.name),
+                    "validation_mae_mw": F.lit(score),
+                    "validation_folds": F.lit(folds),
+                    "validation_gap_hours": F.lit(gap_hours),
+                }
+            )
         )
-        metrics = row if metrics is None else metrics.unionByName(row)
-    return Training(champions, offsets, materialize(metrics, "metrics"), evaluation)
+    return Training(champions, offsets, materialize(_union(rows), "metrics"), evaluation)
 
 
 def _by_technology(champions: dict[str, Fitted], rows: DataFrame) -> DataFrame:
-    parts = [
-        fitted.transform(rows.filter(F.col("technology") == technology)).withColumn(
-            "model", F.lit(fitted.name)
-        )
-        for technology, fitted in champions.items()
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return _union(
+        [
+            fitted.transform(rows.filter(F.col("technology") == technology)).withColumn(
+                "model", F.lit(fitted.name)
+            )
+            for technology, fitted in champions.items()
+        ]
+    )
 
 
 def fill_request_lags(requests: DataFrame) -> DataFrame:

@@ -46,11 +46,14 @@ def exact_quantiles(
     sketch = values.groupBy(*keys).agg(
         F.percentile_approx("_v", edge_probs, accuracy).alias("_edges")
     )
-    binned = (
-        values.groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .join(small(sketch), keys)
-        .select(*keys, "_v", "_c", F.expr("size(filter(_edges, e -> e < _v))").alias("_bin"))
+    counted = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    bracketed = (
+        counted.join(small(sketch), keys)
+        if by
+        else counted.withColumn("_edges", sketch.select("_edges").scalar())
+    )
+    binned = bracketed.select(
+        *keys, "_v", "_c", F.expr("size(filter(_edges, e -> e < _v))").alias("_bin")
     )
     # at most 2 * len(probs) + 1 bins per group, so they fit one row
     bins = (

@@ -920,3 +920,37 @@ def _(t):
 def _(t):
     rows = forecast.repair_quantiles(raw_quantiles(t.silver)).withColumn("point_mw", F.col("power_mw"))
     return forecast.verify_predictions(rows, FEATURES, FEATURES)
+
+
+# --- images: an embedding is read as an eight pixel wide gray image ---
+
+
+@query(
+    "image_statistics",
+    "vec_id:i mean:d std:d p10:d p50:d p90:d entropy:d skewness:d kurtosis:d edge_share:d mean_gradient:d",
+    """WITH px AS (SELECT vec_id, list_transform(embedding, lambda x: least(greatest(floor((CAST(x AS DOUBLE) + CAST(0.5 AS DOUBLE)) * 255), 0), 255)) AS p FROM embeddings),
+    cells AS (SELECT vec_id, i - 1 AS i, p[i] AS raw, p[i] / 255 AS v, len(p) AS n,
+        CASE WHEN (i - 1) % 8 > 0 THEN p[i - 1] / 255 END AS l, CASE WHEN (i - 1) % 8 < 7 THEN p[i + 1] / 255 END AS r,
+        CASE WHEN i > 8 THEN p[i - 8] / 255 END AS u, CASE WHEN i + 8 <= len(p) THEN p[i + 8] / 255 END AS d
+      FROM px, range(1, 4097) x(i) WHERE i <= len(p)),
+    m AS (SELECT vec_id, avg(v) AS mean, stddev_pop(v) AS std, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.9) AS p90,
+      avg(sqrt(pow(CASE WHEN l IS NULL THEN r - v WHEN r IS NULL THEN v - l ELSE (r - l) / 2 END, 2)
+        + pow(CASE WHEN u IS NULL AND d IS NULL THEN 0 WHEN u IS NULL THEN d - v WHEN d IS NULL THEN v - u ELSE (d - u) / 2 END, 2))) AS mean_gradient,
+      avg(CAST(sqrt(pow(CASE WHEN l IS NULL THEN r - v WHEN r IS NULL THEN v - l ELSE (r - l) / 2 END, 2)
+        + pow(CASE WHEN u IS NULL AND d IS NULL THEN 0 WHEN u IS NULL THEN d - v WHEN d IS NULL THEN v - u ELSE (d - u) / 2 END, 2)) > CAST(0.12 AS DOUBLE) AS INT)) AS edge_share
+      FROM cells GROUP BY vec_id),
+    s AS (SELECT c.vec_id, avg(pow((v - mean) / greatest(std, 1e-8), 3)) AS skewness, avg(pow((v - mean) / greatest(std, 1e-8), 4)) - 3 AS kurtosis
+      FROM cells c JOIN m ON m.vec_id = c.vec_id GROUP BY c.vec_id),
+    e AS (SELECT vec_id, sum(-share * log2(share)) AS entropy FROM (
+        SELECT vec_id, floor(raw / 8) AS b, count(*) / max(n) AS share FROM cells GROUP BY 1, 2) GROUP BY vec_id)
+    SELECT m.*, skewness, kurtosis, entropy FROM m JOIN s ON s.vec_id = m.vec_id JOIN e ON e.vec_id = m.vec_id""",
+)
+def _(t):
+    from voltmill.operators.images import image_statistics
+
+    pixel = lambda x: F.least(F.greatest(F.floor((x.cast("double") + 0.5) * 255).cast("double"), F.lit(0.0)), F.lit(255.0))
+    return image_statistics(
+        t.read("embeddings").select(
+            "vec_id", F.lit(8).alias("width"), F.transform("embedding", pixel).alias("pixels")
+        )
+    )
