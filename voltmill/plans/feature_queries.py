@@ -254,7 +254,7 @@ def scenario_requests(t):
     return t.read("events").select(
         event.alias("request_id"),
         kind.alias("scenario"),
-        F.concat(F.lit("ast-"), F.lpad((user % 13).cast("string"), 2, "0")).alias("asset_id"),
+        F.format_string("ast-%02d", user % 13).alias("asset_id"),
         (event % 40).alias("seed"),
         (1 + event % 104).alias("severity"),
         (1 + event % 170).alias("duration_hours"),

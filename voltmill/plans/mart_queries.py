@@ -415,7 +415,7 @@ RISK_SQL = """risks AS (
 )
 def _(t):
     risks = t.read("part").select(
-        F.concat(F.lit("R-"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("risk_id"),
+        F.format_string("R-%08d", "p_partkey").alias("risk_id"),
         (1 + F.col("p_partkey") % 5).alias("likelihood"),
         (1 + F.col("p_size") % 5).alias("impact"),
     )

@@ -105,7 +105,7 @@ def assets_from_events(events: DataFrame, series: int = 12) -> DataFrame:
         .distinct()
         .select(
             _asset_id(plant).alias("asset_id"),
-            F.concat(F.lit("PL-"), F.lpad(plant.cast("string"), 2, "0")).alias("code"),
+            F.format_string("PL-%02d", plant).alias("code"),
             F.concat(F.lit("Plant "), plant.cast("string")).alias("name"),
             _technology(plant).alias("technology"),
             _region(plant).alias("region"),
@@ -118,7 +118,7 @@ def assets_from_events(events: DataFrame, series: int = 12) -> DataFrame:
 
 
 def _asset_id(plant):
-    return F.concat(F.lit("ast-"), F.lpad(plant.cast("string"), 2, "0"))
+    return F.format_string("ast-%02d", plant)
 
 
 def _technology(plant):
