@@ -28,4 +28,4 @@ def test_entry_contract(spark):
 
     assert contract.entry(spark).count() > 0
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert len(contract.queries()) == len(QUERIES)
+    assert set(QUERIES) <= set(contract.queries())
