@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from voltmill.llm import arrays, pretokens
 
 #: Distinct pretokens, and adjacent pairs of tokens, that a worker remembers before it starts over.
-MEMORY = 700_000
+MEMORY = 400_000
+
+#: Ids decoded at once; one longer list is taken as a whole.
+DECODED_IDS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -244,18 +247,24 @@ def decode(encoded: DataFrame, vocabulary: str, id_column: str = "doc_id") -> Da
         known[list(ranks.values())] = True
         flat = np.frombuffer(b"".join(tokens), np.uint8)
         for batch in batches:
-            column = batch.column(1)
-            bounds = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))))
-            values = column.flatten()
-            ids = values.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            present = ids >= 0
-            if (ids < -1).any() or (ids[present] >= size).any() or not known[ids[present]].all():
-                raise ValueError("an id is not in the vocabulary")
-            counts = np.where(present, lengths[np.maximum(ids, 0)], 0)
-            data = flat[arrays.ragged_positions(begins[np.maximum(ids, 0)], counts)].tobytes()
-            edges = np.concatenate(([0], np.cumsum(counts)))[bounds].tolist()
-            texts = [data[s:e] for s, e in zip(edges, edges[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), column, arrays.binary_column(texts)], ["id", "ids", "decoded"])
+            lists = batch.column(1)
+            stops = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            bounds = np.concatenate(([0], stops))
+            first = 0
+            while first < len(lists):
+                # some ids at a time, as positions of bytes take eight bytes each
+                end = max(int(np.searchsorted(bounds, bounds[first] + DECODED_IDS, side="right")) - 1, first + 1)
+                column = lists.slice(first, end - first)
+                ids = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                present = ids >= 0
+                if (ids < -1).any() or (ids[present] >= size).any() or not known[ids[present]].all():
+                    raise ValueError("an id is not in the vocabulary")
+                counts = np.where(present, lengths[np.maximum(ids, 0)], 0)
+                data = flat[arrays.ragged_positions(begins[np.maximum(ids, 0)], counts)].tobytes()
+                edges = np.concatenate(([0], np.cumsum(counts)))[bounds[first : end + 1] - bounds[first]].tolist()
+                texts = [data[s:e] for s, e in zip(edges, edges[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), column, arrays.binary_column(texts)], ["id", "ids", "decoded"])
+                first = end
 
     rows = encoded.select(F.col(id_column).alias("id"), "ids")
     return rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_column)
