@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltmill.llm import bpe, packing
+from voltmill.llm import bpe, jaccard, packing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +32,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose word shingles agree to four fifths."""
+    return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op8_packing": op8_packing,
+    "op10_jaccard": op10_jaccard,
 }
 SQL: dict[str, str] = {}
