@@ -11,11 +11,11 @@ Its matches tile the text, so it is enough to know where a match starts:
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import regex
 
+from voltmill.llm import arrays
+
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 #: Code points with the Unicode property White_Space.
 _WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -23,8 +23,7 @@ _WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x2
 _CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
 
-@lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
+def _make_classes() -> np.ndarray:
     """Class of every code point."""
     table = np.full(0x110000, _OTHER, np.uint8)
     points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
@@ -38,7 +37,7 @@ def _classes() -> np.ndarray:
 
 def _byte_classes(data: np.ndarray) -> np.ndarray:
     """Class of the character that each byte belongs to."""
-    table = _classes()
+    table = arrays.kept_by_worker("classes of code points", _make_classes)
     classes = table[: 256][data]
     leads = np.flatnonzero(data >= 0xC0)
     if len(leads):

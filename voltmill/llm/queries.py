@@ -8,13 +8,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltmill.llm import bpe, jaccard, packing
+from voltmill.llm import bpe, jaccard, language_model, licenses, packing, quality, sharding, topk, toxicity, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a field fitted to the labelled ones that are not held out."""
+    found = toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans")
+    )
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in 24 shards of a seeded random order, from the written shards."""
+    text = F.coalesce(F.col("record.text"), F.lit(""))
+    return sharding.shuffle_into_shards(documents(spark, sf_dir)).select(
+        F.col("record.doc_id").alias("doc_id"),
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes they decode to, as digests."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -27,19 +49,65 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url, by rule or by the purity of its path template."""
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every document."""
+    found = licenses.scan(documents(spark, sf_dir))
+    base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
+    own = F.transform("matches", lambda m: m["label"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(F.transform("places", lambda p: p["word"])).alias("first_word"),
+        F.array_max(F.transform("places", lambda p: p["word"])).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ",").alias("labels"),
+        "score",
+    )
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector."""
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and whether it is kept."""
+    judged = quality.judge(documents(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of 2048 tokens."""
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by a model of six sevenths of them."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return language_model.score(documents(spark, sf_dir), held_out)
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose word shingles agree to four fifths."""
     return jaccard.jaccard_components(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
+    "op4_urls": op4_urls,
+    "op5_licenses": op5_licenses,
+    "op6_topk": op6_topk,
+    "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_language_model": op9_language_model,
     "op10_jaccard": op10_jaccard,
 }
 SQL: dict[str, str] = {}
