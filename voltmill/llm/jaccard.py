@@ -9,10 +9,11 @@
    k = 2 of these; heavy sets, and light ones that are near enough in size to link with a heavy one, enter the
    inverted lists of single shingles (k = 1), which heavy sets scan. The boundary is the size with the least cost:
    subsets emitted by the light sets plus list entries read for the others.
-4. *Links.* First each class is compared with the smallest class of each of its lists; the links found make
-   components. Then, in every list that still holds several components, each class outside the largest one is compared
-   with all classes of other components. So a list of a million mutual near copies costs a million comparisons, and
-   every pair of a list is either inside one component already or compared.
+4. *Links.* First each class is compared with the head of each of its lists, the class with the most frequent shingles
+   (what many were copied from); the links found make components. Then, in every list that still holds several components, each class outside the largest one is compared
+   with all classes of other components. Pairs of which too few shingles remain behind the key are left out in both
+   rounds; a linked pair passes in the list of its first common shingles. So a list of a million mutual near copies
+   costs a million comparisons, and every pair that can link is inside one component already or compared.
 
 Comparisons are exact intersections of the shared shingles.
 """
@@ -38,6 +39,9 @@ THRESHOLD = 80
 #: Text bytes of a chunk.
 CHUNK_BYTES = 8 << 20
 
+#: Cost of sending a list entry, and of looking at one that shares the list.
+EMIT_COST, READ_COST = 1.0, 0.02
+
 _STEP = 0xC2B2AE3D27D4EB4F
 
 
@@ -183,11 +187,12 @@ def need(n: Column, threshold: int = THRESHOLD) -> Column:
 def classes(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sets (``cls``, ``n``, ``tokens``), each once, and the membership (``id``, ``cls``) of documents.
 
-    Equal sets have all their shingles in common with another document, so size and tokens tell them apart. The class
-    is named by its smallest id.
+    Sets that equal another have all their shingles in common with it, so size and tokens tell them apart; a set with
+    shingles of its own is a class of its own. The class is named by its smallest id.
     """
     able = shared.where("tokens is not null and n > 0")
-    marks = [F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), F.col("tokens")).alias("h2")]
+    whole = F.size("tokens") == F.col("n")
+    marks = [F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), F.when(whole, F.col("tokens")), F.when(~whole, F.col("id"))).alias("h2")]
     members = able.select("id", "n", *marks)
     named = members.groupBy("n", "h1", "h2").agg(F.min("id").alias("cls"))
     membership = members.join(named, ["n", "h1", "h2"]).select("id", "cls")
@@ -196,43 +201,51 @@ def classes(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def boundary(sets: DataFrame, threshold: int = THRESHOLD) -> int:
-    """Largest size of a light set: least sum of subsets emitted and list entries read.
+    """Largest size of a light set: least cost of emitting entries and reading lists.
 
-    Costs are summed by size, in steps of a sixteenth from 64 on, so a few hundred numbers reach the driver.
+    Costs are summed by size, in steps of a sixteenth of a doubling from 64 on, so a few hundred numbers reach the
+    driver.
     """
     prefix = F.col("m") - F.col("need") + 1
-    step = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.floor(F.pow(2.0, F.floor(F.log2(F.col("n").cast("double")) * 16) / 16)))
-    frequency = F.aggregate(
-        F.slice("tokens", 1, prefix), F.lit(0).cast("bigint"), lambda total, t: total + F.shiftright(t, exchange.KEY_BITS)
-    )
-    costs = (
-        sets.groupBy(step.cast("bigint").alias("size"))
-        .agg(F.sum(prefix * (prefix + 1) / 2).alias("subsets"), F.sum(frequency).alias("entries"))
-        .orderBy("size")
-        .collect()
-    )
+    step = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.floor(F.pow(2.0, F.floor(F.log2(F.col("n").cast("double")) * 16) / 16))).cast("bigint")
+    emitted = sets.groupBy(step.alias("size")).agg(F.sum(prefix * (prefix + 1) / 2).alias("subsets"), F.sum(prefix).alias("singles"))
+    single = sets.select(step.alias("size"), F.explode(F.slice("tokens", 1, prefix)).alias("token"))
+    lengths = single.groupBy("token").agg(F.count(F.lit(1)).alias("length"))
+    read = single.join(lengths, "token").groupBy("size").agg(F.sum("length").alias("read"))
+    costs = emitted.join(read, "size", "left").collect()
     best, least = 0, None
-    for limit in [0, *(r["size"] for r in costs)]:
-        cost = sum(r["subsets"] for r in costs if r["size"] <= limit)
-        cost += sum(r["entries"] for r in costs if 100 * r["size"] > threshold * limit)
+    for limit in sorted({0, *(r["size"] for r in costs)}):
+        cost = EMIT_COST * sum(r["subsets"] for r in costs if r["size"] <= limit)
+        cost += sum(EMIT_COST * r["singles"] + READ_COST * (r["read"] or 0) for r in costs if 100 * r["size"] > threshold * limit)
         if least is None or cost < least:
             best, least = limit, cost
     return int(best)
 
 
 def signatures(sets: DataFrame, limit: int, threshold: int = THRESHOLD) -> DataFrame:
-    """``key``, ``cls``, ``n``: subsets of two for sets up to ``limit``, single shingles from the threshold's share of it on."""
+    """List entries: ``key``, ``cls``, ``n``, ``rem`` and ``central``.
+
+    Keys are subsets of two for sets up to ``limit``, and single shingles from the threshold's share of it on. ``rem``
+    counts the shared shingles of the set from the key's first one on.
+    """
     spare = "m - need"
-    subsets = f"""flatten(transform(sequence(1, {spare} + 1), i ->
-        transform(slice(tokens, i + 1, {spare} + 2 - i), y -> xxhash64(tokens[i - 1], y))))"""
-    light = sets.where((F.col("n") <= limit) & (F.col("m") >= 2)).select(F.explode(F.expr(subsets)).alias("key"), "cls", "n")
-    heavy = sets.where(F.col("n") * 100 > threshold * limit).select(F.explode(F.expr(f"slice(tokens, 1, {spare} + 1)")).alias("key"), "cls", "n")
-    return light.unionByName(heavy.withColumn("key", F.xxhash64("key")))
+    subsets = f"""flatten(transform(sequence(1, {spare} + 1), i -> transform(slice(tokens, i + 1, {spare} + 2 - i),
+        y -> struct(xxhash64(tokens[i - 1], y) as key, m - i + 1 as rem))))"""
+    singles = f"transform(slice(tokens, 1, {spare} + 1), (x, i) -> struct(xxhash64(x) as key, m - i as rem))"
+    columns = ["entry.key", "cls", "n", "entry.rem", "central"]
+    light = sets.where((F.col("n") <= limit) & (F.col("m") >= 2)).select("*", F.explode(F.expr(subsets)).alias("entry"))
+    heavy = sets.where(F.col("n") * 100 > threshold * limit).select("*", F.explode(F.expr(singles)).alias("entry"))
+    return light.select(*columns).unionByName(heavy.select(*columns))
+
 
+def _can_link(a: Column, rem_a: Column, b: Column, rem_b: Column, threshold: int) -> Column:
+    """Whether two entries of a list may belong to linked sets that have no common shingle before this key.
 
-def _can_link(a: str, b: str, threshold: int) -> Column:
-    """Size filter: the smaller set is at least the threshold's share of the larger."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
+    The smaller size is at least the threshold's share of the larger, and enough shingles remain. A linked pair passes
+    in the list of its first common shingles.
+    """
+    sizes = F.least(a, b) * 100 >= F.greatest(a, b) * threshold
+    return sizes & (F.least(rem_a, rem_b) * (100 + threshold) >= (a + b) * threshold)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -247,25 +260,23 @@ def link_components(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``node`` and ``root`` of every class that links with another."""
     limit = boundary(sets, threshold)
     emitted = signatures(sets, limit, threshold)
-    lists = emitted.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("head"), F.count(F.lit(1)).alias("entries")).where("entries > 1")
-    entries = materialize(emitted.join(lists, "key").select("key", "cls", "n", "head"), "list-entries")
-    first = materialize(
-        entries.where(_can_link("n", "head.n", threshold) & (F.col("cls") != F.col("head.cls")))
-        .select(F.col("head.cls").alias("a"), F.col("cls").alias("b"))
-        .distinct(),
-        "pairs",
-    )
+    head = F.max_by(F.struct("cls", "n", "rem"), F.struct("central", "cls")).alias("head")
+    lists = emitted.groupBy("key").agg(head, F.count(F.lit(1)).alias("entries")).where("entries > 1").drop("entries")
+    entries = materialize(emitted.drop("central").join(lists, "key"), "list-entries")
+    near_head = _can_link(F.col("n"), F.col("rem"), F.col("head.n"), F.col("head.rem"), threshold) & (F.col("cls") != F.col("head.cls"))
+    pair = [F.least("cls", "head.cls").alias("a"), F.greatest("cls", "head.cls").alias("b")]
+    first = materialize(entries.where(near_head).select(*pair).distinct(), "pairs")
     links = materialize(verify(first, sets, threshold), "verified")
     roots = components(links)
-    rooted = entries.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
+    rooted = entries.drop("head").join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", "rem", F.coalesce("root", "cls").alias("root"))
     sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    split = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    mixed = materialize(rooted.join(split.select("key", F.col("largest.root").alias("main")), "key"), "mixed-lists")
-    outside = mixed.where("root <> main").select("key", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    split = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    mixed = materialize(rooted.join(split.drop("roots"), "key"), "mixed-lists")
+    outside = mixed.where("root <> main").select("key", *(F.col(c).alias(f"o_{c}") for c in ("cls", "n", "rem", "root")))
+    able = _can_link(F.col("o_n"), F.col("o_rem"), F.col("n"), F.col("rem"), threshold)
     second = (
-        outside.join(mixed, "key")
-        .where((F.col("rx") != F.col("root")) & _can_link("nx", "n", threshold))
-        .select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b"))
+        outside.join(mixed, (outside["key"] == mixed["key"]) & (F.col("o_root") != F.col("root")) & able)
+        .select(F.least("o_cls", "cls").alias("a"), F.greatest("o_cls", "cls").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
@@ -283,7 +294,8 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     """
     shared = materialize(shared_shingles(docs, id_column, text_column, words, threshold), "shared")
     one_each, membership = classes(shared)
-    sets = one_each.withColumn("m", F.size("tokens")).withColumn("need", need(F.col("n"), threshold))
+    frequency = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda total, t: total + F.shiftright(t, exchange.KEY_BITS))
+    sets = one_each.withColumns({"m": F.size("tokens"), "need": need(F.col("n"), threshold), "central": frequency / F.col("n")})
     sets = materialize(sets, "sets")
     membership = materialize(membership.distinct(), "membership")
     roots = link_components(sets, threshold)

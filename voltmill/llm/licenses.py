@@ -108,8 +108,9 @@ def rules() -> list[Rule]:
     found.append(Rule("cc0-1.0", r"\bcc0(?:[ -]1\.0)?\b", "cc0", 50, 0.9))
     found.append(Rule("cc0-1.0", r"creativecommons\.org/publicdomain/zero/1\.0", "creativecommons.org", 90, 1.0))
     found.append(Rule("public-domain", r"\b(?:dedicated to|released into|in) the public domain\b", "public domain", 40, 0.7))
-    found.append(Rule("copyright", r"(?:\bcopyright|\(c\)|©)[ \t]*(?:\(c\)|©)?[ \t]*(?:19|20)\d\d\b[^\n]{0,80}", "copyright", 20, 0.4))
+    found.append(Rule("copyright", r"\bcopyright[ \t]*(?:\(c\)|©)?[ \t]*(?:19|20)\d\d\b[^\n]{0,80}", "copyright", 20, 0.4))
     found.append(Rule("copyright", r"\(c\)[ \t]*(?:19|20)\d\d\b[^\n]{0,80}", "(c)", 20, 0.4))
+    found.append(Rule("copyright", r"©[ \t]*(?:19|20)\d\d\b[^\n]{0,80}", "©", 20, 0.4))
     found.append(Rule("mit", r"\bpermission is hereby granted,? free of charge\b", "permission is hereby", 60, 0.9))
     found.append(Rule("bsd", r"\bredistribution and use in source and binary forms\b", "redistribution and use", 60, 0.9))
     found.append(Rule("warranty", r"\bprovided [\"']?as is[\"']?,? without warranty\b", "as is", 20, 0.4))
