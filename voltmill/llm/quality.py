@@ -26,8 +26,9 @@ STEPS = 3
 FLOORS = (0.06, 0.06, 0.08, 0.08)
 #: Documents that vote with the group's language and with all documents on a group's estimate.
 PRIOR = 50
-#: Squared distance beyond which a document is rejected.
-CUT = 60.0
+#: Squared distance beyond which a document is rejected. On labelled samples it lies between the bulk of clean
+#: documents (99.5 % below 70) and that of poor ones (99 % above 110).
+CUT = 100.0
 _BINS_PER_UNIT = 64
 
 
