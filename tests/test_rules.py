@@ -355,25 +355,50 @@ def test_triage(spark):
 # --- governance ---
 
 
-def chain_of(spark, n, block=512):
-    df = spark.createDataFrame(
-        [("c", i, f"user-{i % 3}", "success") for i in range(n)], "chain_id string, seq long, actor string, result string"
-    )
-    return governance.append_events(df, block_rows=block)
+def chain_of(spark, n, edit=None):
+    rows = [("c", i, f"user-{i % 3}", "edited" if i == edit else "success", {"z": str(i), "a": "1"}) for i in range(n)]
+    df = spark.createDataFrame(rows, "chain_id string, seq long, actor string, result string, metadata map<string,string>")
+    return governance.append_events(df.repartition(4))
 
 
-@pytest.mark.parametrize(("n", "block", "bad"), [(2, 512, 0), (100, 16, 37), (100, 16, 48)])
-def test_tampering_is_found(spark, n, block, bad):
-    chain = chain_of(spark, n, block)
-    assert governance.verify_chain(chain, block_rows=block).first().valid
+@pytest.mark.parametrize(("n", "bad"), [(2, 0), (100, 37), (100, 99)])
+def test_tampering_is_found(spark, n, bad):
+    chain = chain_of(spark, n)
+    assert governance.verify_chain(chain).first().valid
     edited = chain.withColumn("result", F.when(F.col("seq") == bad, "edited").otherwise(F.col("result")))
-    row = governance.verify_chain(edited, block_rows=block).first()
+    row = governance.verify_chain(edited).first()
     assert (row.valid, row.first_bad_index) == (False, bad)
 
 
+def test_linked_forgery_changes_all_later_hashes(spark):
+    old, new = ({r.seq: r.event_hash for r in chain_of(spark, 40, edit).collect()} for edit in (None, 3))
+    assert [i for i in old if old[i] == new[i]] == [0, 1, 2]
+
+
+def test_chain_is_plain(spark):
+    import hashlib
+
+    rows = sorted(chain_of(spark, 20).collect(), key=lambda r: r.seq)
+    last = "GENESIS"
+    for r in rows:
+        body = f'{{"actor":"{r.actor}","metadata":{{"a":"1","z":"{r.seq}"}},"result":"{r.result}","seq":{r.seq}}}'
+        digest = hashlib.sha256(body.encode()).hexdigest()
+        assert r.previous_hash == last
+        last = hashlib.sha256(f"{last}\n{digest}".encode()).hexdigest()
+        assert r.event_hash == last
+
+
+def test_canonical_form_ignores_order_at_every_depth(spark):
+    kinds = "m map<string,struct<b:int,a:map<string,int>>>, l array<struct<z:int,y:int>>"
+    first = spark.createDataFrame([({"q": (1, {"x": 1, "w": 2}), "p": None}, [(1, 2)])], kinds)
+    second = spark.createDataFrame([([(2, 1)], {"p": None, "q": ({"w": 2, "x": 1}, 1)})], "l array<struct<y:int,z:int>>, m map<string,struct<a:map<string,int>,b:int>>")
+    texts = {df.select(governance.canonical(["m", "l"], df.schema)).first()[0] for df in (first, second)}
+    assert len(texts) == 1 and '"y":2,"z":1' in texts.pop()
+
+
 def test_removed_event_is_found(spark):
-    chain = chain_of(spark, 40, 8).filter("seq <> 20")
-    assert governance.verify_chain(chain, block_rows=8).first().first_bad_index == 20
+    chain = chain_of(spark, 40).filter("seq <> 20")
+    assert governance.verify_chain(chain).first().first_bad_index == 20
 
 
 def test_genesis(spark):
@@ -488,7 +513,11 @@ def test_envelopes_audit_and_risks(spark, tmp_path):
 
     log = tmp_path / "events.jsonl"
     log.write_text('{"event_id": "1", "actor": "a", "metadata": {"k": "v"}}\n\n{"event_id": "2"}\n')
-    assert tables.read_audit(spark, str(log)).count() == 2
+    rows = tables.read_audit(spark, str(log)).orderBy("line").collect()
+    assert [(r.event_id, r.damaged) for r in rows] == [("1", None), ("2", None)]
+    log.write_text('{"event_id": "1"}\n\n{"event_id": "2", "act\n{}\n')
+    rows = tables.read_audit(spark, str(log)).orderBy("line").collect()
+    assert [r.damaged for r in rows] == [None, '{"event_id": "2", "act', "no event_id"]
     assert tables.read_audit(spark, str(tmp_path / "none.jsonl")).count() == 0
 
     csv = tmp_path / "risks.csv"

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltmill.operators.quality import schema_fingerprint
 from voltmill.operators.series import number_rows
+from voltmill.session import materialize
 from voltmill.sources.tables import file_checksums
 
 GENESIS = "GENESIS"
-BLOCK_ROWS = 512
 SEQ_BUCKET = 100_000
 MAX_DOCUMENT_BYTES = 5 * 1024 * 1024
 
@@ -25,9 +27,30 @@ FORBIDDEN_VALUE = (
 )
 
 
-def canonical(columns: Sequence[str]) -> Column:
-    """JSON of the name-sorted columns; missing values are left out."""
-    return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]))
+def _ordered(value: Column, kind: T.DataType) -> Column:
+    """``value`` with the fields of structs and the entries of maps in the order of their names, at every depth."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        built = F.struct(*[_ordered(value[f.name], f.dataType).alias(f.name) for f in fields])
+        return F.when(value.isNotNull(), built)
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("key"), e["value"].alias("value"))))
+        if isinstance(kind.valueType, (T.StructType, T.MapType, T.ArrayType)):
+            keys = F.array_sort(F.map_keys(value))
+            return F.map_from_arrays(keys.cast("array<string>"), F.transform(keys, lambda k: _ordered(value[k], kind.valueType)))
+        return F.map_from_entries(entries)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.MapType, T.ArrayType)):
+        return F.transform(value, lambda x: _ordered(x, kind.elementType))
+    return value
+
+
+def canonical(columns: Sequence[str], schema: T.StructType | None = None) -> Column:
+    """JSON of the name-sorted columns; missing values are left out.
+
+    With the ``schema`` of the frame, nested structs and maps are sorted too, so equal values give equal text.
+    """
+    kinds = {f.name: f.dataType for f in schema.fields} if schema else {}
+    return F.to_json(F.struct(*[_ordered(F.col(c), kinds[c]).alias(c) if c in kinds else F.col(c) for c in sorted(columns)]))
 
 
 def content_hash(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -37,7 +60,7 @@ def content_hash(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     work is one map-side aggregate.
     """
     chosen = list(columns or df.columns)
-    bits = F.conv(F.substring(F.sha2(canonical(chosen), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    bits = F.conv(F.substring(F.sha2(canonical(chosen, df.schema), 256), 1, 15), 16, 10).cast("decimal(20,0)")
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum(bits), F.lit(0).cast("decimal(30,0)")).alias("_sum"),
@@ -93,107 +116,64 @@ def verify_manifests(spark: SparkSession, path: str, expected: DataFrame, glob:
     )
 
 
-def _body(columns: Sequence[str]) -> Column:
-    """Hashed content of an audit event: everything but the two hashes."""
-    content = [c for c in columns if c not in ("previous_hash", "event_hash")]
-    return canonical(content)
+def _numbered(events: DataFrame, chain: str, seq: str, columns: Sequence[str] | None) -> DataFrame:
+    """Events with their position in the chain and the digest of their content (all but chain and hashes)."""
+    content = [c for c in columns or events.columns if c not in (chain, "previous_hash", "event_hash")]
+    digest = F.sha2(canonical(content, events.schema), 256)
+    bucket = F.floor(F.col(seq) / SEQ_BUCKET).cast("long")
+    return number_rows(events.withColumn("_digest", digest), [chain], seq, bucket=bucket).drop("_bucket")
 
 
-def _link(previous: Column, body: Column) -> Column:
-    return F.sha2(F.concat(previous, F.lit("\n"), body), 256)
+def _link(previous: Column, digest: Column) -> Column:
+    return F.sha2(F.concat(previous, F.lit("\n"), digest), 256)
 
 
-def _positions(events: DataFrame, chain: str, seq: str) -> DataFrame:
-    return number_rows(
-        events, [chain], seq, bucket=F.floor(F.col(seq) / SEQ_BUCKET).cast("long")
-    ).drop("_bucket")
-
-
-def _block_starts(blocks: DataFrame, chain: str) -> DataFrame:
-    """Previous hash of the first event of every block.
-
-    Block 0 starts from GENESIS; any other block starts from a digest of the
-    whole content of the block before it, which needs no sequential pass.
-    """
-    shifted = blocks.select(chain, (F.col("_block") + 1).alias("_block"), F.col("_digest").alias("_before"))
-    return blocks.join(shifted, [chain, "_block"], "left").select(
-        chain, "_block", F.coalesce("_before", F.lit(GENESIS)).alias("_start")
-    )
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash rows (chain, position, digest) in order; only the last hash is carried along."""
+    chain, last = None, ""
+    for batch in batches:
+        previous, hashes = [], []
+        for name, digest in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if name != chain or not last:
+                chain, last = name, GENESIS
+            previous.append(last)
+            last = hashlib.sha256(f"{last}\n{digest}".encode()).hexdigest()
+            hashes.append(last)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(previous), pa.array(hashes)], ["_chain", "_pos", "previous_hash", "event_hash"])
 
 
-def append_events(
-    events: DataFrame, chain: str = "chain_id", seq: str = "seq", block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Link events of every chain in sequence order.
+def append_events(events: DataFrame, chain: str = "chain_id", seq: str = "seq", columns: Sequence[str] | None = None) -> DataFrame:
+    """Link events of every chain in sequence order: each carries the hash of the one before it, the first ``GENESIS``.
 
-    A hash chain is sequential, so each chain is cut into blocks of at most
-    ``block_rows`` events. Inside a block every event carries the hash of the
-    event before it; the first event carries the digest of the previous block.
-    Blocks are bounded arrays folded by ``aggregate`` and run in parallel.
+    The hash covers the previous hash and the digest of the event's content, so changing an event changes all later
+    hashes and the head. A hash chain is sequential by nature: contents are digested in parallel, and only the digests
+    of a chain run through one task, row after row, with nothing held but the last hash.
     """
-    bodies = (
-        _positions(events.withColumn("_body", _body([c for c in events.columns if c != chain])), chain, seq)
-        .withColumn("_block", F.floor(F.col("_pos") / block_rows).cast("long"))
-    )
-    payload = F.struct("_pos", "_body", F.struct(*[F.col(c) for c in events.columns]).alias("_event"))
-    blocks = bodies.groupBy(chain, "_block").agg(F.sort_array(F.collect_list(payload)).alias("_items"))
-    digest = F.sha2(F.array_join(F.transform("_items", lambda x: x["_body"]), "\n"), 256)
-    starts = _block_starts(blocks.select(chain, "_block", digest.alias("_digest")), chain)
-    state = F.struct(F.col("_start").alias("last"), F.array().cast("array<string>").alias("hashes"))
-
-    def advance(acc: Column, item: Column) -> Column:
-        linked = _link(acc["last"], item["_body"])
-        return F.struct(linked.alias("last"), F.concat(acc["hashes"], F.array(linked)).alias("hashes"))
-
-    hashes = F.aggregate("_items", state, advance, lambda acc: acc["hashes"])
-    return (
-        blocks.join(starts, [chain, "_block"])
-        .withColumn("_hashes", hashes)
-        .withColumn(
-            "_previous",
-            F.concat(F.array("_start"), F.slice("_hashes", 1, F.greatest(F.size("_hashes") - 1, F.lit(0)))),
-        )
-        .select(F.explode(F.arrays_zip("_items", "_previous", "_hashes")).alias("_z"))
-        .select(
-            "_z._items._event.*",
-            F.col("_z._previous").alias("previous_hash"),
-            F.col("_z._hashes").alias("event_hash"),
-        )
-    )
+    numbered = materialize(_numbered(events, chain, seq, columns), "events")
+    kind = events.schema[chain].dataType.simpleString()
+    light = numbered.select(F.col(chain).alias("_chain"), "_pos", "_digest")
+    ordered = light.repartition("_chain").sortWithinPartitions("_chain", "_pos")
+    links = ordered.mapInArrow(_fold, f"_chain {kind}, _pos bigint, previous_hash string, event_hash string").withColumnRenamed("_pos", "_at")
+    kept = [c for c in events.columns if c not in ("previous_hash", "event_hash")]
+    same = F.col(chain).eqNullSafe(F.col("_chain")) & (F.col("_pos") == F.col("_at"))
+    return numbered.select(*kept, "_pos").join(links, same).select(*kept, "previous_hash", "event_hash")
 
 
-def verify_chain(
-    events: DataFrame, chain: str = "chain_id", seq: str = "seq", block_rows: int = BLOCK_ROWS
-) -> DataFrame:
+def verify_chain(events: DataFrame, chain: str = "chain_id", seq: str = "seq", columns: Sequence[str] | None = None, damaged: str | None = None) -> DataFrame:
     """Per chain: validity, number of events and index of the first bad event.
 
-    An event is bad when its hash does not match its content, or when its
-    previous hash is not the one stored by its predecessor (for the first
-    event of a block: the digest of the previous block).
+    An event is bad when its hash does not match its content, when its previous hash is not the one stored by its
+    predecessor, or when the column ``damaged`` holds the text that could not be read. Every event is checked by
+    itself against its neighbour, so one chain is spread over all tasks.
     """
-    content = [c for c in events.columns if c != chain]
-    rows = (
-        _positions(events.withColumn("_body", _body(content)), chain, seq)
-        .select(chain, "_pos", "_body", "previous_hash", "event_hash")
-        .withColumn("_block", F.floor(F.col("_pos") / block_rows).cast("long"))
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("_pos", "_body")))
-    digests = rows.groupBy(chain, "_block").agg(
-        F.sha2(F.array_join(F.transform(ordered, lambda x: x["_body"]), "\n"), 256).alias("_digest")
-    )
-    inside = Window.partitionBy(chain, "_block").orderBy("_pos")
-    expected = F.coalesce(F.lag("event_hash").over(inside), F.col("_start"))
-    checked = (
-        rows.join(_block_starts(digests, chain), [chain, "_block"])
-        .withColumn("_expected", expected)
-        .withColumn(
-            "_bad",
-            ~(
-                F.col("previous_hash").eqNullSafe(F.col("_expected"))
-                & F.col("event_hash").eqNullSafe(_link(F.col("previous_hash"), F.col("_body")))
-            ),
-        )
-    )
+    numbered = materialize(_numbered(events, chain, seq, columns), "events")
+    before = numbered.select(F.col(chain).alias("_chain"), (F.col("_pos") + 1).alias("_next"), F.col("event_hash").alias("_stored"))
+    follows = F.col(chain).eqNullSafe(F.col("_chain")) & (F.col("_pos") == F.col("_next"))
+    expected = F.when(F.col("_pos") == 0, F.lit(GENESIS)).otherwise(F.col("_stored"))
+    good = F.col("previous_hash").eqNullSafe(expected) & F.col("event_hash").eqNullSafe(_link(F.col("previous_hash"), F.col("_digest")))
+    if damaged:
+        good = good & F.col(damaged).isNull()
+    checked = numbered.join(before, follows, "left").withColumn("_bad", ~good)
     return checked.groupBy(chain).agg(
         (F.count_if("_bad") == 0).alias("valid"),
         F.min(F.when(F.col("_bad"), F.col("_pos"))).alias("first_bad_index"),

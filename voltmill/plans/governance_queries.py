@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from voltmill.operators import governance
 from voltmill.plans.registry import query
 from voltmill.plans.telemetry import SILVER_SQL, TELEMETRY_SQL
+from voltmill.schemas import AUDIT
 from voltmill.session import materialize, new_path
 from voltmill.sources import envelopes, publish, tables
+from voltmill.sources.tables import read_audit
 
 HASHED = ("asset_id", "cents", "seq")
 HASH_SQL = """hashed AS (
@@ -69,14 +71,11 @@ numbered_audit AS (
   SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY seq) - 1 AS pos,
     '{"action":"' || action || '","actor":"' || actor || '","result":"' || result || '","seq":' || CAST(seq AS VARCHAR) || '}' AS body FROM audit
 ),
-digests AS (SELECT chain_id, pos // 64 AS block, sha256(string_agg(body, chr(10) ORDER BY pos)) AS digest FROM numbered_audit GROUP BY 1, 2),
 linked AS (
-  SELECT n.chain_id, n.seq, n.pos, CASE WHEN n.pos = 0 THEN 'GENESIS' ELSE d.digest END AS previous_hash,
-    sha256(CASE WHEN n.pos = 0 THEN 'GENESIS' ELSE d.digest END || chr(10) || n.body) AS event_hash
-  FROM numbered_audit n LEFT JOIN digests d ON d.chain_id = n.chain_id AND d.block = n.pos // 64 - 1 WHERE n.pos % 64 = 0
+  SELECT chain_id, seq, pos, 'GENESIS' AS previous_hash, sha256('GENESIS' || chr(10) || sha256(body)) AS event_hash FROM numbered_audit WHERE pos = 0
   UNION ALL
-  SELECT n.chain_id, n.seq, n.pos, l.event_hash, sha256(l.event_hash || chr(10) || n.body)
-  FROM linked l JOIN numbered_audit n ON n.chain_id = l.chain_id AND n.pos = l.pos + 1 AND n.pos % 64 <> 0
+  SELECT n.chain_id, n.seq, n.pos, l.event_hash, sha256(l.event_hash || chr(10) || sha256(n.body))
+  FROM linked l JOIN numbered_audit n ON n.chain_id = l.chain_id AND n.pos = l.pos + 1
 )"""
 
 
@@ -86,7 +85,7 @@ linked AS (
     f"WITH RECURSIVE {AUDIT_SQL} SELECT * FROM linked",
 )
 def _(t):
-    return governance.append_events(audit_events(t), block_rows=64)
+    return governance.append_events(audit_events(t))
 
 
 @query(
@@ -97,11 +96,63 @@ def _(t):
     FROM n GROUP BY chain_id""",
 )
 def _(t):
-    chained = governance.append_events(audit_events(t), block_rows=64)
+    chained = governance.append_events(audit_events(t))
     tampered = chained.withColumn(
         "result", F.when(F.col("seq") % 1700 == 7, "edited").otherwise(F.col("result"))
     )
-    return governance.verify_chain(materialize(tampered, "audit"), block_rows=64)
+    return governance.verify_chain(materialize(tampered, "audit"))
+
+
+FORGED_SQL = """SELECT strftime(ts, '%Y-%m-%d') AS chain_id, event_id,
+  row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY event_id) - 1 AS pos FROM events"""
+
+
+@query(
+    "audit_forgery",
+    "chain_id:s events:i changed:i head_changed:b",
+    f"""WITH n AS ({FORGED_SQL}), f AS (SELECT chain_id, count(*) AS events, min(pos) FILTER (WHERE event_id % 1700 = 7) AS first FROM n GROUP BY 1)
+    SELECT chain_id, events, CASE WHEN first IS NULL THEN 0 ELSE events - first END AS changed, first IS NOT NULL AS head_changed FROM f""",
+)
+def _(t):
+    """A forger who links the chain anew after an edit changes every later hash, and the head."""
+    edited = F.when(F.col("seq") % 1700 == 7, "edited").otherwise(F.col("result"))
+    old = governance.append_events(audit_events(t)).select("chain_id", "seq", "event_hash")
+    new = governance.append_events(audit_events(t).withColumn("result", edited)).select("chain_id", "seq", F.col("event_hash").alias("forged"))
+    both = old.join(new, ["chain_id", "seq"])
+    heads = F.max_by(F.col("event_hash") != F.col("forged"), "seq")
+    return both.groupBy("chain_id").agg(
+        F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_hash") != F.col("forged")).alias("changed"), heads.alias("head_changed")
+    )
+
+
+@query(
+    "audit_log",
+    "chain_id:s events:i damaged:i valid:b first_bad_index:i",
+    f"""WITH n AS ({FORGED_SQL}) SELECT chain_id, count(*) AS events, count(*) FILTER (WHERE event_id % 1700 = 7) AS damaged,
+      count(*) FILTER (WHERE event_id % 1700 = 7) = 0 AS valid, min(pos) FILTER (WHERE event_id % 1700 = 7) AS first_bad_index FROM n GROUP BY 1""",
+)
+def _(t):
+    """Chains written as JSON lines, some lines broken off, read back and verified."""
+    event = audit_events(t).select(
+        "chain_id",
+        "seq",
+        F.format_string("%012d", "seq").alias("event_id"),
+        *(F.lit(x).alias(x) for x in ("timestamp", "resource", "resource_version", "correlation_id")),
+        "actor",
+        "action",
+        "result",
+        F.create_map(F.lit("z"), F.col("seq").cast("string"), F.lit("a"), F.col("actor")).alias("metadata"),
+    )
+    content = [f.name for f in AUDIT.fields if f.name not in ("previous_hash", "event_hash")]
+    line = F.to_json(F.struct(*(f.name for f in AUDIT.fields)))
+    broken = F.when(F.col("seq") % 1700 == 7, F.substring(line, 1, 40)).otherwise(line)
+    path = new_path(t.spark, "audit-log")
+    lines = governance.append_events(event, columns=content).select("chain_id", "seq", broken.alias("value"))
+    lines.repartition("chain_id").sortWithinPartitions("chain_id", "seq").select("chain_id", "value").write.partitionBy("chain_id").text(path)
+    log = materialize(read_audit(t.spark, path), "audit-log").withColumn("chain_id", F.regexp_extract("log_file", "chain_id=([^/]+)", 1))
+    checked = governance.verify_chain(log.drop("log_file"), seq="line", columns=content, damaged="damaged")
+    damaged = log.groupBy("chain_id").agg(F.count("damaged").alias("damaged"))
+    return checked.join(damaged, "chain_id").select("chain_id", "events", "damaged", "valid", "first_bad_index")
 
 
 @query(

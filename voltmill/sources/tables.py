@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltmill.schemas import AUDIT, RISKS
 
@@ -116,11 +117,21 @@ def verify_profile(
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Audit log in JSON lines; blank lines and a missing file give no rows."""
+    """Audit log in JSON lines, with ``log_file``, ``line`` and ``damaged``.
+
+    ``line`` grows in the order of a file's lines. A line that is no valid event keeps its text in ``damaged``, so that
+    verification reports it; blank lines and a missing file give no rows.
+    """
+    schema = T.StructType([*AUDIT.fields, T.StructField("damaged", T.StringType())])
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], AUDIT)
-    return spark.read.schema(AUDIT).json(path).filter(F.col("event_id").isNotNull())
+        return spark.createDataFrame([], schema).withColumns({"log_file": F.lit(""), "line": F.lit(0).cast("bigint")}).limit(0)
+    read = spark.read.schema(schema).option("columnNameOfCorruptRecord", "damaged").option("recursiveFileLookup", True).json(path)
+    # rows of a block come in the order of its lines, and a line takes a byte at least
+    placed = read.select("*", F.col("_metadata.file_path").alias("log_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    number = F.row_number().over(Window.partitionBy("log_file", "_block").orderBy("_row"))
+    lost = F.when(F.col("damaged").isNull() & F.col("event_id").isNull(), F.lit("no event_id")).otherwise(F.col("damaged"))
+    return placed.withColumns({"line": (F.col("_block") + number).cast("bigint"), "damaged": lost}).drop("_block", "_row")
 
 
 def read_risks(spark: SparkSession, path: str) -> DataFrame:
