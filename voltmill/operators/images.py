@@ -17,8 +17,12 @@ QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image files as (file, width, height, pixels); colours become luminance."""
-    raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    """Image files as (file, width, height, pixels, rejection); colours become luminance.
+
+    A file that cannot be decoded has a rejection and no pixels.
+    """
+    raw = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    able = F.col("width") > 0
     count = F.col("width") * F.col("height")
     byte = lambda at: F.conv(F.hex(F.substring(F.col("data"), at, F.lit(1))), 16, 10).cast("double")
     # bytes are stored blue, green, red
@@ -30,9 +34,10 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     gray = lambda i: F.when(F.col("nChannels") == 1, byte(i + 1)).otherwise(colour(i))
     return raw.select(
         F.col("origin").alias("file"),
-        "width",
-        "height",
-        F.transform(F.sequence(F.lit(0), count - 1), gray).alias("pixels"),
+        F.when(able, F.col("width")).alias("width"),
+        F.when(able, F.col("height")).alias("height"),
+        F.when(able, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), gray)).alias("pixels"),
+        F.when(~F.coalesce(able, F.lit(False)), F.lit("UNDECODABLE")).alias("rejection"),
     )
 
 

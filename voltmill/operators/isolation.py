@@ -36,21 +36,18 @@ def draw_samples(
 ) -> DataFrame:
     """At most ``sample`` rows per tree, chosen by key hashes.
 
-    Every row has one hash per tree when the table is small. In a large table
-    a first hash picks a few candidates per sample and a second one deals them
-    out, so most rows are dropped where they are read.
+    A row is a candidate of each tree by a hash of its own, with twice the
+    share that the sample needs; the others are dropped where they are read.
+    Of the candidates the first ``sample`` by another hash are taken. The rule
+    is the same at every size of the table.
     """
     rows = df.select(*key, *columns)
     total = rows.count()
     parts = [F.col(k) for k in key]
-    if total <= 4 * trees * sample:
-        dealt = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    else:
-        share = 2.0 * trees * sample / total
-        unit = F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-        dealt = rows.filter(unit < share).withColumn(
-            "tree", F.pmod(F.xxhash64(*parts, F.lit(seed + 1)), F.lit(trees)).cast("int")
-        )
+    share = min(1.0, 2.0 * sample / max(total, 1))
+    unit = lambda tree: F.pmod(F.xxhash64(*parts, tree, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    able = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: unit(tree) < share)
+    dealt = rows.withColumn("tree", F.explode(able))
     order = Window.partitionBy("tree").orderBy(F.xxhash64(*parts, "tree", F.lit(seed + 2)), *parts)
     return (
         dealt.withColumn("_rn", F.row_number().over(order))

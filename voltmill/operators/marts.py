@@ -280,12 +280,13 @@ def fleet_totals(assets: DataFrame) -> DataFrame:
 
 
 def class_histogram(df: DataFrame, column: str, classes: Sequence[str]) -> DataFrame:
-    """Count per class, zero for classes without rows."""
+    """Count per class, zero for classes without rows; rows of no known class count as ``other``."""
     spark = df.sparkSession
     domain = spark.createDataFrame(
-        [(name, position) for position, name in enumerate(classes)], f"{column} string, position int"
+        [(name, position) for position, name in enumerate([*classes, "other"])], f"{column} string, position int"
     )
-    counts = df.filter(F.col(column).isin(*classes)).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    known = F.when(F.col(column).isin(*classes), F.col(column)).otherwise("other")
+    counts = df.groupBy(known.alias(column)).agg(F.count(F.lit(1)).alias("n"))
     # the domain is a fixed short list
     return (
         F.broadcast(domain)

@@ -134,20 +134,23 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def conformal_quantiles(
-    scored: DataFrame, probs: Sequence[float] = PROBS, minimum_rows: int = 30
+    scored: DataFrame, probs: Sequence[float] = PROBS
 ) -> DataFrame:
     """Residual quantiles per (technology, hour): 24 rows per technology.
 
-    Hours with fewer than ``minimum_rows`` residuals take the quantiles of
-    their whole technology; too few residuals give intervals that are too thin.
+    An hour takes the residuals of itself and of both neighbours, so thin hours
+    do not give thin intervals; an hour without any takes its technology's.
     """
     residual = scored.filter(F.col("power_mw").isNotNull()).select(
         "technology",
         F.hour("timestamp_utc").alias("hour"),
         (F.col("power_mw") - F.col("point_mw")).alias("residual"),
     )
-    wide = lambda by, prefix: (
-        exact_quantiles(residual, by, "residual", probs, bounded_groups=True)
+    near = residual.withColumn(
+        "hour", F.explode(F.transform(F.array(F.lit(23), F.lit(0), F.lit(1)), lambda step: (F.col("hour") + step) % 24))
+    )
+    wide = lambda frame, by, prefix: (
+        exact_quantiles(frame, by, "residual", probs, bounded_groups=True)
         .groupBy(*by)
         .agg(
             *[
@@ -159,18 +162,15 @@ def conformal_quantiles(
     hours = residual.groupBy("technology").agg(F.count(F.lit(1)).alias("_all")).select(
         "technology", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour")
     )
-    counts = residual.groupBy("technology", "hour").agg(F.count(F.lit(1)).alias("_n"))
-    enough = F.coalesce("_n", F.lit(0)) >= minimum_rows
     # two technologies and 24 hours: all of these are a few dozen rows
     return (
-        hours.join(counts, ["technology", "hour"], "left")
-        .join(wide(["technology", "hour"], "_h"), ["technology", "hour"], "left")
-        .join(wide(["technology"], "_t"), "technology")
+        hours.join(wide(near, ["technology", "hour"], "_h"), ["technology", "hour"], "left")
+        .join(wide(residual, ["technology"], "_t"), "technology")
         .select(
             "technology",
             "hour",
             *[
-                F.when(enough, F.col(f"_h{int(p * 100)}")).otherwise(F.col(f"_t{int(p * 100)}")).alias(f"_q{int(p * 100)}")
+                F.coalesce(f"_h{int(p * 100)}", f"_t{int(p * 100)}").alias(f"_q{int(p * 100)}")
                 for p in probs
             ],
         )
@@ -281,7 +281,7 @@ def fill_request_lags(requests: DataFrame) -> DataFrame:
 def score_batch(
     requests: DataFrame, champions: dict[str, Fitted], offsets: DataFrame, approvals: DataFrame | None = None
 ) -> DataFrame:
-    """Score forecast requests; requests without an approved model carry a reason.
+    """Score forecast requests; requests without an approved model or a daily lag carry a reason.
 
     P50 is the point forecast where it lies inside [P10, P90].
     """
@@ -289,8 +289,10 @@ def score_batch(
     scored = quantile_intervals(_by_technology(champions, ready), offsets)
     inside = F.col("point_mw").between(F.col("p10_mw"), F.col("p90_mw"))
     scored = scored.withColumn("p50_mw", F.when(inside, F.col("point_mw")).otherwise(F.col("p50_mw")))
+    outputs = ("point_mw", "p10_mw", "p50_mw", "p90_mw")
+    lagless = F.when(F.col("lag_24h_mw").isNull(), F.lit("MISSING_DAILY_LAG"))
     if approvals is None:
-        return scored.withColumn("rejection", F.lit(None).cast("string"))
+        return scored.withColumn("rejection", lagless).withColumns({c: F.when(F.col("rejection").isNull(), F.col(c)) for c in outputs})
     granted = approvals.filter(F.col("approval_status") == "approved").select(
         "technology", F.col("model").alias("_approved")
     )
@@ -298,9 +300,8 @@ def score_batch(
     reason = F.when(F.col("_approved").isNull(), "MODEL_NOT_APPROVED").when(
         F.col("_approved") != F.col("model"), "MODEL_ARTIFACT_MISMATCH"
     )
-    outputs = ("point_mw", "p10_mw", "p50_mw", "p90_mw")
     return (
-        joined.withColumn("rejection", reason)
+        joined.withColumn("rejection", F.coalesce(reason, lagless))
         .withColumns({c: F.when(F.col("rejection").isNull(), F.col(c)) for c in outputs})
         .drop("_approved")
     )

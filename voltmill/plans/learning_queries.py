@@ -64,9 +64,7 @@ def _(t):
         [("solar", "elastic_net", "approved"), ("wind", "elastic_net", "pending")],
         "technology string, model string, approval_status string",
     )
-    requests = t.features.filter(F.col("technology").isin("solar", "wind")).filter(
-        F.col("lag_24h_mw").isNotNull()
-    )
+    requests = t.features.filter(F.col("technology").isin("solar", "wind"))
     return models.score_batch(requests, training.champions, training.offsets, approvals)
 
 

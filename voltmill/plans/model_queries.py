@@ -399,8 +399,8 @@ def _(t):
 @query(
     "class_counts",
     "label:s position:i n:i",
-    """SELECT label, position, count(d.lang) AS n FROM (VALUES ('normal', 0, 'en'), ('microcrack', 1, 'fr'), ('hotspot', 2, 'de'), ('soiling', 3, 'xx')) c(label, position, lang)
-    LEFT JOIN documents d ON d.lang = c.lang GROUP BY 1, 2""",
+    """SELECT label, position, count(d.known) AS n FROM (VALUES ('normal', 0, 'en'), ('microcrack', 1, 'fr'), ('hotspot', 2, 'de'), ('soiling', 3, 'xx'), ('other', 4, '?')) c(label, position, lang)
+    LEFT JOIN (SELECT CASE WHEN lang IN ('en', 'fr', 'de') THEN lang ELSE '?' END AS known FROM documents) d ON d.known = c.lang GROUP BY 1, 2""",
 )
 def _(t):
     from voltmill.operators.marts import class_counts
@@ -484,7 +484,7 @@ def _(t):
     "severity_counts",
     "severity:s position:i n:i",
     f"""WITH {ANOMALY_SQL} SELECT c.severity, position, count(i.severity) AS n
-    FROM (VALUES ('critical', 0), ('high', 1), ('medium', 2), ('low', 3)) c(severity, position)
+    FROM (VALUES ('critical', 0), ('high', 1), ('medium', 2), ('low', 3), ('other', 4)) c(severity, position)
     LEFT JOIN incidents i ON i.severity = c.severity GROUP BY 1, 2""",
 )
 def _(t):

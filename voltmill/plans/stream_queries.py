@@ -48,6 +48,33 @@ def _(t):
     return t.spark.read.parquet(gold)
 
 
+@query("stream_gold_correction", GOLD_SPEC, f"WITH {GOLD_SQL} SELECT * FROM gold WHERE extract(day FROM date_hour) <> 10")
+def _(t):
+    """A second batch finds every reading of the tenth day out of range; the mart loses that day."""
+    path = new_path(t.spark, "landing")
+    wrong = t.telemetry.where(F.dayofmonth("timestamp_utc") == 10).withColumns(
+        {"power_mw": F.lit(-5.0), "ingested_at": F.col("ingested_at") + F.expr("INTERVAL 1 DAY"), "technology": F.lit("wind")}
+    )
+    gold = new_path(t.spark, "gold")
+    handler = ingest.refresh_gold(new_path(t.spark, "bronze"), gold)
+    for rows in (t.telemetry, wrong):
+        rows.coalesce(4).write.mode("append").parquet(path)
+        stream = ingest.bronze_stream(t.spark, path, t.telemetry.schema).drop("_ingested_at", "_source_file")
+        ingest.run_batches(stream, handler, f"{gold}-checkpoint")
+    return t.spark.read.parquet(gold)
+
+
+@query("stream_late_merge", GOLD_SPEC, f"WITH {GOLD_SQL} SELECT * FROM gold")
+def _(t):
+    """Punctual rows make the mart first; late ones are merged into their hours afterwards."""
+    main, late, bronze, gold = (new_path(t.spark, x) for x in ("main", "late", "bronze", "gold"))
+    ingest.run_batches(telemetry_stream(t), ingest.split_late(main, late, 45 * 60), new_path(t.spark, "checkpoint"))
+    refresh = ingest.refresh_gold(bronze, gold)
+    refresh(t.spark.read.parquet(main).drop("batch_id"), 0)
+    ingest.merge_late(late, bronze, gold)(t.spark, 0)
+    return t.spark.read.parquet(gold)
+
+
 @query(
     "stream_hourly",
     "date_hour:t technology:s energy_mwh:d actual_mw:d expected_mw:d asset_count:i",

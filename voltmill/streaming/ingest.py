@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from voltmill.operators.marts import portfolio_hourly
 from voltmill.operators.silver import clean_generation
+from voltmill.session import materialize
 
 
 def evolved_schema(spark: SparkSession, path: str) -> StructType:
@@ -67,32 +68,51 @@ def run_batches(df: DataFrame, handler: Callable[[DataFrame, int], None], checkp
 def refresh_gold(bronze: str, gold: str, include_battery: bool = True) -> Callable[[DataFrame, int], None]:
     """Batch handler that keeps the hourly mart equal to a full recompute.
 
-    The batch is stored under its own id, so a repeated batch replaces itself.
-    Only the days the batch touches are read again, deduplicated and written
-    over their own partitions; late and repeated readings therefore land in
-    the right hour, and exact distinct counts stay possible.
+    Bronze is kept by event date, with the batch inside each date, so a
+    repeated batch replaces itself and only the days that a batch touches are
+    listed and read. Every touched day is replaced in the mart, and one whose
+    readings are all invalid by now is removed from it; late and repeated
+    readings land in the right hour, and exact distinct counts stay possible.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        dated = batch.withColumn("event_date", F.to_date("timestamp_utc"))
-        dated.write.mode("overwrite").partitionBy("event_date").parquet(f"{bronze}/batch_id={batch_id}")
-        stored = spark.read.option("basePath", bronze).schema(dated.schema).parquet(f"{bronze}/batch_id=*")
-        touched = spark.read.schema(dated.schema).parquet(f"{bronze}/batch_id={batch_id}").select("event_date").distinct()
-        rows = stored.join(touched, "event_date", "left_semi").drop("event_date")
-        mart = portfolio_hourly(clean_generation(rows), include_battery)
-        (
-            mart.withColumn("event_date", F.to_date("date_hour"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .option("compression", "zstd")
-            .partitionBy("event_date")
-            .parquet(gold)
-        )
+        dated = batch.withColumns({"event_date": F.to_date("timestamp_utc"), "batch_id": F.lit(batch_id)})
+        _replace_partitions(dated, bronze, "event_date", "batch_id")
+        # one row for each day of a batch
+        days = [r[0] for r in spark.read.schema(dated.schema).parquet(bronze).where(F.col("batch_id") == batch_id).select("event_date").distinct().collect() if r[0]]
+        rows = spark.read.schema(dated.schema).parquet(bronze).where(F.col("event_date").isin(days)).drop("event_date", "batch_id")
+        mart = portfolio_hourly(clean_generation(rows), include_battery).withColumn("event_date", F.to_date("date_hour"))
+        mart = materialize(mart, "mart-days")
+        _replace_partitions(mart, gold, "event_date")
+        for day in set(days) - {r[0] for r in mart.select("event_date").distinct().collect()}:
+            _remove_folder(spark, f"{gold}/event_date={day}")
 
     return handle
 
 
+def _replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    writer.partitionBy(*keys).parquet(path)
+
+
+def _remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a partition folder of a table of our own, if it is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def merge_late(late: str, bronze: str, gold: str, include_battery: bool = True) -> Callable[[SparkSession, int], None]:
+    """Merge a table of late rows (see ``split_late``) into Bronze and the mart by the hours they belong to."""
+    refresh = refresh_gold(bronze, gold, include_battery)
+
+    def merge(spark: SparkSession, run: int) -> None:
+        # runs are numbered apart from the batches of the punctual side
+        refresh(spark.read.parquet(late).drop("batch_id"), -1 - run)
+
+    return merge
+
+
 def dedup_stream(
     df: DataFrame,
     delay: str = "2 hours",
@@ -115,11 +135,14 @@ def split_late(main: str, late: str, delay_seconds: int) -> Callable[[DataFrame,
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         delayed = F.unix_micros("ingested_at") - F.unix_micros("timestamp_utc") > delay_seconds * 1_000_000
-        marked = batch.withColumn("_late", F.coalesce(delayed, F.lit(False)))
-        for path, wanted in ((main, False), (late, True)):
-            marked.filter(F.col("_late") == wanted).drop("_late").write.mode("overwrite").parquet(
-                f"{path}/batch_id={batch_id}"
-            )
+        marked = batch.withColumn("_late", F.coalesce(delayed, F.lit(False))).persist()
+        try:
+            for path, wanted in ((main, False), (late, True)):
+                marked.filter(F.col("_late") == wanted).drop("_late").write.mode("overwrite").parquet(
+                    f"{path}/batch_id={batch_id}"
+                )
+        finally:
+            marked.unpersist()
 
     return handle
 
