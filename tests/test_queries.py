@@ -8,19 +8,14 @@ from voltmill.plans import load_queries
 
 QUERIES = load_queries()
 CHECKED = [name for name, q in QUERIES.items() if q.sql is not None]
-# fitted models are covered by test_models.py on the same code
-ROWS_ONLY = ["json_shape", "published_documents", "stream_silence"]
+# queries whose answer is empty on the smallest tables
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.mark.parametrize("name", CHECKED)
 def test_equals_sql(spark, oracle, name):
     problem = tool.compare(spark, oracle, QUERIES[name], SMALL)
-    assert problem in ("", "no rows on both sides")
-
-
-@pytest.mark.parametrize("name", ROWS_ONLY)
-def test_returns_rows(spark, name):
-    assert QUERIES[name].run(spark, SMALL).limit(1).count() == 1
+    assert problem == "" or (name in MAY_BE_EMPTY and problem == "no rows on both sides")
 
 
 def test_entry_contract(spark):

@@ -106,10 +106,3 @@ def integrate_energy(
         .withColumn("energy_integral_mwh", F.col(power) * F.col("interval_hours"))
         .drop("_previous")
     )
-
-
-def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") -> DataFrame:
-    """Vector column for MLlib."""
-    from pyspark.ml.feature import VectorAssembler
-
-    return VectorAssembler(inputCols=list(columns), outputCol=output, handleInvalid="keep").transform(df)

@@ -72,9 +72,6 @@ def flow_progress(events: DataFrame, details: str = "details", kind: str = "flow
     )
 
 
-def json_field(column: Column | str, path: str) -> Column:
-    return F.get_json_object(column, path)
-
 
 def regions(assets: DataFrame) -> DataFrame:
     """Distinct regions in order."""

@@ -235,11 +235,15 @@ def kpis(
         F.max("timestamp_utc").alias("data_through"),
     )
     scalar = lambda df, column: df.agg(column.alias("v")).scalar()
+    # one pass over each frame: its figures travel as one struct
+    fleet = F.struct(F.count_if(F.col("status") == "online").alias("online"), F.count(F.lit(1)).alias("total"))
+    active = F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("mwh_at_risk"), F.lit(0.0)).alias("mwh"))
+    weekly = weekly.withColumns({"_fleet": scalar(assets, fleet), "_active": scalar(incidents, active)})
     columns = {
-        "assets_online": scalar(assets, F.count_if(F.col("status") == "online")),
-        "assets_total": scalar(assets, F.count(F.lit(1))),
-        "active_anomalies": scalar(incidents, F.count(F.lit(1))),
-        "mwh_at_risk": scalar(incidents, F.coalesce(F.sum("mwh_at_risk"), F.lit(0.0))),
+        "assets_online": F.col("_fleet.online"),
+        "assets_total": F.col("_fleet.total"),
+        "active_anomalies": F.col("_active.n"),
+        "mwh_at_risk": F.col("_active.mwh"),
     }
     if forecast is not None:
         columns["forecast_24h_mwh"] = scalar(
@@ -247,7 +251,7 @@ def kpis(
         )
     if champions is not None:
         columns["forecast_nmae"] = scalar(champions, F.avg("nmae") * 100)
-    result = weekly.withColumns(columns)
+    result = weekly.withColumns(columns).drop("_fleet", "_active")
     clock = now if now is not None else F.current_timestamp()
     minutes = F.floor((F.unix_seconds(clock) - F.unix_seconds("data_through")) / 60)
     return result.withColumn("data_freshness_minutes", F.greatest(minutes, F.lit(0)))
@@ -405,10 +409,6 @@ def risk_matrix(risks: DataFrame) -> DataFrame:
     )
 
 
-def risk_cells(risks: DataFrame) -> DataFrame:
-    """Members of every matrix cell as rows."""
-    return risks.select("likelihood", "impact", "risk_id", "title", "status")
-
 
 def evidence_counts(checks: DataFrame) -> DataFrame:
     """Passed and total checks over rows (check_id, passed)."""

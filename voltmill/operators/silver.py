@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voltmill.operators.series import BUCKET_SECONDS, carry_bounds, number_rows
 from voltmill.schemas import GAP_COLUMNS
+from voltmill.session import materialize
 
 KEYS = ("asset_id", "timestamp_utc")
 # Tolerances of the physical range rule.
@@ -104,10 +105,11 @@ def fill_short_gaps(
     reading repeats the last reading; a gap without an earlier one stays.
 
     Readings next to a bucket edge are carried over it by ``carry_bounds``, so
-    no task holds more than one bucket of a series.
+    no task holds more than one bucket of a series. The numbered rows are
+    stored once, as bounds and frames both read them.
     """
     keys = list(keys)
-    rows = number_rows(df, keys, ts, bucket_seconds=bucket_seconds)
+    rows = materialize(number_rows(df, keys, ts, bucket_seconds=bucket_seconds), "numbered")
     seconds = F.unix_seconds(F.col(ts))
     anchors = {
         f"_a_{c}": F.when(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_queries", "mart_queries", "feature_queries", "model_queries", "governance_queries", "learning_queries", "stream_queries")
+MODULES = ("quality_queries", "mart_queries", "feature_queries", "model_queries", "governance_queries", "learning_queries", "stream_queries", "file_queries")
 
 
 def load_queries():

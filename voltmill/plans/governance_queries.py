@@ -390,19 +390,3 @@ def _(t):
         F.min("min_timestamp").alias("min_timestamp"),
         F.max("max_timestamp").alias("max_timestamp"),
     ).withColumn("passed", check.select("passed").scalar())
-
-
-@query(
-    "published_documents",
-    "document:s outcome:s files:i",
-)
-def _(t):
-    from voltmill.operators import marts
-
-    path = new_path(t.spark, "public")
-    frames = {"market": marts.market_hourly(t.silver), "mix": marts.energy_mix(t.silver)}
-    files = publish.publish(frames, path, "2024-01-31")
-    outcome = governance.verify_manifests(t.spark, f"{path}/latest", files, "*.json")
-    return outcome.groupBy(
-        F.regexp_extract("file", r"/latest/([^/]+)/", 1).alias("document"), "outcome"
-    ).agg(F.count(F.lit(1)).alias("files"))

@@ -123,7 +123,7 @@ ASSET_ROWS_WITH = f"WITH {RECENT_SQL}, {ASSETS_SQL}, {SPARK_SQL}, {ASSET_ROWS_SQ
 
 
 def fleet(t):
-    return marts.asset_rows(t.assets, t.silver, marts.metric_mwh_at_risk(t.silver))
+    return marts.asset_rows(t.assets, t.silver_table, marts.metric_mwh_at_risk(t.silver_table))
 
 
 @query(
@@ -250,7 +250,7 @@ def _(t):
     FROM captured, reference""",
 )
 def _(t):
-    return marts.capture_rates(t.silver)
+    return marts.capture_rates(t.silver_table)
 
 
 @query(
@@ -270,7 +270,7 @@ def _(t):
 def _(t):
     risk = marts.metric_mwh_at_risk(t.silver).filter(F.col("mwh_at_risk") > 100)
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    return marts.kpis(t.assets, t.silver, risk, now=now)
+    return marts.kpis(t.assets, t.silver_table, risk, now=now)
 
 
 @query(

@@ -370,6 +370,12 @@ def _(t):
     return quality.freshness(t.silver, "timestamp_utc")
 
 
-@query("json_shape", "shape_hash:s event_type:s n:i")
+@query(
+    "json_shape",
+    "shape_hash:s event_type:s n:i",
+    """WITH typed AS (SELECT event_type, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN 'int' WHEN json_type(props, '$.k') = 'DOUBLE' THEN 'float'
+      ELSE 'str' END AS kind FROM events)
+    SELECT sha256('{"k":"' || kind || '"}') AS shape_hash, event_type, count(*) AS n FROM typed GROUP BY 1, 2""",
+)
 def _(t):
     return quality.shape_report(t.read("events"), "props", ["event_type"])

@@ -41,30 +41,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-TELEMETRY = _struct(
-    event_sequence=T.LongType(),
-    asset_id=T.StringType(),
-    technology=T.StringType(),
-    region=T.StringType(),
-    timestamp_utc=T.TimestampType(),
-    ingested_at=T.TimestampType(),
-    installed_capacity_mw=T.DoubleType(),
-    power_mw=T.DoubleType(),
-    expected_power_mw=T.DoubleType(),
-    energy_mwh=T.DoubleType(),
-    availability=T.DoubleType(),
-    irradiance_wm2=T.DoubleType(),
-    temperature_c=T.DoubleType(),
-    cloud_cover_fraction=T.DoubleType(),
-    wind_speed_ms=T.DoubleType(),
-    price_eur_mwh=T.DoubleType(),
-    curtailment_flag=T.BooleanType(),
-    anomaly_type=T.StringType(),
-    source_id=T.StringType(),
-    ingestion_run_id=T.StringType(),
-    is_synthetic=T.BooleanType(),
-)
-
+# The file formats of audit logs and risk registers.
 AUDIT = _struct(
     event_id=T.StringType(),
     timestamp=T.StringType(),
@@ -93,14 +70,6 @@ RISKS = _struct(
     evidence=T.StringType(),
 )
 
-REQUEST_LOG = _struct(
-    client=T.StringType(),
-    ts=T.TimestampType(),
-    request_id=T.LongType(),
-    status_code=T.IntegerType(),
-    latency_s=T.DoubleType(),
-)
-
 # The four published record contracts.
 CONTRACTS: dict[str, dict] = {
     "generation": {

@@ -136,7 +136,7 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
 
 def read_risks(spark: SparkSession, path: str) -> DataFrame:
     """Risk register with header and integer scores."""
-    return spark.read.option("header", True).option("enforceSchema", False).schema(RISKS).csv(path)
+    return spark.read.option("header", True).option("enforceSchema", False).option("escape", "\"").schema(RISKS).csv(path)
 
 
 def newest(df: DataFrame, ts: str, n: int, *tiebreak: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +33,11 @@ def silence(df: DataFrame, max_silence_s: int, now: Column, ts: str = "timestamp
 def freshness_monitor(df: DataFrame, max_silence_s: int, ts: str = "timestamp_utc", delay: str = "0 seconds") -> DataFrame:
     """Stream of silence alerts: an asset without readings for too long.
 
-    State is one timestamp per asset; the alert fires from an event-time timer.
+    State is one timestamp per asset. A gap between two readings is reported
+    whether they come in one batch or in two; while nothing follows, an
+    event-time timer reports it as soon as the watermark has passed it. So the
+    alerts do not depend on how readings are batched, as long as an asset's
+    batches come in the order of time.
     """
 
     def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -42,8 +47,14 @@ def freshness_monitor(df: DataFrame, max_silence_s: int, ts: str = "timestamp_ut
             yield pd.DataFrame({"asset_id": [key[0]], "last_seen_s": [last], "silent": [True]})
             return
         last = state.get[0] if state.exists else -1
+        gaps = []
         for batch in batches:
-            last = max(last, int(batch["_seen_s"].max()))
+            seen = np.unique(batch["_seen_s"].to_numpy())
+            before = np.concatenate(([last if last >= 0 else seen[0]], seen[:-1]))
+            gaps += before[seen - before > max_silence_s].tolist()
+            last = max(last, int(seen[-1]))
+        if gaps:
+            yield pd.DataFrame({"asset_id": [key[0]] * len(gaps), "last_seen_s": gaps, "silent": [True] * len(gaps)})
         state.update((last,))
         deadline = (last + max_silence_s) * 1000
         state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
