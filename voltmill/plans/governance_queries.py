@@ -238,9 +238,7 @@ DOCUMENT_PATTERNS = {
     ),
 )
 def _(t):
-    return governance.scan_sensitive(
-        t.read("documents").select("text", "source", "lang"), value_patterns=DOCUMENT_PATTERNS
-    )
+    return governance.scan_sensitive(t.read("documents"), value_patterns=DOCUMENT_PATTERNS)
 
 
 @query(
@@ -331,8 +329,7 @@ def _(t):
     FROM lineitem JOIN range(1, 10) r(i) ON i <= l_linenumber CROSS JOIN (VALUES (0), (1)) v(d) WHERE l_orderkey % 5 = 2""",
 )
 def _(t):
-    rows = payloads(t).filter(F.col("order_key") % 5 == 2)
-    return envelopes.flatten_generation_mix(rows, keep=("order_key",))
+    return envelopes.flatten_generation_mix(payloads(t), keep=("order_key",))
 
 
 @query(

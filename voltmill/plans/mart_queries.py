@@ -175,7 +175,7 @@ def _(t):
 @query("search_rows", "event_id:i event_type:s", """SELECT event_id, event_type FROM events
     WHERE event_type = 'purchase' OR contains(lower(props), 'purchase')""")
 def _(t):
-    return filters.search_rows(t.read("events").select("event_id", "event_type", "props"), "PURCHASE")
+    return filters.search_rows(t.read("events"), "PURCHASE")
 
 
 @query(

@@ -65,7 +65,8 @@ filled AS (
     f"WITH {FILLED_SQL} SELECT * FROM filled",
 )
 def _(t):
-    return silver.fill_short_gaps(t.silver)
+    # five-day buckets, so that readings are carried over several edges
+    return silver.fill_short_gaps(t.silver, bucket_seconds=5 * 86_400)
 
 
 @query(
