@@ -48,7 +48,9 @@ class Encoder:
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
         self.shorter: dict[int, int] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: keys of pairs are (left + 1) * base + right, which are smaller than tuples
+        self.base = max(ranks.values()) + 1
+        self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.ends: dict[int, list[tuple[bytes, int, int]]] = {}
         self.heads: dict[int, list[tuple[bytes, int, int]]] = {}
@@ -97,7 +99,7 @@ class Encoder:
             if found is None:
                 found = self.whole[right] = self.merge(self.tokens[right]) == [right]
             return found
-        found = self.pairs.get((left, right))
+        found = self.pairs.get((left + 1) * self.base + right)
         if found is None:
             ends = self.ends.get(left)
             if ends is None:
@@ -117,7 +119,7 @@ class Encoder:
                     break
             if len(self.pairs) >= MEMORY:
                 self.pairs.clear()
-            self.pairs[left, right] = found
+            self.pairs[(left + 1) * self.base + right] = found
         return found
 
     def encode(self, data: bytes) -> list[int]:
@@ -130,14 +132,14 @@ class Encoder:
         for end, (rank, length) in self.automaton.iter(data.decode("latin-1")):
             longest[end + 1 - length] = rank  # ends ascend, so the longest comes last
         hopeless = bytearray(size + 1)
-        sizes, pairs, shorter = self.sizes, self.pairs, self.shorter
+        sizes, pairs, shorter, base = self.sizes, self.pairs, self.shorter, self.base
         ids: list[int] = []
         at, token, left = 0, longest[0], -1
         while at < size:
             while token >= 0:
                 end = at + sizes[token]
                 if not hopeless[end]:
-                    fits = pairs.get((left, token))
+                    fits = pairs.get((left + 1) * base + token)
                     if fits is None:
                         fits = self._fits(left, token)
                     if fits:

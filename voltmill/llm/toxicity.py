@@ -254,14 +254,15 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, train: Column, id_column: str, text_column: str, label_column: str) -> tuple[list[str], list[int]]:
     """Bounded sample of labelled documents, the first of each class in the order of a hash of the id."""
     known = labels.where(F.col(label_column).isin(0, 1)).groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).alias("label"))
-    rows = docs.where(train).select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).where("text is not null")
-    joined = rows.join(known, "id").withColumn("turn", F.xxhash64(F.col("id").cast("string")))
-    before = Window.orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, 0)
-    picked = []
-    for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
-        drawn = joined.where(F.col("label") == label).orderBy("turn", "text").limit(most)
-        bounded = drawn.withColumn("bytes", F.sum(F.octet_length("text")).over(before)).where(F.col("bytes") <= SAMPLE_BYTES)
-        picked += bounded.select("text", "label", "turn").collect()
+    ids = docs.where(train).select(F.col(id_column).alias("id")).join(known, "id").distinct()
+    turned = ids.withColumn("turn", F.xxhash64(F.col("id").cast("string")))
+    drawn = [turned.where(F.col("label") == label).orderBy("turn", "id").limit(most) for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).where("text is not null")
+    # the drawn ids are bounded, so the texts stay where they are
+    joined = rows.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id")
+    before = Window.partitionBy("label").orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, 0)
+    bounded = joined.withColumn("bytes", F.sum(F.octet_length("text")).over(before)).where(F.col("bytes") <= SAMPLE_BYTES)
+    picked = bounded.select("text", "label", "turn").collect()
     picked.sort(key=lambda r: (r["turn"], r["text"]))
     return [r["text"] for r in picked], [int(r["label"]) for r in picked]
 
