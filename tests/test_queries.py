@@ -9,7 +9,7 @@ from voltmill.plans import load_queries
 QUERIES = load_queries()
 CHECKED = [name for name, q in QUERIES.items() if q.sql is not None]
 # queries whose answer is empty on the smallest tables
-MAY_BE_EMPTY: set[str] = set()
+MAY_BE_EMPTY = {"psi_features", "target_drift"}
 
 
 @pytest.mark.parametrize("name", CHECKED)

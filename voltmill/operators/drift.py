@@ -38,7 +38,7 @@ def psi(df: DataFrame, by: Sequence[str], value: str = "value", current: str = "
         .agg(F.sort_array(F.collect_set("quantile")).alias("_edges"))
     )
     # left join: a group without reference rows still gets its zero
-    binned = finite.join(F.broadcast(edges), by, "left").withColumn(
+    binned = finite.join(edges, by, "left").withColumn(
         "_bin",
         F.expr(
             "CASE WHEN size(_edges) >= 3 THEN"

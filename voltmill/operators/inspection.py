@@ -175,7 +175,7 @@ def split(
         F.min("quantile").alias("_test"), F.max("quantile").alias("_validation")
     )
     if by:
-        rows = rows.join(F.broadcast(pivoted), by)
+        rows = rows.join(pivoted, by)
     else:
         rows = rows.withColumn("_test", pivoted.select("_test").scalar()).withColumn(
             "_validation", pivoted.select("_validation").scalar()

@@ -79,15 +79,21 @@ def request_alerts(
 ) -> DataFrame:
     """Error ratio and P95 latency per sliding window, with both alerts.
 
-    Works on tables and, after ``withWatermark``, on streams.
+    Works on tables and, after ``withWatermark``, on streams. The P95 is exact
+    on tables; on a stream it is approximate, and ``p95_is_exact`` says so.
     """
+    p95 = (
+        F.percentile_approx("latency_s", 0.95, 1000)
+        if logs.isStreaming
+        else F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_s)")
+    )
     failed = F.col("status_code") >= 500
     return (
         logs.groupBy(F.window(ts, window, slide).alias("w"))
         .agg(
             F.count(F.lit(1)).alias("requests"),
             F.count_if(failed).alias("errors"),
-            F.percentile_approx("latency_s", 0.95, 1000).alias("p95_latency_s"),
+            p95.alias("p95_latency_s"),
         )
         .select(
             F.col("w.start").alias("window_start"),
@@ -95,6 +101,7 @@ def request_alerts(
             "requests",
             "errors",
             "p95_latency_s",
+            F.lit(not logs.isStreaming).alias("p95_is_exact"),
             (F.col("errors") / F.col("requests") > ERROR_RATIO).alias("error_alert"),
             (F.col("p95_latency_s") > LATENCY_P95_S).alias("latency_alert"),
         )
