@@ -17,6 +17,7 @@ forgets what was before, and the sequence is folded into blocks whose 2 x 2 prod
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -251,8 +252,8 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, train: Column, id_column: str, text_column: str, label_column: str) -> tuple[list[str], list[int]]:
-    """Bounded sample of labelled documents, the first of each class in the order of a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, train: Column, id_column: str, text_column: str, label_column: str) -> DataFrame:
+    """Bounded sample of labelled documents (``text``, ``label``, ``turn``), the first of each class by a hash of the id."""
     known = labels.where(F.col(label_column).isin(0, 1)).groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).alias("label"))
     ids = docs.where(train).select(F.col(id_column).alias("id")).join(known, "id").distinct()
     turned = ids.withColumn("turn", F.xxhash64(F.col("id").cast("string")))
@@ -262,9 +263,26 @@ def sample(docs: DataFrame, labels: DataFrame, train: Column, id_column: str, te
     joined = rows.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id")
     before = Window.partitionBy("label").orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, 0)
     bounded = joined.withColumn("bytes", F.sum(F.octet_length("text")).over(before)).where(F.col("bytes") <= SAMPLE_BYTES)
-    picked = bounded.select("text", "label", "turn").collect()
-    picked.sort(key=lambda r: (r["turn"], r["text"]))
-    return [r["text"] for r in picked], [int(r["label"]) for r in picked]
+    return bounded.select("text", F.col("label").cast("int").alias("label"), "turn")
+
+
+def fit_sample(rows: DataFrame) -> Model:
+    """Fit in one task, which the sample's bounds allow; the driver gets the model alone."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("turn", "ascending"), ("text", "ascending")])
+        model = fit(table.column("text").to_pylist(), table.column("label").to_pylist())
+        used = np.flatnonzero(model.weights)
+        parts = (used, model.weights[used], model.bias, model.transition, model.first, model.curve)
+        return pa.table({"model": pa.array([pickle.dumps(parts)], pa.binary())})
+
+    found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(run, "model binary").collect()
+    if not found:
+        return fit([], [])
+    used, values, bias, transition, first, curve = pickle.loads(bytes(found[0]["model"]))
+    weights = np.zeros(SLOTS)
+    weights[used] = values
+    return Model(weights, bias, transition, first, curve)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -323,5 +341,5 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
     """Fit on the labelled documents that are not held out, then score all."""
-    model = fit(*sample(docs, labels, ~held_out(id_column), id_column, text_column, label_column))
+    model = fit_sample(sample(docs, labels, ~held_out(id_column), id_column, text_column, label_column))
     return score(docs, model, id_column, text_column)
