@@ -194,7 +194,8 @@ def classes(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = F.size("tokens") == F.col("n")
     marks = [F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), F.when(whole, F.col("tokens")), F.when(~whole, F.col("id"))).alias("h2")]
     members = able.select("id", "n", *marks)
-    named = members.groupBy("n", "h1", "h2").agg(F.min("id").alias("cls"))
+    # written first, so that the join below deals both sides and may split a class of very many copies
+    named = materialize(members.groupBy("n", "h1", "h2").agg(F.min("id").alias("cls")), "classes")
     membership = members.join(named, ["n", "h1", "h2"]).select("id", "cls")
     one_each = able.select("id", "n", "tokens").join(named.select(F.col("cls").alias("id")), "id", "left_semi")
     return one_each.dropDuplicates(["id"]).withColumnRenamed("id", "cls"), membership
