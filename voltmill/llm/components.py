@@ -16,7 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     with the logarithm of the largest component. Loops and repeated links do no harm; no links give an empty table.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    while True:
+    before = _fingerprint(edges)
+    while before[0]:
         low = edges.groupBy("u").agg(F.min("v").alias("low"))
         # larger node u keeps its smallest neighbour, the others are linked to that one
         joined = edges.join(low, "u")
@@ -30,11 +31,15 @@ def components(links: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        after = materialize(small, "links")
-        same = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        before = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = after
-        if same == before:
-            return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
+        edges = materialize(small, "links")
+        now = _fingerprint(edges)
+        if now == before:
+            break
+        before = now
+    stars = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Number of links and a sum of their hashes; equal when nothing has changed."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
