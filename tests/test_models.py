@@ -34,7 +34,7 @@ def telemetry(spark):
 
 @pytest.fixture(scope="module")
 def training(telemetry):
-    return models.train_forecasters(features.build_features(telemetry), ["ridge", "random_forest"])
+    return models.train_forecasters(features.build_features(telemetry), ["ridge", "random_forest"], sizes=models.QUICK)
 
 
 def test_training_ranks_candidates_and_beats_persistence(training):
@@ -77,7 +77,7 @@ def test_folds_keep_a_gap(telemetry):
 @pytest.mark.parametrize("name", ["ridge", "random_forest", "extra_trees", "gradient_boosting"])
 def test_exported_arrays_predict_like_the_model(spark, telemetry, name):
     rows = features.build_features(telemetry).filter((F.col("technology") == "wind") & F.col("lag_168h_mw").isNotNull())
-    fitted = models.fit(rows, "wind", name, models.candidates()[name])
+    fitted = models.fit(rows, "wind", name, models.candidates(sizes=models.QUICK)[name])
     exported = models.export_model(fitted, spark)
     sample = rows.orderBy("timestamp_utc").limit(40)
     scored = fitted.transform(sample).orderBy("timestamp_utc").collect()

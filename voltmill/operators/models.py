@@ -33,9 +33,24 @@ SEED = 20260728
 PROBS = (0.1, 0.5, 0.9)
 HOURS = 48
 NIGHT_SHARE = 0.002
+#: Assets that a task forecasts together.
+ASSETS_AT_ONCE = 256
 
 
-def candidates(seed: int = SEED) -> dict[str, list]:
+@dataclass(frozen=True)
+class Sizes:
+    """Trees and depths of the tree candidates."""
+
+    forest: tuple[int, int] = (70, 16)
+    extra: tuple[int, int] = (70, 18)
+    boosting: tuple[int, int] = (130, 4)
+
+
+#: Sizes that train in seconds, for the registered queries.
+QUICK = Sizes((40, 10), (40, 10), (20, 4))
+
+
+def candidates(seed: int = SEED, sizes: Sizes = Sizes()) -> dict[str, list]:  # noqa: B008 - frozen
     """Estimator stages per candidate.
 
     MLlib has no extra-trees or histogram boosting: a forest over all rows
@@ -49,16 +64,16 @@ def candidates(seed: int = SEED) -> dict[str, list]:
         "elastic_net": [scale, LinearRegression(regParam=0.015, elasticNetParam=0.2, **linear)],
         "random_forest": [
             RandomForestRegressor(
-                numTrees=40, maxDepth=10, minInstancesPerNode=3, featureSubsetStrategy="0.8", **tree
+                numTrees=sizes.forest[0], maxDepth=sizes.forest[1], minInstancesPerNode=3, featureSubsetStrategy="0.8", **tree
             )
         ],
         "extra_trees": [
             RandomForestRegressor(
-                numTrees=40, maxDepth=10, minInstancesPerNode=3, featureSubsetStrategy="onethird",
+                numTrees=sizes.extra[0], maxDepth=sizes.extra[1], minInstancesPerNode=3, featureSubsetStrategy="0.8",
                 bootstrap=False, **tree
             )
         ],
-        "gradient_boosting": [GBTRegressor(maxIter=20, maxDepth=4, stepSize=0.1, **tree)],
+        "gradient_boosting": [GBTRegressor(maxIter=sizes.boosting[0], maxDepth=sizes.boosting[1], stepSize=0.1, **tree)],
     }
 
 
@@ -207,7 +222,7 @@ class Training:
 
 def train_forecasters(
     features: DataFrame, names: Sequence[str] | None = None, days: int = 14, folds: int = 3,
-    gap_hours: int = 24, seed: int = SEED, parallelism: int = 5,
+    gap_hours: int = 24, seed: int = SEED, parallelism: int = 5, sizes: Sizes = Sizes(),  # noqa: B008 - frozen
 ) -> Training:
     """Train all candidates per technology and keep the best on validation.
 
@@ -216,7 +231,7 @@ def train_forecasters(
     fitted on. All candidates are scored against the champion's interval.
     """
     split = materialize(holdout_split(features, days), "split")
-    stages = candidates(seed)
+    stages = candidates(seed, sizes)
     train = {t: split.filter((F.col("technology") == t) & ~F.col("is_test")) for t in RENEWABLE}
     medians = {t: column_medians(rows, FEATURES) for t, rows in train.items()}
 
@@ -358,19 +373,24 @@ def export_model(fitted: Fitted, spark) -> dict:
     }
 
 
-def predict_arrays(model: dict, row: np.ndarray) -> float:
-    """Prediction of one feature row from exported arrays."""
-    x = np.where(np.isnan(row), model["medians"], row)
+def predict_arrays(model: dict, rows: np.ndarray) -> np.ndarray:
+    """Predictions of feature rows from exported arrays, all rows of a step at once."""
+    x = np.atleast_2d(rows)
+    x = np.where(np.isnan(x), model["medians"], x)
     if model["kind"] == "linear":
-        return float(np.dot(model["weights"], x) + model["intercept"])
-    total = 0.0
+        return x @ model["weights"] + model["intercept"]
+    total, every = np.zeros(len(x)), np.arange(len(x))
     for weight, tree in zip(model["weights"], model["trees"], strict=True):
-        node = 0
-        while tree["left"][node] >= 0:
-            goes_left = x[tree["feature"][node]] <= tree["threshold"][node]
-            node = tree["left"][node] if goes_left else tree["right"][node]
+        node = np.zeros(len(x), dtype=int)
+        while True:
+            inner = every[tree["left"][node] >= 0]
+            if len(inner) == 0:
+                break
+            at = node[inner]
+            goes_left = x[inner, tree["feature"][at]] <= tree["threshold"][at]
+            node[inner] = np.where(goes_left, tree["left"][at], tree["right"][at])
         total += weight * tree["value"][node]
-    return float(total)
+    return total
 
 
 def forecast_inputs(telemetry: DataFrame, hours: int = HOURS) -> DataFrame:
@@ -399,56 +419,76 @@ def forecast_inputs(telemetry: DataFrame, hours: int = HOURS) -> DataFrame:
     history = (
         rows.withColumn("_issue", issue)
         .filter(F.col("timestamp_utc") > F.col("_issue") - F.expr("INTERVAL 168 HOURS"))
-        .select("asset_id", F.col("timestamp_utc").alias("target_ts"), "power_mw", F.lit(0).alias("horizon_hours"))
+        .join(latest.select("asset_id", F.col("_l.technology").alias("_now")), "asset_id")
+        .select("asset_id", F.col("_now").alias("technology"), F.col("timestamp_utc").alias("target_ts"), "power_mw", F.lit(0).alias("horizon_hours"))
     )
     return future.drop("_reference", "matched_ts").withColumn("power_mw", F.lit(None).cast("double")).unionByName(
         history, allowMissingColumns=True
     )
 
 
-def _roll(models: dict[str, dict]):
+def _roll(models: dict[str, dict], hours: int):
+    """Forecast of a group of assets of one technology, hour by hour for all of them together."""
+    weather = ["irradiance_wm2", "temperature_c", "cloud_cover_fraction", "wind_speed_ms", "availability"]
+
     def roll(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("target_ts")
-        past = pdf[pdf["horizon_hours"] == 0]
-        known = {
-            ts: float(v) for ts, v in zip(past["target_ts"], past["power_mw"], strict=True) if pd.notna(v)
-        }
-        out = []
-        for step in pdf[pdf["horizon_hours"] > 0].itertuples(index=False):
-            at, capacity = step.target_ts, float(step.installed_capacity_mw)
-            earlier = lambda h, at=at: known.get(at - pd.Timedelta(hours=h))
-            fallback = step.matched_power_mw
-            recent_values = [v for v in (earlier(h) for h in range(1, 25)) if v is not None]
-            choose = lambda value, other: other if value is None else value
-            row = np.array(
+        technology = pdf["technology"].dropna().iloc[0]
+        targets = pdf[pdf["horizon_hours"] > 0].sort_values(["asset_id", "horizon_hours"])
+        past = pdf[(pdf["horizon_hours"] == 0) & pdf["power_mw"].notna()]
+        assets = targets["asset_id"].unique()
+        place = {asset: i for i, asset in enumerate(assets)}
+        first = targets["target_ts"].min()
+        # one week of readings up to the issue hour, then the forecast
+        known = np.full((len(assets), 168 + hours), np.nan)
+        back = (first - past["target_ts"]).dt.total_seconds().to_numpy()
+        usable = (back % 3600 == 0) & (back <= 168 * 3600) & (back > 0)
+        rows = past["asset_id"].map(place).to_numpy(dtype=float)
+        usable &= ~np.isnan(rows)
+        known[rows[usable].astype(int), 168 - (back[usable] // 3600).astype(int)] = past["power_mw"].to_numpy(dtype=float)[usable]
+        grid = lambda column: targets[column].to_numpy(dtype=float).reshape(len(assets), hours)
+        columns = {c: grid(f"matched_{c}") for c in (*weather, "power_mw", "expected_power_mw")}
+        last, capacity = grid("last_power_mw")[:, 0], grid("installed_capacity_mw")[:, 0]
+        times = targets["target_ts"].iloc[:hours]
+        raw_points = np.empty((len(assets), hours))
+        for step in range(hours):
+            at, now = times.iloc[step], 168 + step
+            lag = lambda h, other, now=now: np.where(np.isnan(known[:, now - h]), other, known[:, now - h])
+            day = known[:, now - 24 : now]
+            seen = (~np.isnan(day)).sum(axis=1)
+            mean = np.where(seen > 0, np.nansum(day, axis=1) / np.maximum(seen, 1), np.nan)
+            calendar = (
+                np.sin(2 * np.pi * at.hour / 24),
+                np.cos(2 * np.pi * at.hour / 24),
+                np.sin(2 * np.pi * at.dayofyear / 365.25),
+                np.cos(2 * np.pi * at.dayofyear / 365.25),
+            )
+            week_before = columns["power_mw"][:, step]
+            x = np.column_stack(
                 [
-                    np.sin(2 * np.pi * at.hour / 24),
-                    np.cos(2 * np.pi * at.hour / 24),
-                    np.sin(2 * np.pi * at.dayofyear / 365.25),
-                    np.cos(2 * np.pi * at.dayofyear / 365.25),
-                    step.matched_irradiance_wm2,
-                    step.matched_temperature_c,
-                    step.matched_cloud_cover_fraction,
-                    step.matched_wind_speed_ms,
-                    step.matched_availability,
-                    choose(earlier(1), step.last_power_mw),
-                    choose(earlier(24), fallback),
-                    choose(earlier(168), fallback),
-                    np.mean(recent_values) if recent_values else np.nan,
-                ],
-                dtype=float,
+                    *(np.full(len(assets), c) for c in calendar),
+                    *(columns[c][:, step] for c in weather),
+                    lag(1, last),
+                    lag(24, week_before),
+                    lag(168, week_before),
+                    mean,
+                ]
             )
-            raw = predict_arrays(models[step.technology], row)
-            adjusted = min(max(raw, 0.0), capacity)
-            expected = step.matched_expected_power_mw
-            if step.technology == "solar" and pd.notna(expected) and expected <= capacity * NIGHT_SHARE:
-                adjusted = 0.0
-            known[at] = adjusted
-            out.append((at, step.asset_id, step.technology, int(step.horizon_hours), raw, adjusted, capacity))
+            raw = predict_arrays(models[technology], x)
+            adjusted = np.clip(raw, 0.0, capacity)
+            if technology == "solar":
+                adjusted[columns["expected_power_mw"][:, step] <= capacity * NIGHT_SHARE] = 0.0
+            raw_points[:, step] = raw
+            known[:, now] = adjusted
         return pd.DataFrame(
-            out,
-            columns=["timestamp_utc", "asset_id", "technology", "horizon_hours", "raw_point_mw",
-                     "adjusted_point_mw", "installed_capacity_mw"],
+            {
+                "timestamp_utc": targets["target_ts"].to_numpy(),
+                "asset_id": targets["asset_id"].to_numpy(),
+                "technology": technology,
+                "horizon_hours": targets["horizon_hours"].to_numpy(),
+                "raw_point_mw": raw_points.ravel(),
+                "adjusted_point_mw": known[:, 168:].ravel(),
+                "installed_capacity_mw": targets["installed_capacity_mw"].to_numpy(),
+            }
         )
 
     return roll
@@ -461,13 +501,17 @@ def forecast_recursive(
     """Recursive 1 to ``hours`` ahead forecast per asset with intervals.
 
     Every step needs the step before it, so an asset runs in one task, on at
-    most 168 hourly readings and ``hours`` target rows. Assets run in parallel.
+    most 168 hourly readings and ``hours`` target rows. Groups of about
+    ``ASSETS_AT_ONCE`` assets run in parallel, each step for a whole group.
     ``telemetry`` holds one reading per asset and hour (Silver).
     """
     spark = telemetry.sparkSession
     models = {technology: export_model(fitted, spark) for technology, fitted in champions.items()}
     names = F.create_map(*[F.lit(x) for t, f in champions.items() for x in (t, f.name)])
-    rolled = forecast_inputs(telemetry, hours).groupBy("asset_id").applyInPandas(_roll(models), FUTURE_SCHEMA)
+    inputs = forecast_inputs(telemetry, hours)
+    fleet = telemetry.agg(F.approx_count_distinct("asset_id")).first()[0]
+    part = F.pmod(F.xxhash64("asset_id"), F.lit(1 + fleet // ASSETS_AT_ONCE)).alias("part")
+    rolled = inputs.groupBy("technology", part).applyInPandas(_roll(models, hours), FUTURE_SCHEMA)
     banded = quantile_intervals(rolled.withColumn("point_mw", F.col("adjusted_point_mw")), offsets)
     # a dark solar hour has no spread either
     dark = (F.col("technology") == "solar") & (F.col("adjusted_point_mw") == 0)
@@ -491,7 +535,7 @@ CHALLENGER_FEATURES = (
 )
 
 
-def train_challenger(silver: DataFrame, days: int = 14, trees: int = 60) -> DataFrame:
+def train_challenger(silver: DataFrame, days: int = 14, trees: int = 120, depth: int = 30) -> DataFrame:
     """One model for the whole portfolio on raw features; its holdout error as one row."""
     from voltmill.operators.governance import content_hash
 
@@ -504,7 +548,7 @@ def train_challenger(silver: DataFrame, days: int = 14, trees: int = 60) -> Data
     cutoff = rows.agg((F.max("timestamp_utc") - F.expr(f"INTERVAL {int(days)} DAYS")).alias("c")).scalar()
     marked = rows.withColumn("is_test", F.col("timestamp_utc") >= cutoff)
     forest = RandomForestRegressor(
-        numTrees=trees, maxDepth=10, minInstancesPerNode=3, featureSubsetStrategy="onethird",
+        numTrees=trees, maxDepth=depth, minInstancesPerNode=3, featureSubsetStrategy="0.8",
         bootstrap=False, featuresCol="raw", labelCol="power_mw", predictionCol="prediction", seed=SEED,
     )
     fitted = fit(marked.filter(~F.col("is_test")), "portfolio", "portfolio_challenger", [forest], CHALLENGER_FEATURES)
