@@ -31,7 +31,7 @@ from voltmill.llm import arrays
 #: Labelled documents that the model is fitted on: at most so many toxic and so many clean ones, and so many bytes of
 #: each class, drawn by hash.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
-SAMPLE_BYTES = 16 << 20
+SAMPLE_BYTES = 8 << 20
 #: Feature slots; features are hashed into them.
 SLOTS = 1 << 18
 #: Gradient steps, their size, and the pull of weights to zero.
@@ -237,6 +237,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     if not texts or flags.all() or not flags.any():
         share = (flags.sum() + 0.5) / (len(flags) + 1.0)
         return Model(np.zeros(SLOTS), -2.0, np.zeros((2, 2)), -2.0, np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0]))
+    per_piece = sizes
     keys, sizes = np.concatenate(found), np.concatenate(sizes)
     first = np.concatenate(([0], np.cumsum(sizes)))
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -248,7 +249,12 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     taken = order[: max(int(np.searchsorted(np.cumsum(sizes[order]), FIT_TOKENS, side="right")), 2)]
     at = arrays.ragged_positions(first[:-1][taken], sizes[taken])
     model = _fit_field(keys[at], opens[at], labels[at])
-    model.curve = _fit_curve(_summaries(marginals(keys, first, model), first), flags.astype(float))
+    # marginals of some documents at a time, as the passes hold several numbers for each token
+    summaries = []
+    for part, own in zip(found, per_piece, strict=True):
+        edges = np.concatenate(([0], np.cumsum(own)))
+        summaries.append(_summaries(marginals(part, edges, model), edges))
+    model.curve = _fit_curve(np.concatenate(summaries), flags.astype(float))
     return model
 
 
