@@ -17,27 +17,46 @@ from voltmill.session import materialize
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Documents whose id is not among the rejected ones."""
-    gone = rejected.select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+#: Name of the key while a stage runs.
+ROW = "_pipeline_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a key of their own, which orders them by id, rows without an id last.
+
+    The key holds the row's file (by a hash of its path) and place there, so every scan of a written table gives the
+    same; any other frame is written first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not docs.inputFiles():
+        docs = materialize(docs, "stage-input")
+    file = F.xxhash64("_metadata.file_path")
+    return docs.withColumn(ROW, F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), file.alias("file"), F.col("_metadata.row_index").alias("place")))
+
+
+def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows whose key is not among the rejected ones."""
+    gone = rejected.select(F.col(ROW).alias("gone_row"))
+    return keyed.join(gone, F.col(ROW) == F.col("gone_row"), "left_anti").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the field scores below one half."""
-    found = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, found.where(F.col("score") >= 0.5))
+    """Rows that the field scores below one half."""
+    keyed = _keyed(docs)
+    found = toxicity.score(keyed, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), ROW)
+    return _without(keyed, found.where(F.col("score") >= 0.5))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers of their language and source."""
-    return _without(docs, quality.judge(docs).where(~F.col("kept")))
+    """Rows that pass the base rules and are no outliers of their language and source."""
+    keyed = _keyed(docs)
+    return _without(keyed, quality.judge(keyed, ROW).where(~F.col("kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies."""
-    found = jaccard.jaccard_components(docs)
-    return _without(docs, found.where(F.col("component_id") != F.col("doc_id")))
+    """One row of each component of near copies, the one with the smallest id; rows without an id count like others."""
+    keyed = _keyed(docs)
+    found = jaccard.jaccard_components(keyed, ROW)
+    return _without(keyed, found.where(F.col("component_id") != F.col(ROW)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,6 +98,23 @@ def test_repeated_ids_join_their_texts(spark):
     assert rows == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
 
 
+def test_one_id_with_two_texts_keeps_both_sets(spark):
+    """Both texts of an id name a class, and copies near either of them are found; ids join components for all."""
+    rng = random.Random(4)
+    a, b, c = ([f"{x}{k}" for k in range(40)] for x in "abc")
+
+    def near(words):
+        words = list(words)
+        words[rng.randrange(1, 3)] = "changed"
+        return " ".join(words)
+
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (0, near(c)), (5, " ".join(c)), (5, near(a))]
+    rows += [(None, near(a)), (None, " ".join(a)), (7, "alone"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs).collect()), key=str)
+    assert got == sorted([(1, 0), (1, 0), (2, 0), (3, 0), (0, 0), (5, 0), (5, 0), (None, None), (None, None), (7, 7), (None, None)], key=str)
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)]

@@ -1,5 +1,6 @@
 """Sharding, URL filter and the pipeline."""
 
+import random
 from collections import Counter
 from urllib.parse import urlsplit
 
@@ -125,6 +126,45 @@ def test_pipeline_of_an_empty_table(spark):
     assert docs.count() == 0
 
 
+def test_stages_judge_rows_and_not_ids(spark, tmp_path):
+    """A rejected row takes no other row of its id, or without an id, along; one row of each group of copies stays."""
+    rng = random.Random(6)
+
+    def text(name, count=80):
+        return " ".join(f"{name}{rng.choice('abcdefgh')}{rng.choice('klmnop')}{k}" for k in range(count))
+
+    good = [text(f"t{k}") for k in range(12)]
+    changed = good[8].replace(good[8].split()[70], "changed")
+    rows = [(None, good[0]), (None, good[1]), (None, "short"), (1, good[2]), (1, good[3]), (1, "short")]
+    rows += [(2, good[4]), (2, good[4]), (3, good[4]), (None, good[5]), (None, good[5]), (4, good[5]), (None, good[6]), (None, good[6]), (5, good[8]), (5, changed), (5, good[9])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.keep_quality(spark, docs, SMALL).collect()), key=str)
+    assert kept == sorted([r for r in rows if r[1] != "short"], key=str)
+    path = f"{tmp_path}/documents"
+    docs.write.parquet(path)
+    for frame in (docs, spark.read.parquet(path)):
+        left = corpus_pipeline.drop_near_copies(spark, frame, SMALL)
+        assert left.columns == docs.columns
+        got = [(r.doc_id, r.text) for r in left.collect()]
+        assert sum(t in (good[8], changed) for _, t in got) == 1
+        got = [r for r in got if r[1] not in (good[8], changed)]
+        want = [(None, good[0]), (None, good[1]), (1, good[2]), (1, good[3]), (2, good[4]), (4, good[5]), (None, good[6]), (5, good[9])]
+        assert sorted((r for r in got if r[1] != "short"), key=str) == sorted(want, key=str)
+        assert [r for r in got if r[1] == "short"] == [(1, "short")]
+
+
+def test_toxic_rows_leave_others_of_their_id(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(i, " ".join([f"w{rng.randrange(300)}" for _ in range(30)] + ["grumbus"] * (i % 4 == 0))) for i in range(400)]
+    labels = [(i, int(i % 4 == 0)) for i, _ in rows]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean, toxic = rows[1][1], rows[0][1]
+    rows += [(None, clean), (None, toxic), (1000, toxic), (1000, clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()
+    assert [r.text for r in left if r.doc_id is None] == [clean] and [r.text for r in left if r.doc_id == 1000] == [clean]
+
+
 def test_queries_cover_their_tables(spark):
     for name, query in queries.QUERIES.items():
         table = {"op4_urls": "pages", "op6_topk": "embeddings"}.get(name, "documents")

@@ -69,11 +69,15 @@ def shingles(data: np.ndarray, bounds: np.ndarray, hasher: arrays.SpanHasher, wo
 
 
 def _questions(batches: Iterator[pa.RecordBatch], count: int, words: int) -> Iterator[pa.RecordBatch]:
-    """For each chunk: its distinct keys cut at the borders, and each document's positions among them."""
+    """For each chunk: its distinct keys cut at the borders, and each document's positions among them.
+
+    Every document gets a number of its own, ``row``: the partition in the upper bits, a running count in the lower.
+    """
     hasher = arrays.SpanHasher(arrays.lower_table())
     cuts = exchange.borders(count)
     chunk = TaskContext.get().partitionId() << 32
-    names = ["key", "chunk", "part", "id", "n", "a", "b"]
+    row = TaskContext.get().partitionId() << 40
+    names = ["key", "chunk", "part", "row", "id", "n", "a", "b"]
     for batch in batches:
         data, bounds = arrays.text_bytes(batch.column(1))
         for first, end, part, edges in arrays.pieces(data, bounds, CHUNK_BYTES):
@@ -89,6 +93,7 @@ def _questions(batches: Iterator[pa.RecordBatch], count: int, words: int) -> Ite
                     pa.array(used, pa.int32()),
                     pa.array(np.full(len(used), chunk)),
                     pa.array(used, pa.int32()),
+                    pa.nulls(len(used), pa.int64()),
                     pa.nulls(len(used), batch.column(0).type),
                     pa.array(at[used + 1] - at[used], pa.int64()),
                     arrays.binary_column(asked),
@@ -104,6 +109,7 @@ def _questions(batches: Iterator[pa.RecordBatch], count: int, words: int) -> Ite
                     pa.array(np.full(rows, chunk % count), pa.int32()),
                     pa.array(np.full(rows, chunk)),
                     pa.array(np.full(rows, -1), pa.int32()),
+                    pa.array(np.arange(row, row + rows)),
                     batch.column(0).slice(first, rows),
                     pa.array(sizes, pa.int64()),
                     arrays.binary_column(places),
@@ -112,6 +118,7 @@ def _questions(batches: Iterator[pa.RecordBatch], count: int, words: int) -> Ite
                 names,
             )
             chunk += 1
+            row += rows
 
 
 def _answer(table: pa.Table, count: int) -> pa.Table:
@@ -138,7 +145,7 @@ def _answer(table: pa.Table, count: int) -> pa.Table:
         masks.append(np.packbits(mask).tobytes())
         shared.append(exchange.pack_sorted(own[mask], base))
         totals.append(exchange.pack(mine[mask]))
-    columns = {n: asked.column(n) for n in ("chunk", "part", "id", "n")}
+    columns = {n: asked.column(n) for n in ("chunk", "part", "row", "id", "n")}
     columns |= {"a": arrays.binary_column(masks), "b": arrays.binary_column(shared), "c": arrays.binary_column(totals)}
     return pa.concat_tables([passed, pa.table(columns).select(passed.column_names).cast(passed.schema)])
 
@@ -161,22 +168,23 @@ def _shared(table: pa.Table, count: int, threshold: int) -> pa.Table:
         own = token[exchange.unpack_sorted(places).astype(np.int64)]
         own = own[own > 0]
         lists.append(np.sort(own).astype(np.int64) if n and 100 * len(own) >= threshold * n else None)
-    return pa.table({"id": docs.column("id"), "n": docs.column("n"), "tokens": pa.array(lists, pa.list_(pa.int64()))})
+    return pa.table({"row": docs.column("row"), "id": docs.column("id"), "n": docs.column("n"), "tokens": pa.array(lists, pa.list_(pa.int64()))})
 
 
 def shared_shingles(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """``id``, ``n`` (distinct shingles) and ``tokens`` (those in several documents, rarest first) of every document.
+    """``row``, ``id``, ``n`` (distinct shingles) and ``tokens`` (those in several documents, rarest first) of every document.
 
+    ``row`` numbers the documents apart, also those that agree in their id or have none.
     ``tokens`` is null where less than the threshold's share is shared; such a document links with nothing.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_column].dataType.simpleString()
     count = exchange.ranges(spark)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    base = f"chunk bigint, part int, id {kind}, n bigint, a binary, b binary"
+    base = f"chunk bigint, part int, row bigint, id {kind}, n bigint, a binary, b binary"
     asked = rows.mapInArrow(lambda batches: _questions(batches, count, words), f"key int, {base}")
     answered = asked.groupBy("key").applyInArrow(lambda t: _answer(t, count), f"{base}, c binary")
-    return answered.groupBy("chunk").applyInArrow(lambda t: _shared(t, count, threshold), f"id {kind}, n bigint, tokens array<bigint>")
+    return answered.groupBy("chunk").applyInArrow(lambda t: _shared(t, count, threshold), f"row bigint, id {kind}, n bigint, tokens array<bigint>")
 
 
 def need(n: Column, threshold: int = THRESHOLD) -> Column:
@@ -184,21 +192,29 @@ def need(n: Column, threshold: int = THRESHOLD) -> Column:
     return F.ceil(n * threshold / F.lit(100)).cast("int")
 
 
-def classes(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sets (``cls``, ``n``, ``tokens``), each once, and the membership (``id``, ``cls``) of documents.
+def classes(shared: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets (``cls``, ``n``, ``tokens``), each once, classes (``cls``, ``low``) and the membership (``row``, ``id``, ``cls``).
 
     Sets that equal another have all their shingles in common with it, so size and tokens tell them apart; a set with
-    shingles of its own is a class of its own. The class is named by its smallest id.
+    shingles of its own is a class of its own. The class is named by its smallest row, as one id may have several sets;
+    ``low`` is its smallest id. Documents without an id belong to no class.
     """
-    able = shared.where("tokens is not null and n > 0")
+    able = shared.where("id is not null and tokens is not null and n > 0")
     whole = F.size("tokens") == F.col("n")
-    marks = [F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), F.when(whole, F.col("tokens")), F.when(~whole, F.col("id"))).alias("h2")]
-    members = able.select("id", "n", *marks)
+    marks = [F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), F.when(whole, F.col("tokens")), F.when(~whole, F.col("row"))).alias("h2")]
+    members = able.select("row", "id", "n", *marks)
     # written first, so that the join below deals both sides and may split a class of very many copies
-    named = materialize(members.groupBy("n", "h1", "h2").agg(F.min("id").alias("cls")), "classes")
-    membership = members.join(named, ["n", "h1", "h2"]).select("id", "cls")
-    one_each = able.select("id", "n", "tokens").join(named.select(F.col("cls").alias("id")), "id", "left_semi")
-    return one_each.dropDuplicates(["id"]).withColumnRenamed("id", "cls"), membership
+    named = materialize(members.groupBy("n", "h1", "h2").agg(F.min("row").alias("cls"), F.min("id").alias("low")), "classes")
+    membership = members.join(named, ["n", "h1", "h2"]).select("row", "id", "cls")
+    one_each = able.select("row", "n", "tokens").join(named.select(F.col("cls").alias("row")), "row", "left_semi")
+    return one_each.withColumnRenamed("row", "cls"), named.select("cls", "low"), membership
+
+
+def same_ids(membership: DataFrame) -> DataFrame:
+    """Links (``a``, ``b``) between the classes of ids that occur in several."""
+    own = membership.select("id", "cls").distinct()
+    several = membership.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("last")).where("a < last").select("id", "a")
+    return own.join(several, "id").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
 
 
 def boundary(sets: DataFrame, threshold: int = THRESHOLD) -> int:
@@ -257,8 +273,8 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> Dat
     return pairs.join(left, "a").join(right, "b").where(common * (100 + threshold) >= threshold * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def link_components(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``node`` and ``root`` of every class that links with another."""
+def link_components(sets: DataFrame, given: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``node`` and ``root`` of every class that links with another, by its set or by the links ``given``."""
     limit = boundary(sets, threshold)
     emitted = signatures(sets, limit, threshold)
     head = F.max_by(F.struct("cls", "n", "rem"), F.struct("central", "cls")).alias("head")
@@ -281,7 +297,7 @@ def link_components(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
-    return components(links.unionByName(verify(second, sets, threshold)))
+    return components(links.unionByName(verify(second, sets, threshold)).unionByName(given))
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -294,16 +310,20 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     An empty table gives an empty table; other columns are ignored.
     """
     shared = materialize(shared_shingles(docs, id_column, text_column, words, threshold), "shared")
-    one_each, membership = classes(shared)
+    one_each, lowest, membership = classes(shared)
     frequency = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda total, t: total + F.shiftright(t, exchange.KEY_BITS))
     sets = one_each.withColumns({"m": F.size("tokens"), "need": need(F.col("n"), threshold), "central": frequency / F.col("n")})
     sets = materialize(sets, "sets")
-    membership = materialize(membership.distinct(), "membership")
-    roots = link_components(sets, threshold)
-    placed = membership.join(roots, F.col("cls") == F.col("node"), "left").select("id", F.coalesce("root", "cls").alias("component_id"))
-    # a repeated id may carry several texts, and thereby join their classes
+    membership = materialize(membership, "membership")
+    roots = link_components(sets, same_ids(membership), threshold)
+    # classes that link with none keep their own smallest id; the others are written, so that a large component may be split
+    linked = materialize(lowest.join(roots, F.col("cls") == F.col("node")).select("cls", "root", "low"), "rooted")
+    reached = linked.groupBy("root").agg(F.min("low").alias("reached"))
+    named = linked.select("cls", "root").join(reached, "root").select(F.col("cls").alias("node"), "reached")
+    placed = membership.join(named, F.col("cls") == F.col("node"), "left").join(lowest.withColumnRenamed("cls", "own"), F.col("cls") == F.col("own"))
+    placed = placed.select("row", F.coalesce("reached", "low").alias("component_id"))
     return (
-        shared.select("id", "n")
-        .join(placed.groupBy("id").agg(F.min("component_id").alias("component_id")), "id", "left")
+        shared.select("row", "id", "n")
+        .join(placed, "row", "left")
         .select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     )

@@ -345,7 +345,11 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
+    """Fit on the labelled documents that are not held out."""
+    return fit_sample(sample(docs, labels, ~held_out(id_column), id_column, text_column, label_column))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
     """Fit on the labelled documents that are not held out, then score all."""
-    model = fit_sample(sample(docs, labels, ~held_out(id_column), id_column, text_column, label_column))
-    return score(docs, model, id_column, text_column)
+    return score(docs, learn(docs, labels, id_column, text_column, label_column), id_column, text_column)
