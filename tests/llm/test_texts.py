@@ -86,6 +86,49 @@ def test_awkward_documents_are_scored(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_long_texts_leave_the_sample_whole(spark, monkeypatch):
+    """A text over the bounds is passed over; others of its class and both classes stay."""
+    monkeypatch.setattr(toxicity, "TEXT_BYTES", 1000)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 5000)
+    drawn = spark.range(400).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64(F.col("id").cast("string")))
+    ids = [r.doc_id for r in drawn.collect()]
+    flags = {i: int(k % 2) for k, i in enumerate(ids)}
+    labels = spark.createDataFrame(list(flags.items()), "doc_id long, toxic int")
+
+    def sampled(size):
+        docs = spark.createDataFrame([(i, f"text {i} " + "x" * size(k)) for k, i in enumerate(ids)], "doc_id long, text string")
+        return [r for r in toxicity.sample(docs, labels, F.lit(True), "doc_id", "text", "toxic").collect()]
+
+    rows = sampled(lambda k: 9000 if k < 10 else 190)  # the first of each class are too long
+    for label in (0, 1):
+        assert 20 <= sum(r.label == label for r in rows) <= 25
+    assert max(len(r.text) for r in rows) < 300
+    for size in (lambda k: 9000 + k, lambda k: 9000 + k if k % 2 else 100):  # all of both classes, all of one
+        rows = sampled(size)
+        assert {r.label for r in rows} == {0, 1}
+        assert [r.text.split()[1] for r in rows if r.label] == [str(ids[1])]
+
+
+def test_one_long_text_does_not_use_up_the_fit(monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_TOKENS", 4000)
+    rng = random.Random(3)
+    texts = ["word " * 10_000]
+    texts += [" ".join([f"w{rng.randrange(100)}" for _ in range(20)] + ["grumbus"] * (i % 2)) for i in range(150)]
+    flags = [0, *(i % 2 for i in range(150))]
+    sizes = np.array([len(t.split()) for t in texts])
+    taken = toxicity._fill(np.arange(len(texts)), sizes, np.array(flags, bool))
+    assert len(taken) == 150 and sizes[taken].sum() <= 4000
+    model = toxicity.fit(texts, flags)
+    hasher = arrays.SpanHasher(arrays.lower_table())
+    import pyarrow as pa
+
+    keys, _, _, first = toxicity.features(*arrays.text_bytes(pa.array(["w1 w2 grumbus w3", "w1 w2 w3"], pa.large_string())), hasher)
+    p = toxicity.marginals(keys, first, model)
+    assert p[2] > 0.9 and p[[0, 1, 3, 4, 5, 6]].max() < 0.1
+    lone = toxicity._fill(np.arange(2), np.array([9000, 9000]), np.array([True, False]))
+    assert len(lone) == 2
+
+
 # quality
 
 

@@ -29,14 +29,16 @@ from pyspark.sql import functions as F
 from voltmill.llm import arrays
 
 #: Labelled documents that the model is fitted on: at most so many toxic and so many clean ones, and so many bytes of
-#: each class, drawn by hash.
+#: each class, drawn by hash. Texts of more than ``TEXT_BYTES`` come after all others of their class, the shortest
+#: first. The first text of a class is taken whatever its size, so both classes are there whenever labels hold both.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
 SAMPLE_BYTES = 8 << 20
+TEXT_BYTES = 64 << 10
 #: Feature slots; features are hashed into them.
 SLOTS = 1 << 18
 #: Gradient steps, their size, and the pull of weights to zero.
 ROUNDS, RATE, DECAY = 30, 0.4, 1e-6
-#: Tokens of the sample that the field is fitted on, in whole documents.
+#: Tokens of the sample that the field is fitted on, in whole documents; one that does not fit any more is passed over.
 FIT_TOKENS = 600_000
 #: Marginal from which a token belongs to a span.
 LIKELY = 0.5
@@ -224,6 +226,19 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _fill(order: np.ndarray, sizes: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Documents in ``order`` that fit into ``FIT_TOKENS`` one after another, and the least of each class in any case."""
+    able = sizes > 0
+    least = [int(own[np.argmin(sizes[own])]) for own in (np.flatnonzero(able & flags), np.flatnonzero(able & ~flags)) if len(own)]
+    rest = FIT_TOKENS - int(sizes[least].sum())
+    taken = set(least)
+    for i in order.tolist():
+        if i not in taken and sizes[i] <= rest:
+            taken.add(i)
+            rest -= int(sizes[i])
+    return np.array([i for i in order.tolist() if i in taken], np.int64)
+
+
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """Model of a sample of whole texts with labels 0 and 1."""
     hasher = arrays.SpanHasher(_FOLD)
@@ -246,7 +261,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     opens[first[:-1][sizes > 0]] = True
     # toxic and clean documents by turns, whole, up to the bound
     order = np.argsort(np.where(flags, np.cumsum(flags) / max(flags.sum(), 1), np.cumsum(~flags) / max((~flags).sum(), 1)), kind="stable")
-    taken = order[: max(int(np.searchsorted(np.cumsum(sizes[order]), FIT_TOKENS, side="right")), 2)]
+    taken = _fill(order, sizes, flags)
     at = arrays.ragged_positions(first[:-1][taken], sizes[taken])
     model = _fit_field(keys[at], opens[at], labels[at])
     # marginals of some documents at a time, as the passes hold several numbers for each token
@@ -259,17 +274,25 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, train: Column, id_column: str, text_column: str, label_column: str) -> DataFrame:
-    """Bounded sample of labelled documents (``text``, ``label``, ``turn``), the first of each class by a hash of the id."""
+    """Bounded sample of labelled documents (``text``, ``label``, ``turn``), the first of each class by a hash of the id.
+
+    Texts are ranked by their sizes and hashes alone and fetched afterwards, so no text is shuffled for the draw. Equal
+    rows count once.
+    """
     known = labels.where(F.col(label_column).isin(0, 1)).groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).alias("label"))
-    ids = docs.where(train).select(F.col(id_column).alias("id")).join(known, "id").distinct()
-    turned = ids.withColumn("turn", F.xxhash64(F.col("id").cast("string")))
-    drawn = [turned.where(F.col("label") == label).orderBy("turn", "id").limit(most) for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).where("text is not null")
-    # the drawn ids are bounded, so the texts stay where they are
-    joined = rows.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id")
-    before = Window.partitionBy("label").orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, 0)
-    bounded = joined.withColumn("bytes", F.sum(F.octet_length("text")).over(before)).where(F.col("bytes") <= SAMPLE_BYTES)
-    return bounded.select("text", F.col("label").cast("int").alias("label"), "turn")
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), train.alias("train")).where("text is not null")
+    mark = F.xxhash64("text").alias("mark")
+    sized = rows.where("train").select("id", mark, F.octet_length("text").cast("bigint").alias("bytes")).join(known, "id").distinct()
+    over = F.when(F.col("bytes") > TEXT_BYTES, F.col("bytes")).otherwise(0)
+    turned = sized.withColumns({"over": over, "turn": F.xxhash64(F.col("id").cast("string"))})
+    order = ["over", "turn", "id", "mark"]
+    drawn = [turned.where(F.col("label") == label).orderBy(*order).limit(most) for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    before = Window.partitionBy("label").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = drawn[0].unionByName(drawn[1]).withColumn("before", F.sum("bytes").over(before))
+    bounded = sums.where(F.col("before").isNull() | (F.col("before") + F.col("bytes") <= SAMPLE_BYTES)).select("id", "mark", "label", "turn")
+    # the drawn rows are bounded, so the texts stay where they are
+    joined = rows.where("train").select("id", "text", mark).join(F.broadcast(bounded), ["id", "mark"])
+    return joined.dropDuplicates(["id", "mark"]).select("text", F.col("label").cast("int").alias("label"), "turn")
 
 
 def fit_sample(rows: DataFrame) -> Model:
