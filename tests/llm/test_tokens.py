@@ -156,6 +156,16 @@ def test_pieces_and_places(spark):
     assert packing.pack(docs.limit(0), JSON, capacity).count() == 0
 
 
+def test_literals_of_added_tokens_are_their_ids(spark):
+    token = "<|endoftext|>"
+    rows = [f"hi {token} there", token, f"{token}start", f"end{token}", f"  {token}  \n", f"{token}{token} {token}", f"a<|endof{token}text|>", "<|endoftext|", "|>", "", None, "plain", f"é{token}中 文"]
+    tokenizer = Tokenizer.from_file(JSON)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.ids for r in packing.cut(docs, JSON, 256).collect()}
+    assert got == {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(rows)}
+    assert got[0] == [5303, 220, 50256, 612, 0]
+
+
 def test_repeated_rows_are_packed_each(spark):
     docs = spark.createDataFrame([(1, "same text")] * 7 + [(None, "no id")], "doc_id long, text string")
     rows = packing.pack(docs, JSON, 8).collect()

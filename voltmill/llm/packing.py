@@ -11,9 +11,10 @@ Spark counts the lengths, numbers the pieces of each length, and looks each (len
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -161,19 +162,61 @@ def _vocabulary_ranks(path: str) -> dict[bytes, int]:
     return {bytes(map(shown.__getitem__, token)): rank for token, rank in tokenizer.get_vocab().items() if token not in special}
 
 
-def _tokenizer_gatherer(vocabulary: str) -> Gatherer:
+def _added_tokens(path: str) -> dict[bytes, int]:
+    """Tokens that tokenizers cuts out of a text before it is split into words, with their ids."""
+    from tokenizers import Tokenizer
+
+    added = Tokenizer.from_file(path).get_added_tokens_decoder()
+    if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+        raise ValueError(f"{path} has added tokens that depend on their surroundings")
+    return {t.content.encode(): number for number, t in added.items()}
+
+
+class AroundTokens:
+    """Ids of whole texts in which the literals of ``added`` stand for one id each; ``gather`` takes the text between."""
+
+    def __init__(self, gather: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], added: dict[bytes, int]):
+        self.gather = gather
+        self.added = added
+        # the leftmost literal counts, and the longest of those
+        self.pattern = re.compile(b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
+
+    def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes() if self.pattern else b""
+        if not self.pattern or not self.pattern.search(raw):
+            return self.gather(data, bounds)
+        stops = bounds.tolist()
+        hits = [m for a, b in zip(stops[:-1], stops[1:], strict=True) for m in self.pattern.finditer(raw, a, b)]
+        starts = np.array([m.start() for m in hits], np.int64)
+        ends = np.array([m.end() for m in hits], np.int64)
+        own = np.array([self.added[m[0]] for m in hits], np.int32)
+        edges = np.unique(np.concatenate([np.asarray(bounds, np.int64), starts, ends]))
+        counts, flat = self.gather(data, edges.astype(bounds.dtype))
+        # a literal's stretch gives its one id instead of what its characters gave
+        literal = np.searchsorted(edges, starts)
+        keep = np.ones(len(counts), bool)
+        keep[literal] = False
+        between = flat[np.repeat(keep, counts)]
+        counts = np.where(keep, counts, 0)
+        flat = np.insert(between, np.cumsum(counts)[literal], own)
+        counts[literal] = 1
+        totals = np.concatenate(([0], np.cumsum(counts)))
+        return np.diff(totals[np.searchsorted(edges, bounds)]), flat
+
+
+def _tokenizer_gatherer(vocabulary: str) -> AroundTokens:
     """Distinct pretokens are merged by tiktoken, many times as fast as one tokenizers call for each."""
     import tiktoken
 
     ranks = _vocabulary_ranks(vocabulary)
     merge = tiktoken.Encoding("packing", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-    return Gatherer(lambda spans: map(merge, spans))
+    return AroundTokens(Gatherer(lambda spans: map(merge, spans)), _added_tokens(vocabulary))
 
 
 def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Token pieces of every whole document: id, ``piece``, ``start``, ``length`` and ``ids``.
 
-    A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone. Only a document longer than
+    A document is its ids, in which a literal of an added token is that token's id, and ``end_id``; a null or empty text is ``end_id`` alone. Only a document longer than
     ``capacity`` is cut, into pieces of ``capacity``, of which the first takes what is left over.
     """
     kind = docs.schema[id_column].dataType.simpleString()
