@@ -1,7 +1,8 @@
 """License scan with ordered signature rules.
 
-Every rule is a regular expression with a priority and a keyword that any match contains. An Aho-Corasick automaton
-finds the keywords of a text; only rules whose keyword occurs are run. Overlaps are resolved by rank: a match that lies
+Every rule is a regular expression with a priority and literals that any match contains once runs of white space are
+folded to one blank. An Aho-Corasick automaton finds the literals of the folded text; only rules of which all occur are
+run, on the text itself. A blank of a rule stands for any run of white space. Overlaps are resolved by rank: a match that lies
 inside a match of a higher priority, or inside a longer one of the same priority, is suppressed. Beside the rules,
 phrases are found as consecutive words; their labels are never suppressed.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import ahocorasick
 import pyarrow as pa
@@ -36,23 +37,23 @@ FAMILIES = [
     ("cddl", r"common development and distribution", ["cddl-1.0", "cddl-1.1"], "common development"),
     ("cpl", r"common public", ["cpl-1.0"], "common public"),
     ("eupl", r"european union public", ["eupl-1.0", "eupl-1.1", "eupl-1.2"], "european union public"),
-    ("isc", r"isc", ["isc"], "isc licen"),
-    ("artistic", r"artistic", ["artistic-1.0", "artistic-2.0"], "artistic licen"),
+    ("isc", r"isc", ["isc"], "isc"),
+    ("artistic", r"artistic", ["artistic-1.0", "artistic-2.0"], "artistic"),
     ("zlib", r"zlib(?:/libpng)?", ["zlib", "zlib-acknowledgement"], "zlib"),
     ("boost", r"boost software", ["bsl-1.0"], "boost software"),
     ("unlicense", r"the unlicense", ["unlicense"], "unlicense"),
     ("wtfpl", r"do what the fuck you want to public", ["wtfpl"], "you want to public"),
-    ("openssl", r"openssl", ["openssl"], "openssl licen"),
+    ("openssl", r"openssl", ["openssl"], "openssl"),
     ("python", r"python software foundation", ["psf-2.0", "python-2.0"], "python software"),
-    ("php", r"php", ["php-3.0", "php-3.01"], "php licen"),
-    ("ruby", r"ruby", ["ruby"], "ruby licen"),
-    ("postgresql", r"postgresql", ["postgresql"], "postgresql licen"),
+    ("php", r"php", ["php-3.0", "php-3.01"], "php"),
+    ("ruby", r"ruby", ["ruby"], "ruby"),
+    ("postgresql", r"postgresql", ["postgresql"], "postgresql"),
     ("mspl", r"microsoft public", ["ms-pl"], "microsoft public"),
     ("msrl", r"microsoft reciprocal", ["ms-rl"], "microsoft reciprocal"),
-    ("osl", r"open software", ["osl-1.0", "osl-2.0", "osl-2.1", "osl-3.0"], "open software licen"),
+    ("osl", r"open software", ["osl-1.0", "osl-2.0", "osl-2.1", "osl-3.0"], "open software"),
     ("afl", r"academic free", ["afl-1.1", "afl-1.2", "afl-2.0", "afl-2.1", "afl-3.0"], "academic free"),
     ("ofl", r"(?:sil )?open font", ["ofl-1.0", "ofl-1.1"], "open font"),
-    ("odbl", r"open (?:data commons )?(?:open )?database", ["odbl-1.0"], "database licen"),
+    ("odbl", r"open (?:data commons )?(?:open )?database", ["odbl-1.0"], "database"),
     ("odc-by", r"open data commons attribution", ["odc-by-1.0"], "open data commons"),
     ("qpl", r"q public", ["qpl-1.0"], "q public"),
     ("ncsa", r"university of illinois(?:/ncsa)? open source", ["ncsa"], "university of illinois"),
@@ -62,7 +63,7 @@ FAMILIES = [
     ("mulan", r"mulan permissive software", ["mulanpsl-1.0", "mulanpsl-2.0"], "mulan"),
     ("sspl", r"server side public", ["sspl-1.0"], "server side public"),
     ("busl", r"business source", ["busl-1.1"], "business source"),
-    ("elastic", r"elastic", ["elastic-2.0"], "elastic licen"),
+    ("elastic", r"elastic", ["elastic-2.0"], "elastic"),
 ]
 #: Parts of the shared-culture licences: code, words.
 _CONDITIONS = [("by", "attribution"), ("by-sa", "attribution[- ]share[- ]?alike"), ("by-nd", "attribution[- ]no[- ]?deriv(?:ative)?s?"), ("by-nc", "attribution[- ]non[- ]?commercial"), ("by-nc-sa", "attribution[- ]non[- ]?commercial[- ]share[- ]?alike"), ("by-nc-nd", "attribution[- ]non[- ]?commercial[- ]no[- ]?deriv(?:ative)?s?")]
@@ -76,27 +77,37 @@ class Rule:
     keyword: str
     priority: int
     weight: float
+    also: str = ""  # a second literal that any match contains
 
 
 def _license() -> str:
     return r"licen[cs]es?"
 
 
+def _spaced(pattern: str) -> str:
+    """The pattern with any run of white space where it has a blank; classes such as ``[ \\t]`` stay as they are."""
+
+    def wide(m: re.Match[str]) -> str:
+        return {" ": r"\s+", " ?": r"\s*", "[ -]": r"(?:\s+|-)", "[- ]": r"(?:\s+|-)"}.get(m[0], m[0])
+
+    return re.sub(r"\[(?:\\.|[^\]\\])*\]|\\.| \?| ", wide, pattern)
+
+
 def rules() -> list[Rule]:
     """All signature rules, from the families and forms above; higher priorities are more specific forms."""
     found: list[Rule] = []
     for label, name, ids, keyword in FAMILIES:
-        found.append(Rule(label, rf"\b{name}(?: public)? {_license()}\b", keyword, 40, 0.8))
-        found.append(Rule(label, rf"\b(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{name}\b[^.\n]{{0,80}}", keyword, 60, 0.9))
+        found.append(Rule(label, rf"\b{name}(?: public)? {_license()}\b", keyword, 40, 0.8, "licen"))
+        found.append(Rule(label, rf"\b(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{name}\b[^.\n]{{0,80}}", keyword, 60, 0.9, "under"))
         for short in ids:
             stem, _, version = short.rpartition("-")
             spelled = re.escape(short)
             first = short.split("-")[0]
             found.append(Rule(short, rf"spdx-license-identifier:[ \t]*{spelled}(?:-only|-or-later|\+)?(?![\w.-])", "spdx-license-identifier", 100, 1.0))
-            found.append(Rule(short, rf"\blicen[cs]e[\"']?[ \t]*[:=][ \t]*[\"']?{spelled}(?![\w.-])", first, 80, 0.95))
+            found.append(Rule(short, rf"\blicen[cs]e[\"']?[ \t]*[:=][ \t]*[\"']?{spelled}(?![\w.-])", first, 80, 0.95, "licen"))
             if stem and re.fullmatch(r"[\d.]+", version):
                 number = re.escape(version.removesuffix(".0")) + (r"(?:\.0)?" if version.endswith(".0") else "")
-                found.append(Rule(short, rf"\b{name}(?: public)? {_license()},? (?:v\.?|version|ver\.?)? ?{number}(?![\w.]\d)", keyword, 70, 0.95))
+                found.append(Rule(short, rf"\b{name}(?: public)? {_license()},? (?:v\.?|version|ver\.?)? ?{number}(?![\w.]\d)", keyword, 70, 0.95, "licen"))
                 found.append(Rule(short, rf"\b{re.escape(stem)}[ -]?v?{number}(?![\w]|\.\d)", stem.split("-")[0], 30, 0.6))
     for code, words in _CONDITIONS:
         found.append(Rule(f"cc-{code}", rf"\bcreative commons {words}\b", "creative commons", 40, 0.8))
@@ -114,7 +125,7 @@ def rules() -> list[Rule]:
     found.append(Rule("mit", r"\bpermission is hereby granted,? free of charge\b", "permission is hereby", 60, 0.9))
     found.append(Rule("bsd", r"\bredistribution and use in source and binary forms\b", "redistribution and use", 60, 0.9))
     found.append(Rule("warranty", r"\bprovided [\"']?as is[\"']?,? without warranty\b", "as is", 20, 0.4))
-    return found
+    return [replace(rule, pattern=_spaced(rule.pattern)) for rule in found]
 
 
 class Scanner:
@@ -124,14 +135,17 @@ class Scanner:
         by_keyword: dict[str, list[int]] = {}
         for i, rule in enumerate(self.rules):
             by_keyword.setdefault(rule.keyword, []).append(i)
+            if rule.also:
+                by_keyword.setdefault(rule.also, [])
         self.automaton = ahocorasick.Automaton()
         for keyword, numbers in by_keyword.items():
-            self.automaton.add_word(keyword, tuple(numbers))
+            self.automaton.add_word(keyword, (keyword, tuple(numbers)))
         self.automaton.make_automaton()
 
     def matches(self, text: str) -> list[tuple[int, int, int]]:
         """Kept matches of a lower-cased text: start, end (in characters) and rule, in order of place."""
-        able = {n for numbers in {numbers for _, numbers in self.automaton.iter(text)} for n in numbers}
+        there = dict(found for _, found in self.automaton.iter(" ".join(text.split())))
+        able = [i for numbers in there.values() for i in numbers if not self.rules[i].also or self.rules[i].also in there]
         found = []
         for i in sorted(able):
             pattern = self.patterns.get(i)
