@@ -314,6 +314,38 @@ def test_trie_holds_its_keys():
     assert not trie.codes(others).any()
 
 
+def test_many_contexts_of_one_word_stay_apart():
+    """A hundred thousand contexts before the same word: every bigram has a cell and a count of its own."""
+    import pyarrow as pa
+
+    contexts = 100_000
+    text = " ".join(f"c{k} the" for k in range(contexts))
+    own = language_model._Chunk(*arrays.text_bytes(pa.array([text, "c1 the", ""])), arrays.SpanHasher())
+    tokens = [[*t.split(), None] for t in (text, "c1 the", "")]
+    want = Counter(p for t in tokens for p in zip([None, *t], t, strict=False))
+    assert sorted(Counter(own.pair_of.tolist()).values()) == sorted(want.values())
+    model, place = {}, 0
+    for t in tokens:
+        for p in zip([None, *t], t, strict=False):
+            assert model.setdefault(p, own.pair_of[place]) == own.pair_of[place]
+            place += 1
+
+
+def test_trie_tells_apart_keys_that_agree_in_one_half():
+    """Contexts or words that agree in their upper or lower 24 bits."""
+    base, bound = 1 << 46, 1 << 47
+    contexts = np.array([base + x for x in (0, 1, 1 << 24, (1 << 24) + 1, 5 << 40, (5 << 40) + 1)], np.uint64)
+    words = np.array([0, 1, 1 << 16, (1 << 16) + 1, (1 << 40) - 1], np.uint64)
+    model = {(c, w): 3 ** (i + 1) for i, (c, w) in enumerate(itertools.product(contexts.tolist(), words.tolist())) if i % 3}
+    keys, held = (np.array(x, np.uint64) for x in zip(*model, strict=True))
+    counts = np.array(list(model.values()), np.uint64)
+    trie = language_model.Trie(language_model.build_trie(keys, counts, base, bound, held), base)
+    asked = list(itertools.product(contexts.tolist(), words.tolist()))
+    codes = trie.codes(*(np.array(x, np.uint64) for x in zip(*asked, strict=True)))
+    quantised = dict(zip(model, language_model.quantise(counts).tolist(), strict=True))
+    assert codes.tolist() == [quantised[p] + 1 if p in quantised else 0 for p in asked]
+
+
 def test_packing_of_keys():
     rng = np.random.default_rng(3)
     for width in (0, 1, 200, 70_000, 1 << 47):

@@ -7,8 +7,8 @@ levels and the pointers between them are monotone and kept as Elias-Fano sequenc
 logarithms. The trie lies in a memory-mapped file, and all that chunks want to know is answered from it by successor
 search, first for the context and then among its words.
 
-A key is a 24-bit context slot and a 24-bit word. A context is salted by four bits of the word, so that the followers of a word
-that makes up a third of the corpus lie in sixteen ranges.
+A key is a 48-bit context and a 40-bit word, which travel as separate packed columns. A context is salted by four bits
+of the word, so that the followers of a word that makes up a third of the corpus lie in sixteen ranges.
 
 P(word | context) = (count(context, word) + mu P(word)) / (count(context) + mu), P(word) = (count + 1) / (N + V + 1).
 """
@@ -37,6 +37,8 @@ CHUNK_BYTES = 8 << 20
 _END = np.uint64(0xA0761D6478BD642F)
 _HALF = exchange.KEY_BITS // 2
 _LOW = np.uint64((1 << _HALF) - 1)
+#: Bits of the word in a bigram key.
+WORD_BITS = 40
 
 
 class EliasFano:
@@ -46,7 +48,7 @@ class EliasFano:
     def encode(values: np.ndarray, bound: int) -> bytes:
         count = len(values)
         low_bits = max(0, int(bound // max(count, 1)).bit_length() - 1)
-        low_bits -= low_bits % 8  # whole bytes
+        low_bits += -low_bits % 8  # whole bytes
         values = values.astype(np.uint64)
         high = (values >> np.uint64(low_bits)).astype(np.int64)
         unary = np.zeros(count + int(bound >> low_bits) + 2, np.uint8)
@@ -105,20 +107,24 @@ def quantise(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(np.log2(np.maximum(counts, 1)) * STEPS), 254).astype(np.uint8)
 
 
-def build_trie(keys: np.ndarray, counts: np.ndarray, base: int, bound: int) -> bytes:
-    """Levels of the trie of ascending distinct keys from ``base`` to below ``bound``."""
-    slots = keys >> np.uint64(_HALF)
+def build_trie(keys: np.ndarray, counts: np.ndarray, base: int, bound: int, words: np.ndarray | None = None) -> bytes:
+    """Levels of the trie of ascending distinct (context, word) from context ``base`` to below ``bound``.
+
+    Without ``words``, a key holds both halves, the word in the lower one.
+    """
+    if words is None:
+        keys, words, base, bound = keys >> np.uint64(_HALF), keys & _LOW, base >> _HALF, bound >> _HALF
     new = np.ones(len(keys), bool)
-    new[1:] = slots[1:] != slots[:-1]
+    new[1:] = keys[1:] != keys[:-1]
     heads = np.flatnonzero(new)
-    lowest = base >> _HALF
-    contexts = slots[heads] - np.uint64(lowest)
-    # words of the i-th context follow those of the one before: i * 2^24 + word ascends over the whole level
-    words = ((np.cumsum(new) - 1).astype(np.uint64) << np.uint64(_HALF)) | (keys & _LOW)
+    if len(heads) >= 1 << 64 - WORD_BITS:
+        raise ValueError("too many contexts in one range; raise spark.sql.shuffle.partitions")
+    # words of the i-th context follow those of the one before: i * 2^40 + word ascends over the whole level
+    ordered = ((np.cumsum(new) - 1).astype(np.uint64) << np.uint64(WORD_BITS)) | words
     levels = [
-        EliasFano.encode(contexts, (bound >> _HALF) - lowest + 1),
+        EliasFano.encode(keys[heads] - np.uint64(base), bound - base + 1),
         EliasFano.encode(np.append(heads, len(keys)), len(keys) + 1),
-        EliasFano.encode(words, (len(heads) + 1) << _HALF),
+        EliasFano.encode(ordered, (len(heads) + 1) << WORD_BITS),
     ]
     return b"".join(levels) + quantise(counts).tobytes()
 
@@ -131,22 +137,25 @@ class Trie:
         self.file.write(data)
         self.file.flush()
         self.map = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
-        self.lowest = np.uint64(base >> _HALF)
+        self.base = base
         self.contexts = EliasFano(self.map, 0)
         self.pointers = EliasFano(self.map, self.contexts.end)
         self.words = EliasFano(self.map, self.pointers.end)
         self.values = np.frombuffer(self.map, np.uint8, self.words.count, self.words.end)
 
-    def codes(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised value of each key plus one; 0 where it is not in the model."""
-        wanted = (keys >> np.uint64(_HALF)) - self.lowest
+    def codes(self, keys: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+        """Quantised value of each (context, word) plus one; 0 where it is not in the model. Keys as in :func:`build_trie`."""
+        base = self.base
+        if words is None:
+            keys, words, base = keys >> np.uint64(_HALF), keys & _LOW, base >> _HALF
+        wanted = keys - np.uint64(base)
         at = self.contexts.successor(wanted)
         found = at < self.contexts.count
         found[found] = self.contexts.get(at[found]) == wanted[found]
         context = at[found]
         begin = self.pointers.get(context).astype(np.int64)
         end = self.pointers.get(context + 1).astype(np.int64)
-        word = (context.astype(np.uint64) << np.uint64(_HALF)) | (keys[found] & _LOW)
+        word = (context.astype(np.uint64) << np.uint64(WORD_BITS)) | words[found]
         place = self.words.successor(word, begin, end)
         inside = place < end
         inside[inside] = self.words.get(place[inside]) == word[inside]
@@ -156,7 +165,7 @@ class Trie:
 
 
 def ngrams(data: np.ndarray, bounds: np.ndarray, hasher: arrays.SpanHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word key and bigram key of every token, with the end token of each row, and tokens per row."""
+    """Word key and context key of every token, with the end token of each row, and tokens per row."""
     starts, ends, first = arrays.word_spans(data, bounds, arrays.NON_SPACE)
     counts = np.diff(first) + 1
     token = np.insert(hasher(data, starts, ends), first[1:], _END)
@@ -165,8 +174,19 @@ def ngrams(data: np.ndarray, bounds: np.ndarray, hasher: arrays.SpanHasher) -> t
     before[1:] = token[:-1]
     words = token >> np.uint64(64 - exchange.KEY_BITS)
     salt = token & np.uint64(15)
-    slot = arrays.mix(before * np.uint64(16) + salt + (before >> np.uint64(60))) >> np.uint64(64 - _HALF)
-    return words, (slot << np.uint64(_HALF)) | (arrays.mix(token) >> np.uint64(64 - _HALF)), counts
+    contexts = arrays.mix(before * np.uint64(16) + salt + (before >> np.uint64(60))) >> np.uint64(64 - exchange.KEY_BITS)
+    return words, contexts, counts
+
+
+def _distinct(contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and the place of each given pair among them."""
+    order = np.lexsort((words, contexts))
+    contexts, words = contexts[order], words[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (contexts[1:] != contexts[:-1]) | (words[1:] != words[:-1])
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return contexts[new], words[new], inverse
 
 
 class _Chunk:
@@ -174,17 +194,29 @@ class _Chunk:
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, hasher: arrays.SpanHasher):
         parts = [ngrams(d, e, hasher) for _, _, d, e in arrays.pieces(data, bounds)]
-        words, pairs, self.sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        words, contexts, self.sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.words, self.word_of = np.unique(words, return_inverse=True)
-        self.pairs, self.pair_of = np.unique(pairs, return_inverse=True)
-
-    def cuts(self, count: int) -> Iterator[tuple[int, int, np.ndarray, int, int]]:
-        """Part number, lower border, distinct keys and their place; bigrams are parts from 0, words from ``count``."""
+        known, context_of = np.unique(contexts, return_inverse=True)
+        # numbers inside the chunk sort like the keys that they stand for
+        pairs = (context_of.astype(np.uint64) << np.uint64(32)) | self.word_of.astype(np.uint64)
+        pairs, self.pair_of = np.unique(pairs, return_inverse=True)
+        self.contexts = known[(pairs >> np.uint64(32)).astype(np.int64)]
+        self.followers = self.words[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)] >> np.uint64(exchange.KEY_BITS - WORD_BITS)
+
+    def cuts(self, count: int) -> Iterator[tuple[int, int, int, int]]:
+        """Part number, lower border, and places of the keys; bigrams are parts from 0, words from ``count``."""
         border = exchange.borders(count)
-        for offset, keys in ((0, self.pairs), (count, self.words)):
+        for offset, keys in ((0, self.contexts), (count, self.words)):
             at = np.searchsorted(keys, border)
             for r in np.flatnonzero(at[1:] > at[:-1]).tolist():
-                yield offset + r, int(border[r]), keys[at[r] : at[r + 1]], int(at[r]), int(at[r + 1])
+                yield offset + r, int(border[r]), int(at[r]), int(at[r + 1])
+
+    def asked(self, part: int, count: int, base: int, a: int, b: int) -> tuple[bytes, bytes, bytes]:
+        """Keys of one cut: words; or contexts, each once, the number of their followers, and these."""
+        if part >= count:
+            return exchange.pack_sorted(self.words[a:b], base), b"", b""
+        own, runs = np.unique(self.contexts[a:b], return_counts=True)
+        return exchange.pack_sorted(own, base), exchange.pack(runs), exchange.pack(self.followers[a:b])
 
 
 def _questions(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
@@ -196,12 +228,12 @@ def _questions(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.Rec
         for first, end, part, edges in arrays.pieces(data, bounds, CHUNK_BYTES):
             own = _Chunk(part, edges, hasher)
             learned = np.repeat(train[first:end], own.sizes)
-            often = [np.bincount(of, weights=learned, minlength=len(keys)).astype(np.uint64) for of, keys in ((own.pair_of, own.pairs), (own.word_of, own.words))]
-            rows = [(p, p, exchange.pack_sorted(keys, base), exchange.pack(often[p >= count][a:b])) for p, base, keys, a, b in own.cuts(count)]
-            key, number, asked, seen = zip(*rows, strict=True)
+            often = [np.bincount(of, weights=learned, minlength=len(keys)).astype(np.uint64) for of, keys in ((own.pair_of, own.contexts), (own.word_of, own.words))]
+            rows = [(p, p, *own.asked(p, count, base, a, b), exchange.pack(often[p >= count][a:b])) for p, base, a, b in own.cuts(count)]
+            key, number, *packed = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array(number, pa.int32()), arrays.binary_column(asked), arrays.binary_column(seen)],
-                ["key", "chunk", "part", "a", "b"],
+                [pa.array(key, pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array(number, pa.int32()), *map(arrays.binary_column, packed)],
+                ["key", "chunk", "part", "a", "runs", "followers", "b"],
             )
             chunk += 1
 
@@ -213,18 +245,23 @@ def _answer(table: pa.Table, count: int) -> pa.Table:
     base, bound = int(border[part % count]), int(border[part % count + 1])
     asked = [exchange.unpack_sorted(x.as_py(), base) for x in table.column("a")]
     often = np.concatenate([exchange.unpack(x.as_py()) for x in table.column("b")])
-    distinct, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+    if part < count:
+        asked = [np.repeat(x, exchange.unpack(r.as_py()).astype(np.int64)) for x, r in zip(asked, table.column("runs"), strict=True)]
+        distinct, words, inverse = _distinct(np.concatenate(asked), np.concatenate([exchange.unpack(x.as_py()) for x in table.column("followers")]))
+    else:
+        distinct, inverse = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(inverse, weights=often, minlength=len(distinct)).astype(np.uint64)
     known = total > 0
     stops = np.cumsum([len(x) for x in asked])
     if part >= count:
         answers = [exchange.pack(total[inverse[a:b]]) for a, b in zip([0, *stops], stops, strict=False)]
     elif known.any():
-        trie = Trie(build_trie(distinct[known], total[known], base, bound), base)
-        answers = [trie.codes(x).tobytes() for x in asked]
+        trie = Trie(build_trie(distinct[known], total[known], base, bound, words[known]), base)
+        codes = trie.codes(distinct, words)
+        answers = [codes[inverse[a:b]].tobytes() for a, b in zip([0, *stops], stops, strict=False)]
     else:
         answers = [bytes(len(x)) for x in asked]
-    words = int(known.sum()) if part >= count else 0
+    known_words = int(known.sum()) if part >= count else 0
     tokens = int(total.sum()) if part >= count else 0
     rows = table.num_rows
     return pa.table(
@@ -232,7 +269,7 @@ def _answer(table: pa.Table, count: int) -> pa.Table:
             "chunk": table.column("chunk"),
             "part": table.column("part"),
             "a": arrays.binary_column(answers),
-            "words": pa.array([words] + [0] * (rows - 1), pa.int64()),
+            "words": pa.array([known_words] + [0] * (rows - 1), pa.int64()),
             "tokens": pa.array([tokens] + [0] * (rows - 1), pa.int64()),
         }
     )
@@ -275,8 +312,8 @@ def _score(table: pa.Table, count: int, tokens: int, words: int, mu: float) -> p
     size = int(edges[-1])
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(texts["a"], max_output_size=max(size, 1)), np.uint8)
     own = _Chunk(data, edges, arrays.SpanHasher(arrays.lower_table()))
-    codes, counts = np.zeros(len(own.pairs), np.uint8), np.zeros(len(own.words), np.float64)
-    for part, _, _, a, b in own.cuts(count):
+    codes, counts = np.zeros(len(own.contexts), np.uint8), np.zeros(len(own.words), np.float64)
+    for part, _, a, b in own.cuts(count):
         if part < count:
             codes[a:b] = np.frombuffer(answers.pop(part), np.uint8)
         else:
@@ -326,7 +363,7 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_col
         (~F.coalesce(held_out, F.lit(False))).alias("train"),
     )
     rows = materialize(rows, "texts")
-    asked = rows.mapInArrow(lambda batches: _questions(batches, count), "key int, chunk bigint, part int, a binary, b binary")
+    asked = rows.mapInArrow(lambda batches: _questions(batches, count), "key int, chunk bigint, part int, a binary, runs binary, followers binary, b binary")
     answered = asked.groupBy("key").applyInArrow(lambda t: _answer(t, count), "chunk bigint, part int, a binary, words bigint, tokens bigint")
     answered = materialize(answered, "answers")
     sums = answered.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
