@@ -167,10 +167,38 @@ def test_top_k_block_reads_bands():
         vectors = rng.integers(-wide, wide, (count, 8))
         ids = rng.permutation(count) * 7
         queries, query_ids = vectors[: count // 10 + 1], ids[: count // 10 + 1]
-        at, row, score = topk.search_block(vectors, ids, queries, query_ids)
+        at, row, score = topk.search_block(vectors, ids, np.ones(count, np.int64), queries, query_ids)
         for q in range(len(queries)):
             scores = vectors @ queries[q]
             order = [j for j in np.lexsort((ids, -scores)) if ids[j] != query_ids[q]][:5]
             assert row[at == q].tolist() == order and score[at == q].tolist() == scores[order].tolist()
-    with pytest.raises(ValueError, match="53 bits"):
-        topk.search_block(np.full((2, 2), 1 << 40), np.arange(2), np.full((1, 2), 1 << 40), np.arange(1))
+
+
+def test_top_k_of_huge_components(spark):
+    """Whole numbers far beyond 53 bits: exact up to 64 bits, and the nearest bound beyond."""
+    rng = random.Random(4)
+    sizes = [1.0, 1e3, 1e6, 3e6, 1e18, -1e18, 1e300]
+    rows = [(i, [rng.choice(sizes) * rng.uniform(0.1, 1) for _ in range(4)]) for i in range(120)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    low, high = -(2**63), 2**63 - 1
+    whole = {i: [min(max(int(np.floor(256 * x)) if abs(x) < 1e290 else high if x > 0 else low, low), high) for x in v] for i, v in rows}
+    want = set()
+    for q in (0, 50, 100):
+        scores = sorted((-min(max(sum(a * b for a, b in zip(whole[q], v, strict=True)), low), high), i) for i, v in whole.items() if i != q)
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])}
+    assert {tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 50 == 0).collect()} == want
+
+
+def test_top_k_of_repeated_ids(spark, monkeypatch):
+    """Rows with one id ask and answer each for itself, equal rows too."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 7)
+    rng = random.Random(5)
+    rows = [(rng.choice([0, 50, 50, 100, *range(1, 8)]), [float(rng.randrange(-3, 4)) for _ in range(3)]) for _ in range(60)]
+    rows += [rows[0], rows[0], (50, [1.0, 2.0, 3.0]), (50, [1.0, 2.0, 3.0]), (50, [-1.0, 0.0, 1.0])]
+    want = []
+    for a, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            scores = sorted((-int(sum(256 * x * 256 * y for x, y in zip(v, w, strict=True))), i) for b, (i, w) in enumerate(rows) if b != a)
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert sorted(map(tuple, topk.top_k(frame, F.col("vec_id") % 50 == 0).collect())) == sorted(want)

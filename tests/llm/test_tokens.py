@@ -74,6 +74,39 @@ def test_memory_starts_over(ranks, reference):
         assert counts[0] == counts[1]
 
 
+def thue_morse(size):
+    """Two words of ``size`` letters that a polynomial modulo a power of two cannot tell apart."""
+    ones = [bin(i).count("1") % 2 for i in range(size)]
+    return "".join("ab"[x] for x in ones), "".join("ba"[x] for x in ones)
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_words_that_polynomials_confuse(ranks, reference, size):
+    encoder = bpe.Encoder(ranks)
+    gather = bpe.Gatherer(lambda spans: map(encoder.encode, spans))
+    pair = thue_morse(size)
+    data, bounds = arrays.text_bytes(pa.array(pair))
+    counts, ids = gather(data, bounds)
+    assert len(set(arrays.SpanHasher()(data, bounds[:-1], bounds[1:]).tolist())) == 2
+    assert np.split(ids, [counts[0]])[0].tolist() == reference.encode_ordinary(pair[0])
+    assert np.split(ids, [counts[0]])[1].tolist() == reference.encode_ordinary(pair[1])
+    library = Tokenizer.from_file(JSON)
+    gather = packing._tokenizer_gatherer(JSON)
+    counts, ids = gather(data, bounds)
+    assert ids.tolist() == [i for word in pair for i in library.encode(word, add_special_tokens=False).ids]
+
+
+def test_colliding_hashes_change_nothing(ranks, reference):
+    encoder = bpe.Encoder(ranks)
+    gather = bpe.Gatherer(lambda spans: map(encoder.encode, spans))
+    gather.hasher = lambda data, starts, ends: np.minimum(ends - starts, 2).astype(np.uint64)
+    rows = random_texts(60)
+    for _ in range(2):
+        data, bounds = arrays.text_bytes(pa.array(rows))
+        counts, ids = gather(data, bounds)
+        assert ids.tolist() == [i for t in rows for i in reference.encode_ordinary(t)]
+
+
 def test_encode_and_decode(spark, reference):
     docs = documents(spark)
     rows = bpe.decode(bpe.encode(docs, RANKS), RANKS).collect()

@@ -6,6 +6,7 @@ characters are classes of bytes, because every byte of a multi-byte character is
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 from collections.abc import Callable, Hashable, Iterator
@@ -20,7 +21,8 @@ PIECE_BYTES = 2 << 20
 T = TypeVar("T")
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+#: Masks of the lowest 0 to 8 bytes of a word.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def kept_by_worker(key: Hashable, make: Callable[[], T]) -> T:
@@ -114,31 +116,43 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 class SpanHasher:
-    """64-bit hashes of byte spans from one running sum per piece.
+    """64-bit hashes of byte spans, mixed eight bytes at a time.
 
-    ``fold`` maps bytes before hashing (for example to lower case), so equal folded spans hash equally.
+    ``fold`` maps bytes before hashing (for example to lower case), so equal folded spans hash equally. Spans of equal
+    length up to eight bytes never collide. A span beyond ``LONG`` bytes is digested as a whole.
     """
 
+    LONG = 1024
+
     def __init__(self, fold: np.ndarray | None = None, seed: int = 7):
-        table = np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
-        self.table = table if fold is None else table[fold]
-        self.powers = np.ones(1, np.uint64)
-        self.inverses = np.ones(1, np.uint64)
-
-    def _reserve(self, size: int) -> None:
-        if len(self.powers) < size:
-            inverse = pow(_MULTIPLIER, -1, 1 << 64)
-            for name, base in (("powers", _MULTIPLIER), ("inverses", inverse)):
-                steps = np.full(size, base & _MASK, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+        self.fold = fold
+        self.seed = np.uint64(seed)
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._reserve(max(len(data), 1))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * self.powers[: len(data)], dtype=np.uint64, out=sums[1:])
-        raw = (sums[ends] - sums[starts]) * self.inverses[np.minimum(starts, len(self.inverses) - 1)]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data if self.fold is None else self.fold[data]
+        blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+        sizes = ends - starts
+        state = mix(sizes.astype(np.uint64) * np.uint64(_MULTIPLIER) + self.seed)
+        state = mix(state ^ (blocks[starts] & _LOW_BYTES[np.minimum(sizes, 8)]))
+        left = np.flatnonzero((sizes > 8) & (sizes <= self.LONG))
+        at = 8
+        while len(left):
+            state[left] = mix(state[left] ^ (blocks[starts[left] + at] & _LOW_BYTES[np.minimum(sizes[left] - at, 8)]))
+            at += 8
+            left = left[sizes[left] > at]
+        for i in np.flatnonzero(sizes > self.LONG).tolist():
+            digest = hashlib.blake2b(padded[starts[i] : ends[i]], digest_size=8, key=b"span")
+            state[i] ^= np.uint64(int.from_bytes(digest.digest(), "little"))
+        return state
+
+
+def equal_spans(data: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the ``sizes[i]`` bytes at ``starts[i]`` and at ``others[i]`` are the same, for every i."""
+    differs = data[ragged_positions(starts, sizes)] != data[ragged_positions(others, sizes)]
+    upto = np.concatenate(([0], np.cumsum(differs)))
+    stops = np.cumsum(sizes)
+    return upto[stops] == upto[stops - sizes]
 
 
 def ragged_positions(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

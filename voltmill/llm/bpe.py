@@ -169,7 +169,7 @@ class Gatherer:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.flat = array("i")
         self.begins = array("q", [0])
 
@@ -179,19 +179,25 @@ class Gatherer:
         if len(starts) == 0:
             return np.zeros(len(bounds) - 1, np.int64), np.zeros(0, np.int32)
         ends = np.append(starts[1:], len(data))
-        keys, first, inverse = np.unique(self.hasher(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.index) + len(keys) > self.memory:
+        _, first, inverse = np.unique(self.hasher(data, starts, ends), return_index=True, return_inverse=True)
+        sizes = ends - starts
+        # a hash only proposes; a span whose bytes differ from those of its like stands for itself
+        likes = first[inverse]
+        odd = sizes != sizes[likes]
+        odd[~odd] = ~arrays.equal_spans(data, starts[~odd], starts[likes[~odd]], sizes[~odd])
+        if odd.any():
+            inverse[odd] = len(first) + np.arange(int(odd.sum()))
+            first = np.concatenate((first, np.flatnonzero(odd)))
+        if len(self.index) + len(first) > self.memory:
             self._clear()
-        keys = keys.tolist()
-        new = [i for i, key in enumerate(keys) if key not in self.index]
         raw = data.tobytes()
-        where = first[new]
-        spans = [raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-        for i, ids in zip(new, self.encode_many(spans), strict=True):
-            self.index[keys[i]] = len(self.begins) - 1
+        spans = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        new = [span for span in dict.fromkeys(spans) if span not in self.index]
+        for span, ids in zip(new, self.encode_many(new), strict=True):
+            self.index[span] = len(self.begins) - 1
             self.flat.extend(ids)
             self.begins.append(len(self.flat))
-        slots = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))[inverse]
+        slots = np.fromiter(map(self.index.__getitem__, spans), np.int64, len(spans))[inverse]
         begins = np.array(self.begins, np.int64)
         counts = (begins[1:] - begins[:-1])[slots]
         ids = np.array(self.flat, np.int32)[arrays.ragged_positions(begins[slots], counts)]

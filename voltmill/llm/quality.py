@@ -64,15 +64,15 @@ def _repeated(words: Column) -> Column:
     )
 
 
-def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """Base statistics of every whole text, and ``base_failed``.
+def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", by: tuple[str, ...] = ("lang", "source"), carry: bool = False) -> DataFrame:
+    """Base statistics of every whole text, and ``base_failed``; with ``carry`` also the whole row as ``_record``.
 
     Words are runs without ASCII white space; a null text has none. The grouping columns are kept as strings.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     symbols = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), SYMBOLS, F.col("_text"))
     lines = F.filter(F.split("_text", "\n", -1), lambda line: F.btrim(line, F.lit(SPACE)) != "")
-    rows = docs.select(F.col(id_column).alias("_id"), *(F.col(c).cast("string").alias(f"_by{i}") for i, c in enumerate(by)), text.alias("_text"))
+    rows = docs.select(F.col(id_column).alias("_id"), *(F.col(c).cast("string").alias(f"_by{i}") for i, c in enumerate(by)), text.alias("_text"), *([F.struct("*").alias("_record")] if carry else []))
     split = rows.withColumn("_words", F.split(F.btrim("_text", F.lit(SPACE)), "[ \\t-\\r]+", -1)).withColumn(
         "_words", F.when(F.btrim("_text", F.lit(SPACE)) == "", F.array().cast("array<string>")).otherwise(F.col("_words"))
     )
@@ -85,6 +85,7 @@ def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         let(lines, F.size).cast("long").alias("n_lines"),
         _repeated(F.col("_words")).alias("n_repeat_words"),
+        *(["_record"] if carry else []),
     )
     return found.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
@@ -171,7 +172,8 @@ def _core(rows: DataFrame, groups: list[str]) -> DataFrame:
         lambda done, b: F.when(done["seen"] >= F.col("total") * CORE, done).otherwise(F.struct((done["seen"] + b["n"]).alias("seen"), b["bin"].alias("bin"))),
         lambda done: done["bin"],
     )
-    limits = ordered.select(*(F.col(g).alias(f"c_{g}") for g in groups), last.alias("last"))
+    # one row for each group, written so that its size is known when the join is planned
+    limits = materialize(ordered.select(*(F.col(g).alias(f"c_{g}") for g in groups), last.alias("last")), "limits")
     match = reduce(lambda a, b: a & b, [F.col(g) == F.col(f"c_{g}") for g in groups])
     return binned.join(limits, match).where("bin <= last").select(*rows.columns)
 
@@ -184,9 +186,21 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     small group leans on its language and on all documents. Repeated rows are judged each; an empty table gives an
     empty table; other columns are ignored, whatever their names.
     """
+    return _judged(docs, id_column, text_column, by, cut, []).withColumnRenamed("_id", id_column)
+
+
+def keep(docs: DataFrame, text_column: str = "text", by: tuple[str, ...] = ("lang", "source"), cut: float = CUT) -> DataFrame:
+    """The whole rows of ``docs`` that :func:`judge` keeps.
+
+    Rows are written once beside their statistics and filtered there, so no text is shuffled to find its verdict.
+    """
+    return _judged(docs, text_column, text_column, by, cut, ["_record"]).where("kept").select("_record.*")
+
+
+def _judged(docs: DataFrame, id_column: str, text_column: str, by: tuple[str, ...], cut: float, carried: list[str]) -> DataFrame:
     groups = [f"_by{i}" for i in range(len(by))]
-    found = materialize(statistics(docs, id_column, text_column, by).na.fill("\u0000", groups), "statistics")
-    base = ["_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    found = materialize(statistics(docs, id_column, text_column, by, bool(carried)).na.fill("\u0000", groups), "statistics")
+    base = [*carried, "_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     able = found.where(~F.col("base_failed"))
     vectors = able.select("_id", *groups, *(v.alias(f"x{i}") for i, v in enumerate(_vector())))
     middle = vectors.groupBy(*groups).agg(
@@ -204,4 +218,4 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     judged = _with_distance(able.select(*base, *groups, *(v.alias(f"x{i}") for i, v in enumerate(_vector()))), estimate, groups)
     far = judged.select(*base, "d2")
     failed = found.where("base_failed").select(*base, F.lit(None).cast("double").alias("d2"))
-    return far.unionByName(failed).withColumn("kept", F.coalesce(F.col("d2") <= cut, F.lit(False))).withColumnRenamed("_id", id_column)
+    return far.unionByName(failed).withColumn("kept", F.coalesce(F.col("d2") <= cut, F.lit(False)))

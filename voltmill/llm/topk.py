@@ -25,23 +25,34 @@ BANDS = 8
 RESOLVED = 32
 
 
-def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Sums up to here are exact in 64-bit floats; beyond, bounds get a margin and finalists are settled in whole numbers.
+EXACT = 2.0**53
+_LEAST, _MOST = -(2**63), 2**63 - 1
+
+
+def search_block(
+    vectors: np.ndarray, ids: np.ndarray, copies: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int = K
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The best ``k`` candidates of each query among ``vectors``: query index, candidate index and score.
 
-    A candidate with the id of the query is left out; ties go to the smaller id.
+    ``copies`` counts the rows that a candidate stands for. The one with the query's own id and vector stands for one
+    row less. Ties go to the smaller id; scores beyond 64 bits take the nearest bound.
     """
     rows, dims = vectors.shape
-    most = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * dims
-    if most >= 2.0**53:
-        raise ValueError("scores do not fit in 53 bits")
+    most = float(np.abs(vectors.astype(float)).max(initial=0)) * float(np.abs(queries.astype(float)).max(initial=0)) * dims
     kind = np.float32 if most < 2.0**24 else np.float64  # sums of integers are exact in both
     x, q = vectors.astype(kind), queries.astype(kind)
-    order = np.argsort(-vectors, axis=0, kind="stable")
+    margin = np.abs(q) @ np.abs(x).T * (dims + 4) * 2.0**-52 if most >= EXACT else None
+    order = np.argsort(-x, axis=0, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(rows)[:, None], axis=0)
     from_top = (rank * BANDS // max(rows, 1)).astype(np.int8)
     from_bottom = ((rows - 1 - rank) * BANDS // max(rows, 1)).astype(np.int8)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
+    # rows left of each candidate; a query's own row is none
+    left = np.broadcast_to(copies, (len(q), rows)).copy()
+    for i, j in zip(*np.nonzero(ids[None, :] == query_ids[:, None]), strict=True):
+        left[i, j] -= bool((vectors[j] == queries[i]).all())
     partial = np.zeros((len(q), rows), kind)
     open_queries = np.arange(len(q))
     found: list[tuple[int, np.ndarray]] = []
@@ -63,7 +74,9 @@ def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
             a, b = unread_top.T.astype(kind), unread_bottom.T.astype(kind)
             high = part + (up[open_queries] * best_top) @ a + (down[open_queries] * best_bottom) @ b
             low = part + (up[open_queries] * x.min(axis=0)) @ a + (down[open_queries] * x.max(axis=0)) @ b
-        own = ids[None, :] == query_ids[open_queries][:, None]
+        if most >= EXACT:  # scores at a bound of 64 bits are ties
+            low, high = (np.clip(b, _LEAST, _MOST) for b in (low - margin[open_queries], high + margin[open_queries]))
+        own = left[open_queries] <= 0
         low = np.where(own, -np.inf, low)
         high = np.where(own, -np.inf, high)
         if rows > k:
@@ -76,10 +89,14 @@ def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
         found += [(int(open_queries[i]), np.flatnonzero(alive[i])) for i in np.flatnonzero(done)]
         open_queries = open_queries[~done]
     out_query, out_row, out_score = [], [], []
-    wide = vectors.astype(np.int64)
+    whole = object if most >= EXACT else np.int64
     for i, able in found:
-        scores = wide[able] @ queries[i].astype(np.int64)
-        first = np.lexsort((ids[able], -scores))[:k]
+        scores = vectors[able].astype(whole) @ queries[i].astype(whole)
+        if whole is object:
+            scores = np.array([min(max(s, _LEAST), _MOST) for s in scores], np.int64)
+        first = np.lexsort((ids[able], ~scores))[:k]  # ~s orders as -s does, without an overflow
+        often = np.minimum(left[i, able[first]], k)
+        first = np.repeat(first, often)[:k]
         out_query.append(np.full(len(first), i))
         out_row.append(able[first])
         out_score.append(scores[first])
@@ -89,41 +106,53 @@ def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
 
 
 def _packed(rows: DataFrame, key: str) -> DataFrame:
-    """One row for each block and number of dimensions: ids and vectors as bytes."""
+    """One row for each block and number of dimensions: distinct ids and vectors in order, and copies, as bytes."""
 
     def run(table: pa.Table) -> pa.Table:
-        vectors = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i8")
-        ids = table.column("id").to_numpy().astype("<i8")
+        dims = table.column("dims")[0].as_py()
+        vectors = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(-1, dims)
+        both = np.column_stack((table.column("id").to_numpy().astype("<i8"), vectors))
+        both, copies = np.unique(both, axis=0, return_counts=True)
         return pa.table(
             {
-                "dims": pa.array([table.column("dims")[0].as_py()], pa.int32()),
+                "dims": pa.array([dims], pa.int32()),
                 key: pa.array([table.column(key)[0].as_py()], pa.int32()),
-                f"{key}_ids": pa.array([ids.tobytes()], pa.binary()),
-                f"{key}_vectors": pa.array([vectors.tobytes()], pa.binary()),
+                "ids": pa.array([both[:, 0].tobytes()], pa.binary()),
+                "copies": pa.array([copies.astype("<i8").tobytes()], pa.binary()),
+                "vectors": pa.array([np.ascontiguousarray(both[:, 1:]).tobytes()], pa.binary()),
             }
         )
 
-    return rows.groupBy("dims", key).applyInArrow(run, f"dims int, {key} int, {key}_ids binary, {key}_vectors binary")
+    return rows.groupBy("dims", key).applyInArrow(run, f"dims int, {key} int, ids binary, copies binary, vectors binary")
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Answers of packs of queries that stream past the block before them; a block comes first of its rows."""
+    held: dict = {}
+    names = ["pack", "dims", "place", "query_id", "copies", "vec_id", "score"]
     for batch in batches:
-        for row in batch.to_pylist():
-            ids = np.frombuffer(row["block_ids"], "<i8")
-            query_ids = np.frombuffer(row["pack_ids"], "<i8")
-            vectors = np.frombuffer(row["block_vectors"], "<i8").reshape(len(ids), row["dims"])
-            queries = np.frombuffer(row["pack_vectors"], "<i8").reshape(len(query_ids), row["dims"])
-            at, found, scores = search_block(vectors, ids, queries, query_ids, k)
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[at]), pa.array(ids[found]), pa.array(scores)], ["query_id", "vec_id", "score"])
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            ids, copies = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["copies"], "<i8")
+            vectors = np.frombuffer(row["vectors"], "<i8").reshape(len(ids), row["dims"])
+            if row["pack"] is None:
+                held = {"key": (row["dims"], row["block"]), "ids": ids, "copies": copies, "vectors": vectors}
+            if row["pack"] is None or held.get("key") != (row["dims"], row["block"]):
+                continue  # no candidate of that length is in the block
+            at, found, scores = search_block(held["vectors"], held["ids"], held["copies"], vectors, ids, k)
+            same = [pa.array(np.full(len(at), row[n]), pa.int32()) for n in ("pack", "dims")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(at.astype(np.int32)), *map(pa.array, (ids[at], copies[at], held["ids"][found], scores))], names)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 256) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of the ``k`` best candidates of every query row.
 
-    Components become floor(``scale`` * x); the score is the integer inner product; ties go to the smaller id. Every
-    row but the query's own is a candidate; vectors of other lengths are not. Rows with a null id, a null or empty
-    vector, or a null or non-finite component take no part. Repeated ids count as one vector's own copies: they are no
-    candidates of each other. Empty tables give empty tables; other columns are ignored.
+    Components become floor(``scale`` * x), at most the bounds of 64 bits; the score is the integer inner product,
+    with the same bounds; ties go to the smaller id. Every row but the query's own is a candidate; vectors of other
+    lengths are not. Rows with a null id, a null or empty vector, or a null or non-finite component take no part. Each
+    row of a repeated id is a query and a candidate of its own: its ``k`` rows stand beside those of the other, and
+    one may be a candidate of the other, also where both vectors agree. Empty tables give empty tables; other columns
+    are ignored.
     """
     able = vectors.where(
         F.col(id_column).isNotNull()
@@ -132,18 +161,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_column: str = "ve
         & F.forall(vector_column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     ).select(
         F.col(id_column).cast("long").alias("id"),
-        F.transform(vector_column, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"),
+        F.transform(vector_column, lambda x: _whole(x.cast("double") * scale)).alias("v"),
         is_query.alias("asks"),
     )
     able = able.withColumn("dims", F.size("v"))
     sizes = able.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
     blocks, packs = max(1, -(-sizes["n"] // BLOCK_ROWS)), max(1, -(-sizes["q"] // QUERY_ROWS))
+    # equal rows meet in one block and one pack, so they are told apart by their number alone
     dealt = F.xxhash64("id", "v")
     candidates = _packed(able.withColumn("block", F.pmod(dealt, F.lit(blocks)).cast("int")).select("id", "v", "dims", "block"), "block")
     asked = able.where("asks").withColumn("pack", F.pmod(dealt, F.lit(packs)).cast("int")).select("id", "v", "dims", "pack")
     queries = _packed(asked, "pack").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = queries.join(candidates, ["dims", "block"]).repartition(F.xxhash64("block", "pack"))
-    met = met.select("dims", "block_ids", "block_vectors", "pack_ids", "pack_vectors")
-    found = met.mapInArrow(lambda batches: _search(batches, k), "query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # a block is sent once, a query once for each block; neither is repeated for each pair
+    met = candidates.withColumn("pack", F.lit(None).cast("int")).unionByName(queries).repartition("block").sortWithinPartitions("dims", "block", F.asc_nulls_first("pack"))
+    schema = "pack int, dims int, place int, query_id bigint, copies bigint, vec_id bigint, score bigint"
+    found = met.mapInArrow(lambda batches: _search(batches, k), schema)
+    best = Window.partitionBy("dims", "pack", "place").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    # a query that stands for several equal rows answers for each of them
+    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("query_id", "rank", "vec_id", "score")
+
+
+def _whole(value: Column) -> Column:
+    """Floor as a long, with the bounds of 64 bits beyond them."""
+    top, bottom = F.lit(2.0**63), F.lit(-(2.0**63))
+    return F.when(value >= top, F.lit(_MOST)).when(value <= bottom, F.lit(_LEAST)).otherwise(F.floor(value))

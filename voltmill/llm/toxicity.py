@@ -323,22 +323,17 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     """
     kind = docs.schema[id_column].dataType.simpleString()
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())])
-    used = np.flatnonzero(model.weights)
-    packed = (used, model.weights[used].astype(np.float32))
-    rest = (model.bias, model.transition, model.first, model.curve)
+    packed = _packed(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.zeros(SLOTS)
-        weights[packed[0]] = packed[1]
-        own = Model(weights, *rest)
+        own = _unpacked(packed)
         hasher = arrays.SpanHasher(_FOLD)
         for batch in batches:
             data, bounds = arrays.text_bytes(batch.column(1))
             for begin, end, part, edges in arrays.pieces(data, bounds):
                 keys, starts, ends, first = features(part, edges, hasher)
                 p = marginals(keys, first, own)
-                x = _summaries(p, first)
-                scores = 1 / (1 + np.exp(-np.clip(x @ own.curve, -30, 30)))
+                scores = _probability(p, first, own)
                 spans: list[list[dict]] = [[] for _ in range(end - begin)]
                 likely = np.flatnonzero(p >= LIKELY)
                 if len(likely):
@@ -363,6 +358,44 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
+def drop_toxic(docs: DataFrame, model: Model, text_column: str = "text", limit: float = 0.5) -> DataFrame:
+    """The whole rows of ``docs`` that score below ``limit``, filtered where they are read: nothing is shuffled.
+
+    Columns stay as they are, whatever their names; nulls, repeated rows and empty tables as in :func:`score`.
+    """
+    packed = _packed(model)
+    column = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _unpacked(packed)
+        hasher = arrays.SpanHasher(_FOLD)
+        for batch in batches:
+            data, bounds = arrays.text_bytes(batch.column(column).cast(pa.string()))
+            for begin, end, part, edges in arrays.pieces(data, bounds):
+                keys, _, _, first = features(part, edges, hasher)
+                clean = _probability(marginals(keys, first, own), first, own) < limit
+                yield batch.slice(begin, end - begin).filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _packed(model: Model) -> tuple:
+    """A model as it travels to the tasks: weights that are not zero, with four bytes each, and the rest."""
+    used = np.flatnonzero(model.weights)
+    return (used, model.weights[used].astype(np.float32)), (model.bias, model.transition, model.first, model.curve)
+
+
+def _unpacked(packed: tuple) -> Model:
+    weights = np.zeros(SLOTS)
+    weights[packed[0][0]] = packed[0][1]
+    return Model(weights, *packed[1])
+
+
+def _probability(p: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
+    """Score of each document from the marginals of its tokens."""
+    return 1 / (1 + np.exp(-np.clip(_summaries(p, first) @ model.curve, -30, 30)))
+
+
 def held_out(id_column: str = "doc_id") -> Column:
     """Documents that are never learned from: a fifth, by the checksum of the id as text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 5 == 0
