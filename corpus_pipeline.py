@@ -33,30 +33,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW, F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), file.alias("file"), F.col("_metadata.row_index").alias("place")))
 
 
-def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows whose key is not among the rejected ones."""
-    gone = rejected.select(F.col(ROW).alias("gone_row"))
-    return keyed.join(gone, F.col(ROW) == F.col("gone_row"), "left_anti").drop(ROW)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the field scores below one half."""
-    keyed = _keyed(docs)
-    found = toxicity.score(keyed, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), ROW)
-    return _without(keyed, found.where(F.col("score") >= 0.5))
+    return toxicity.drop_toxic(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rules and are no outliers of their language and source."""
-    keyed = _keyed(docs)
-    return _without(keyed, quality.judge(keyed, ROW).where(~F.col("kept")))
+    return quality.keep(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies, the one with the smallest id; rows without an id count like others."""
+    """One row of each component of near copies, the one with the smallest id; rows without an id count like others.
+
+    The keys of the rows that go are written first, so that the join with the texts is planned by their size.
+    """
     keyed = _keyed(docs)
     found = jaccard.jaccard_components(keyed, ROW)
-    return _without(keyed, found.where(F.col("component_id") != F.col(ROW)))
+    gone = materialize(found.where(F.col("component_id") != F.col(ROW)).select(F.col(ROW).alias("gone_row")), "copies")
+    return keyed.join(gone, F.col(ROW) == F.col("gone_row"), "left_anti").drop(ROW)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
