@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltmill.llm import bpe, fill_in_middle, jaccard, language_model, licenses, packing, quality, sharding, topk, toxicity, urls
+from voltmill.llm import bpe, fill_in_middle, jaccard, language_model, licenses, packing, periodic_runs, quality, sharding, topk, toxicity, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +105,46 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restored.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, in which the words of every tenth document repeat from some place on.
+
+    Place, period and choice follow from the checksum of the id; a null id counts as empty. The words of such a text are
+    joined by single blanks, others are left as they are.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    drawn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    turn = F.floor(drawn / 10)
+    words = F.split(F.btrim(text, F.lit(quality.SPACE)), "[ \\t-\\r]+", -1)
+
+    def repeated(ws: Column) -> Column:
+        start = F.pmod(turn, F.size(ws)).cast("int")
+        period = (1 + F.floor((F.size(ws) - start) / (3 + turn % 8))).cast("int")
+        unit = F.slice(ws, start + 1, period)
+        tail = quality.let(unit, lambda u: F.transform(F.sequence(F.lit(0), F.size(ws) - start - 1), lambda i: F.get(u, i % period)))
+        return F.array_join(F.concat(F.slice(ws, F.lit(1), start), tail), " ")
+
+    planted = (drawn % 10 == 0) & (F.btrim(text, F.lit(quality.SPACE)) != "")
+    return docs.select("doc_id", F.when(planted, quality.let(words, repeated)).otherwise(text).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every document, the one of the most periods, and digests of all of them and of the text without them."""
+    found = periodic_runs.find_runs(_with_repeats(documents(spark, sf_dir)))
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    # runs are in order, so only one of more periods replaces the best so far
+    best = F.aggregate("runs", none, lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    chosen = found.withColumn("best", best)
+    return chosen.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
@@ -117,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_model": op9_language_model,
     "op10_jaccard": op10_jaccard,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
