@@ -155,6 +155,21 @@ def equal_spans(data: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes:
     return upto[stops] == upto[stops - sizes]
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of spans that stand for all, and for each span the place of its like among them.
+
+    A hash only proposes; a span whose bytes differ from those of its like stands for itself.
+    """
+    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    sizes, likes = ends - starts, first[inverse]
+    odd = sizes != sizes[likes]
+    odd[~odd] = ~equal_spans(data, starts[~odd], starts[likes[~odd]], sizes[~odd])
+    if odd.any():
+        inverse[odd] = len(first) + np.arange(int(odd.sum()))
+        first = np.concatenate((first, np.flatnonzero(odd)))
+    return first, inverse
+
+
 def ragged_positions(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Positions ``starts[i] .. starts[i] + counts[i] - 1`` of all i, one after another."""
     total = int(counts.sum())

@@ -179,15 +179,7 @@ class Gatherer:
         if len(starts) == 0:
             return np.zeros(len(bounds) - 1, np.int64), np.zeros(0, np.int32)
         ends = np.append(starts[1:], len(data))
-        _, first, inverse = np.unique(self.hasher(data, starts, ends), return_index=True, return_inverse=True)
-        sizes = ends - starts
-        # a hash only proposes; a span whose bytes differ from those of its like stands for itself
-        likes = first[inverse]
-        odd = sizes != sizes[likes]
-        odd[~odd] = ~arrays.equal_spans(data, starts[~odd], starts[likes[~odd]], sizes[~odd])
-        if odd.any():
-            inverse[odd] = len(first) + np.arange(int(odd.sum()))
-            first = np.concatenate((first, np.flatnonzero(odd)))
+        first, inverse = arrays.distinct_spans(data, starts, ends, self.hasher(data, starts, ends))
         if len(self.index) + len(first) > self.memory:
             self._clear()
         raw = data.tobytes()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltmill.llm import bpe, fill_in_middle, jaccard, language_model, licenses, packing, periodic_runs, quality, sharding, topk, toxicity, urls
+from voltmill.llm import bpe, fill_in_middle, jaccard, language_model, licenses, packing, periodic_runs, quality, sharding, suffix_dedup, topk, toxicity, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +98,13 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 50 bytes or more that an earlier document has, as digests."""
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda done, s: done + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in its fill-in-middle form, and restored from it, as digests."""
     restored = fill_in_middle.restore(fill_in_middle.transform(documents(spark, sf_dir)))
@@ -156,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_language_model": op9_language_model,
     "op10_jaccard": op10_jaccard,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -190,6 +198,19 @@ reach AS (
   UNION SELECT l.b, r.root FROM reach r JOIN linked l ON l.a = r.node WHERE r.root < l.b
 )
 SELECT s.doc_id, len(s.s) AS n_shingles, (SELECT min(root) FROM reach r WHERE r.node = s.doc_id) AS component_id FROM sets s""",
+    "op11_suffix_dedup": """WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+starts AS (SELECT r, doc_id, x, unnest(range(len(x) // 2 - 49)) AS i FROM docs WHERE len(x) >= 100 AND doc_id IS NOT NULL),
+windows AS (SELECT r, i, doc_id > min(doc_id) OVER (PARTITION BY substr(x, 2 * i + 1, 100)) AS again FROM starts),
+repeats AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens FROM windows WHERE again),
+numbered AS (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS k FROM repeats),
+spans AS (SELECT r, k, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY r, k),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+cut AS (
+  SELECT r, count(*) AS n, sum(g.b - g.a) AS gone, string_agg(substr(d.x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(d.x), 2 * max(b) + 1) AS x
+  FROM gaps g JOIN docs d USING (r) GROUP BY r
+)
+SELECT doc_id, len(docs.x) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(cut.x, docs.x))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (r)""",
     "op12_fill_in_middle": """WITH units AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]', 0, 's') AS u,
     sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
