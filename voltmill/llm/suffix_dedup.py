@@ -39,7 +39,10 @@ WINDOWS = 128
 COMMON = 1 << 14
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_SYMBOL_BITS = 9
+#: Positions whose grams are hashed at a time.
+BLOCK = 1 << 15
+#: Ends a string in an index; no byte of UTF-8.
+_END = 255
 
 
 def gram_bytes(span: int) -> int:
@@ -50,48 +53,61 @@ def gram_bytes(span: int) -> int:
 def least_grams(data: np.ndarray, span: int) -> np.ndarray:
     """Least gram hash of the window that starts at each byte; the last ``span - 1`` bytes start none."""
     size, gram = len(data), gram_bytes(span)
-    padded = np.zeros(size + gram + 8, np.uint8)
+    wanted = span - gram + 1
+    padded = np.zeros(size + span + 8, np.uint8)
     padded[:size] = data
-    mixed = arrays.mix(np.ndarray((size + gram,), "<u8", padded, strides=(1,)).astype(np.uint64) + _STEP)
-    hashes = mixed[:size].copy()
-    for k in range(8, gram, 8):
-        hashes *= _STEP
-        hashes += mixed[k : k + size]
-    least, width, wanted = arrays.mix(hashes), 1, span - gram + 1
-    while width < wanted:
-        step = min(width, wanted - width)
-        least = np.minimum(least[:-step], least[step:])
-        width += step
-    return least
+    words = np.ndarray((size + span,), "<u8", padded, strides=(1,))
+    out = np.empty(size, np.uint64)
+    for begin in range(0, size, BLOCK):  # blocks that stay in the processor's cache
+        rows = min(BLOCK, size - begin)
+        mixed = words[begin : begin + rows + span] * _STEP
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _STEP
+        mixed ^= mixed >> np.uint64(29)
+        hashes = mixed[: rows + wanted].copy()
+        for k in range(8, gram, 8):
+            hashes *= _STEP
+            hashes += mixed[k : k + rows + wanted]
+        width = 1
+        while width < wanted:
+            step = min(width, wanted - width)
+            hashes = np.minimum(hashes[:-step], hashes[step:])
+            width += step
+        out[begin : begin + rows] = hashes[:rows]
+    return out
 
 
 class Stretches:
     """Consecutive windows of one least gram: first byte, windows, row and gram key; rows without an id have none."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, able: np.ndarray, span: int):
-        count = np.where(able, np.maximum(np.diff(bounds) - span + 1, 0), 0)
-        at = arrays.ragged_positions(bounds[:-1], count)
+        # windows of a row are its first bytes
+        stop = bounds[:-1] + np.where(able, np.maximum(np.diff(bounds) - span + 1, 0), 0)
         self.start = self.windows = self.row = np.zeros(0, np.int64)
         self.keys, self.key = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if len(at) == 0:
+        if (stop == bounds[:-1]).all():
             return
-        least = least_grams(data, span)[at]
-        row = np.repeat(np.arange(len(count)), count)
-        opens = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (row[1:] != row[:-1]))))
-        sizes = np.diff(np.append(opens, len(at)))
+        least = least_grams(data, span)
+        change = np.ones(len(data), bool)
+        np.not_equal(least[1:], least[:-1], out=change[1:])
+        change[bounds[:-1][bounds[:-1] < len(data)]] = True
+        opens = np.flatnonzero(change)
+        rows = np.searchsorted(bounds, opens, side="right") - 1
+        sizes = np.minimum(np.append(opens[1:], len(data)), stop[rows]) - opens
+        used = sizes > 0
+        opens, rows, sizes = opens[used], rows[used], sizes[used]
         parts = -(-sizes // WINDOWS)
         part = arrays.ragged_positions(np.zeros(len(sizes), np.int64), parts)
-        opens = np.repeat(opens, parts) + part * WINDOWS
-        self.start, self.row = at[opens], row[opens]
+        self.start, self.row = np.repeat(opens, parts) + part * WINDOWS, np.repeat(rows, parts)
         self.windows = np.minimum(np.repeat(sizes, parts) - part * WINDOWS, WINDOWS)
         #: distinct gram keys, and the place of each stretch's own
-        self.keys, self.key = np.unique(least[opens] >> np.uint64(64 - exchange.KEY_BITS), return_inverse=True)
+        self.keys, self.key = np.unique(np.repeat(least[opens], parts) >> np.uint64(64 - exchange.KEY_BITS), return_inverse=True)
 
     def seen(self) -> tuple[np.ndarray, np.ndarray]:
         """For each key whether several rows hold it, and its stretches, at most 65535."""
-        order = np.argsort(self.key, kind="stable")
-        first = np.searchsorted(self.key[order], np.arange(len(self.keys)))
-        last = np.append(first[1:], len(order)) - 1
+        order = _order(self.key.astype(np.uint64))
+        last = np.cumsum(np.bincount(self.key, minlength=len(self.keys))) - 1
+        first = np.concatenate(([0], last[:-1] + 1))
         rows = self.row[order]
         return rows[first] != rows[last], np.minimum(last - first + 1, 65535).astype(np.uint16)
 
@@ -115,88 +131,99 @@ class Stretches:
         return start, windows, row, place[inverse], start[first], windows[first], bucket[order]
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of their first ``depth`` symbols, and where symbols of a new prefix begin in that order."""
-    n, size = len(symbols), min(depth, 63 // _SYMBOL_BITS)
-    padded = np.concatenate((symbols, np.zeros(size, symbols.dtype))).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(size):
-        key = key << np.uint64(_SYMBOL_BITS) | padded[k : k + n]
-    while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        fresh = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-        if size == depth:
-            return order, np.flatnonzero(fresh)
-        rank = np.zeros(2 * n + 1, np.uint64)
-        rank[:n][order] = np.cumsum(fresh)
-        step = min(size, depth - size)
-        key = rank[:n] * np.uint64(n + 1) + rank[step : step + n]
-        size += step
+def _order(values: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Stable order of numbers below 2^32, or ``order`` sorted further by them: one sort of numbers with their places."""
+    if order is not None:
+        values = values[order]
+    places = np.sort(values << np.uint64(32) | np.arange(len(values), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
+    return places.astype(np.int64) if order is None else order[places]
+
+
+def window_order(text: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of ``places`` by the ``depth`` bytes from there on, and where in it a new string begins.
+
+    Eight bytes at a time; places that stand alone already are not looked at again.
+    """
+    padded = np.full(len(text) + depth + 8, _END, np.uint8)
+    padded[: len(text)] = text
+    words = np.ndarray((len(text) + depth,), ">u8", padded, strides=(1,))
+    order, fresh = np.arange(len(places)), np.arange(len(places)) == 0
+    for done in range(0, depth, 8):
+        alone = fresh & np.append(fresh[1:], True)
+        at = np.flatnonzero(~alone)
+        own, group = order[at], np.cumsum(fresh)[at].astype(np.uint64)
+        word = words[places[own] + done].astype(np.uint64) >> np.uint64(8 * max(8 - (depth - done), 0))
+        high = word >> np.uint64(32)
+        turned = _order(high, _order(word & np.uint64(0xFFFFFFFF)))
+        if done:
+            turned = _order(group, turned)
+        order[at] = own[turned]
+        group, word = group[turned], word[turned]
+        fresh[at[1:]] = (group[1:] != group[:-1]) | (word[1:] != word[:-1])
+    return order, fresh
 
 
 class RunIndex:
-    """Run-length index of strings for their windows of ``span`` bytes, with the smallest document of each."""
+    """Run-length index of strings for their windows of ``span`` bytes, with the smallest document of each.
+
+    The transform has the byte before each window, and before the place after a string's last window, in the order of
+    ``span`` bytes. Kept are its runs, the groups of equal windows, and samples of documents.
+    """
 
     def __init__(self, strings: list[bytes], documents: np.ndarray, span: int):
-        self.span = span
+        end = bytes([_END])
         sizes = np.array([len(s) for s in strings], np.int64)
-        # bytes are symbols 1 to 256; 0 ends each string
-        text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint16) + 1
-        self.stops = np.cumsum(sizes + 1) - 1
-        text[self.stops] = 0
-        self.text, self.n = text, len(text)
-        order, groups = suffix_order(text, span)
-        before = text[order - 1]
-        opens = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
+        text = np.frombuffer(end.join(strings) + end, np.uint8)
+        self.span, self.text, self.stops = span, text, np.cumsum(sizes + 1) - 1
+        self.windows = sizes - span + 1
+        places = arrays.ragged_positions(self.stops - sizes, self.windows + 1)
+        self.n = len(places)
+        last = np.cumsum(self.windows + 1) - 1
+        order, fresh = window_order(text, places, span)
+        before = text[places[order] - 1]
+        turns = np.concatenate(([True], before[1:] != before[:-1]))
+        run, opens = np.cumsum(turns) - 1, np.flatnonzero(turns)
         lengths = np.diff(np.append(opens, self.n))
-        by_symbol = np.argsort(before[opens], kind="stable")
-        #: runs by symbol and place: symbol, place, length, and where the run's first symbol leads
+        by_symbol = _order(before[opens].astype(np.uint64))
+        #: runs by symbol and place: symbol, place, length, and the window that the run's first symbol begins
         self.symbol, self.open, self.length = before[opens][by_symbol].astype(np.int64), opens[by_symbol], lengths[by_symbol]
         self.leads = np.cumsum(self.length) - self.length
         self.keys = self.symbol * (self.n + 1) + self.open
-        self.smaller = np.searchsorted(np.sort(text), np.arange(258))
-        self.group = np.zeros(self.n, np.int32)
-        self.group[groups[1:]] = 1
-        np.cumsum(self.group, out=self.group)
-        self.begin = groups
+        group, self.begin = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+        whole = np.ones(self.n, bool)
+        whole[last] = False
+        #: group of each window in order, and of each string's last one, where the stream enters
+        self.group = group[whole[order]].astype(np.int32)
+        at = np.empty(self.n, np.int32)
+        at[order] = group
+        self.entry = at[last - 1]
         # a group whose places stand in one run, and whose image is as large, hands its document on
-        counts = np.diff(np.append(groups, self.n))
-        run = np.searchsorted(opens, groups, side="right") - 1
-        whole = groups + counts <= opens[run] + lengths[run]
+        counts = np.diff(np.append(self.begin, self.n))
+        own = run[self.begin]
+        window = whole[order[self.begin]]
+        hands = np.flatnonzero(window & (self.begin + counts <= opens[own] + lengths[own]) & (before[self.begin] != _END))
         leads = np.empty(len(opens), np.int64)
         leads[by_symbol] = self.leads
-        image = self.group[leads[run] + groups - opens[run]]
-        able = np.repeat(self.stops, sizes + 1)[order[groups]] - order[groups] >= span
-        handed = image[whole & able & (counts[image] == counts) & (before[groups] > 0)]
-        self.sampled = np.ones(len(groups), bool)
-        self.sampled[handed] = False
-        smallest = np.minimum.reduceat(np.repeat(documents, sizes + 1)[order], groups)
-        self.sample_at, self.sample = np.flatnonzero(self.sampled), smallest[self.sampled]
-
-    def _place(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Places before all strings that begin with a symbol and go on like those from ``ends`` on."""
-        at = np.searchsorted(self.keys, symbols * (self.n + 1) + ends) - 1
-        own = (at >= 0) & (self.symbol[at] == symbols)
-        return np.where(own, self.leads[at] + np.minimum(ends - self.open[at], self.length[at]), self.smaller[symbols])
+        image = self.group[leads[own[hands]] + self.begin[hands] - opens[own[hands]]]
+        self.sampled = window
+        self.sampled[image[counts[image] == counts[hands]]] = False
+        self.sample_at = np.flatnonzero(self.sampled)
+        self.sample = np.minimum.reduceat(np.repeat(documents, self.windows + 1)[order], self.begin)[self.sampled]
 
     def _document(self, groups: np.ndarray) -> np.ndarray:
         return self.sample[np.searchsorted(self.sample_at, groups)]
 
     def smallest(self) -> np.ndarray:
-        """Smallest document with each window of each string, one string after another."""
-        sizes = np.diff(np.concatenate(([-1], self.stops))) - 1
-        windows = sizes - self.span + 1
-        out = np.empty(int(windows.sum()), np.int64)
-        bases = np.cumsum(windows) - windows
-        order = np.argsort(-sizes, kind="stable")
-        stops, bases, sizes = self.stops[order], bases[order], sizes[order]
-        # the last window of each string, by narrowing to strings that begin with its last bytes
-        low, high = np.zeros(len(order), np.int64), np.full(len(order), self.n)
-        for k in range(1, self.span + 1):
-            symbols = self.text[stops - k].astype(np.int64)
-            low, high = self._place(symbols, low), self._place(symbols, high)
-        group = self.group[low]
+        """Smallest document with each window of each string, one string after another.
+
+        All strings stream from their last window to the first in step. The byte before a window takes its group to the
+        nearest run of that byte, and the run to the group of the window one byte earlier.
+        """
+        out = np.empty(int(self.windows.sum()), np.int64)
+        bases = np.cumsum(self.windows) - self.windows
+        order = np.argsort(-self.windows, kind="stable")
+        stops, bases, sizes = self.stops[order], bases[order], self.windows[order] + self.span - 1
+        group = self.entry[order]
         # no window follows a string's last one, so nothing is handed to it
         found = self._document(group)
         out[bases + sizes - self.span] = found
@@ -399,6 +426,6 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sent = joined.groupBy("chunk").applyInArrow(lambda t: _send(t, span, buckets), "bucket int, chunk bigint, sizes binary, text binary, documents binary")
     found = sent.groupBy("bucket").applyInArrow(lambda t: _match(t, span), "bucket int, chunk bigint, values binary, counts binary")
     joined = joined.unionByName(found, allowMissingColumns=True)
-    arrow = pa.int64() if name == "bigint" else pa.int32() if name == "int" else pa.int16() if name == "smallint" else pa.int8()
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[name]
     schema = f"id {name}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
     return joined.groupBy("chunk").applyInArrow(lambda t: _cut(t, span, buckets, arrow), schema).withColumnRenamed("id", id_column)
