@@ -199,8 +199,10 @@ reach AS (
 )
 SELECT s.doc_id, len(s.s) AS n_shingles, (SELECT min(root) FROM reach r WHERE r.node = s.doc_id) AS component_id FROM sets s""",
     "op11_suffix_dedup": """WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-starts AS (SELECT r, doc_id, x, unnest(range(len(x) // 2 - 49)) AS i FROM docs WHERE len(x) >= 100 AND doc_id IS NOT NULL),
-windows AS (SELECT r, i, doc_id > min(doc_id) OVER (PARTITION BY substr(x, 2 * i + 1, 100)) AS again FROM starts),
+blocks AS (SELECT r, doc_id, x, unnest(range(len(x) // 1000 + 1)) AS j FROM docs WHERE len(x) >= 100 AND doc_id IS NOT NULL),
+parts AS (SELECT r, doc_id, j, substr(x, 1000 * j + 1, 1098) AS y FROM blocks),
+starts AS (SELECT r, doc_id, j, y, unnest(range(len(y) // 2 - 49)) AS k FROM parts WHERE len(y) >= 100),
+windows AS (SELECT r, 500 * j + k AS i, doc_id > min(doc_id) OVER (PARTITION BY substr(y, 2 * k + 1, 100)) AS again FROM starts),
 repeats AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens FROM windows WHERE again),
 numbered AS (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS k FROM repeats),
 spans AS (SELECT r, k, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY r, k),
