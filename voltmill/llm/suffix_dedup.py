@@ -32,7 +32,7 @@ from voltmill.session import materialize, new_path
 
 SPAN = 50
 #: Text bytes of a chunk, of a range of grams and of a bucket of stretches.
-CHUNK_BYTES, RANGE_BYTES, BUCKET_BYTES = 4 << 20, 64 << 20, 8 << 20
+CHUNK_BYTES, RANGE_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20, 8 << 20
 #: Windows of a stretch; a longer one is cut.
 WINDOWS = 128
 #: Stretches of one gram in the whole corpus from which its windows go to buckets of their own.
@@ -100,8 +100,9 @@ class Stretches:
         part = arrays.ragged_positions(np.zeros(len(sizes), np.int64), parts)
         self.start, self.row = np.repeat(opens, parts) + part * WINDOWS, np.repeat(rows, parts)
         self.windows = np.minimum(np.repeat(sizes, parts) - part * WINDOWS, WINDOWS)
-        #: distinct gram keys, and the place of each stretch's own
-        self.keys, self.key = np.unique(np.repeat(least[opens], parts) >> np.uint64(64 - exchange.KEY_BITS), return_inverse=True)
+        #: distinct gram keys, and the place of each stretch's own; mixed again, as least hashes are small ones
+        keys = arrays.mix(least[opens]) >> np.uint64(64 - exchange.KEY_BITS)
+        self.keys, self.key = np.unique(np.repeat(keys, parts), return_inverse=True)
 
     def seen(self) -> tuple[np.ndarray, np.ndarray]:
         """For each key whether several rows hold it, and its stretches, at most 65535."""
