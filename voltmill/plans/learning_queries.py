@@ -1,11 +1,13 @@
-"""Queries that fit models; checked by invariants instead of SQL."""
+"""Queries that fit models; those whose rows SQL cannot give are checked by invariants instead."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from voltmill.operators import anomaly, isolation, models
+from voltmill.operators import anomaly, isolation, models, trees
 from voltmill.plans.registry import query
+from voltmill.plans.telemetry import SILVER_SQL
 
 SCALED = tuple(f"{c}_scaled" for c in anomaly.ANOMALY_FEATURES)
 
@@ -72,3 +74,65 @@ def _(t):
 @query("portfolio_challenger", "model:s mae_mw:d test_rows:i dataset_hash:s promotion_status:s")
 def _(t):
     return models.train_challenger(t.silver_table)
+
+
+@query(
+    "quantile_forecast",
+    "technology:s test_rows:i coverage:r mean_width_mw:d crossing_rate:r pinball_p10:d pinball_p50:d pinball_p90:d",
+)
+def _(t):
+    return models.quantile_report(models.train_quantiles(t.features))
+
+
+#: Upper edges of the bins in the check of the first splits.
+SPLIT_EDGES = {
+    "irradiance_wm2": [float(100 * k) for k in range(1, 11)],
+    "temperature_c": [float(k) for k in range(11, 34, 2)],
+    "cloud_cover_fraction": [k / 8 for k in range(1, 8)],
+    "wind_speed_ms": [2.5 * k for k in range(1, 10)],
+    "expected_power_mw": [float(12 * k) for k in range(1, 17)],
+}
+
+
+def _split_sql() -> str:
+    cells = " UNION ALL ".join(
+        f"SELECT technology, id, power_mw, {i} AS f, '{c}' AS feature, len([e FOR e IN {edges} IF e < {c}]) AS bin FROM able" for i, (c, edges) in enumerate(SPLIT_EDGES.items())
+    )
+
+    def level(number: int) -> str:
+        return f"""sums{number} AS (SELECT technology, node, f, feature, bin, count(*) AS n, sum(power_mw) AS y FROM nodes{number} GROUP BY ALL),
+upto{number} AS (
+  SELECT *, sum(n) OVER one AS nl, sum(y) OVER one AS yl, sum(n) OVER whole AS na, sum(y) OVER whole AS ya FROM sums{number}
+  WINDOW one AS (PARTITION BY technology, node, f ORDER BY bin), whole AS (PARTITION BY technology, node, f)
+),
+best{number} AS (
+  SELECT {number} AS level, technology, node, f, feature, bin, yl * yl / nl + (ya - yl) * (ya - yl) / (na - nl) - ya * ya / na AS gain,
+    nl, na - nl AS nr, yl, ya - yl AS yr FROM upto{number} WHERE nl >= 20 AND na - nl >= 20
+  QUALIFY row_number() OVER (PARTITION BY technology, node ORDER BY gain DESC, f, bin) = 1
+)"""
+
+    return f"""WITH {SILVER_SQL},
+able AS (
+  SELECT technology, row_number() OVER () AS id, power_mw, {", ".join(SPLIT_EDGES)} FROM silver
+  WHERE quality_flag = 'valid' AND technology <> 'battery' AND power_mw IS NOT NULL
+),
+cells AS MATERIALIZED ({cells}),
+nodes0 AS (SELECT *, 0 AS node FROM cells),
+{level(0)},
+sides AS (
+  SELECT c.technology, c.id, CASE WHEN c.bin <= b.bin THEN 1 ELSE 2 END AS node FROM cells c JOIN best0 b ON b.technology = c.technology AND b.f = c.f
+),
+nodes1 AS (SELECT c.*, s.node FROM cells c JOIN sides s ON s.technology = c.technology AND s.id = c.id),
+{level(1)}
+SELECT * REPLACE (round(gain, 3) AS gain) FROM (SELECT * FROM best0 UNION ALL SELECT * FROM best1) AS both_levels"""
+
+
+@query("tree_splits", "technology:s level:i node:i feature:s bin:i gain:d nl:i nr:i yl:d yr:d", _split_sql())
+def _(t):
+    edges = [np.array(e) for e in SPLIT_EDGES.values()]
+    valid = t.silver_table.filter(F.col("quality_flag") == "valid")
+    parts = [
+        trees.first_splits(valid.filter(F.col("technology") == technology), list(SPLIT_EDGES), edges, "power_mw", 2, 20).withColumn("technology", F.lit(technology))
+        for technology in ("solar", "wind")
+    ]
+    return parts[0].unionByName(parts[1]).withColumn("gain", F.round("gain", 3))
