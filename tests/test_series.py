@@ -188,3 +188,56 @@ def test_label_intervals_half_open(spark):
     )
     got = joins.label_intervals(readings, windows, bucket_seconds=3600).orderBy("timestamp_utc").collect()
     assert [r.v for r in got] == [2.0, 3.0]
+
+
+def hot_table(spark, rows=6000):
+    """One series with nine tenths of the rows, most of them in a few minutes, and times that occur twice."""
+    rng = random.Random(12)
+    data = []
+    for i in range(rows):
+        asset = "hot" if i % 10 else rng.choice("bcd")
+        at = rng.randrange(600) if rng.random() < 0.6 else rng.randrange(400 * 86400)
+        data.append((asset, START + dt.timedelta(seconds=at), float(i) if rng.random() < 0.7 else None, i))
+    return spark.createDataFrame(data, "asset_id string, timestamp_utc timestamp, v double, n long")
+
+
+def test_splitters_bound_every_bucket(spark):
+    """No task gets more than a bucket's rows and one second of them, wherever the rows of the hot series lie."""
+    df = hot_table(spark)
+    for limit in (100, 500, 5000):
+        placed = series.place(df, ["asset_id"], "timestamp_utc", limit)
+        assert placed.count() == df.count()
+        sizes = placed.groupBy("asset_id", "_bucket").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp_utc").alias("a"), F.max("timestamp_utc").alias("b")).collect()
+        busiest = df.groupBy("asset_id", F.unix_seconds("timestamp_utc")).count().agg(F.max("count")).first()[0]
+        assert max(r.n for r in sizes) <= limit + busiest
+        assert max(r.n for r in sizes) <= 0.2 * df.count() or limit > 1000
+        for asset in ("hot", "b"):
+            own = sorted((r for r in sizes if r.asset_id == asset), key=lambda r: r._bucket)
+            assert all(x.b < y.a for x, y in zip(own, own[1:], strict=False))
+    nulls = df.limit(3).withColumn("timestamp_utc", F.lit(None).cast("timestamp"))
+    assert {r._bucket for r in series.place(nulls, ["asset_id"], "timestamp_utc").collect()} == {None}
+    assert series.place(df.limit(0), ["asset_id"], "timestamp_utc").count() == 0
+
+
+def test_equal_results_on_a_hot_series(spark, monkeypatch):
+    df = hot_table(spark, 3000).dropDuplicates(["asset_id", "timestamp_utc"])
+    rows = lambda frame: sorted(map(tuple, frame.collect()), key=str)
+    plain = rows(silver.fill_short_gaps(df, ["v"], bucket_seconds=10**9))
+    frame = df.withColumnRenamed("v", "power_mw")
+    lagged = lambda **o: rows(features.lags_and_rolling(frame, mode="time", lags={"l": 1}, window=3, min_periods=2, **o).withColumn("rolling_24h_mw", F.round("rolling_24h_mw", 6)))
+    asked = df.select("asset_id", F.col("timestamp_utc").alias("at"), "n").filter("n % 7 = 0")
+    match = lambda **o: rows(joins.nearest_asof(asked, df.filter("v IS NOT NULL"), ["asset_id"], "at", "timestamp_utc", ["v"], **o))
+    whole = lagged(bucket_seconds=10**9), match(bucket_seconds=10**9)
+    # small buckets from counts
+    monkeypatch.setattr(series, "CHUNK_ROWS", 150)
+    monkeypatch.setattr(series.splitters, "__defaults__", (150, 3600, True))
+    assert rows(silver.fill_short_gaps(df, ["v"])) == plain
+    assert (lagged(chunk_rows=150), match()) == whole
+
+
+def test_time_halo_copies_a_row_once_at_most(spark):
+    df = hot_table(spark)
+    chunks = series.with_time_halo(df, "timestamp_utc", 1800, keys=["asset_id"], chunk_rows=200)
+    copies = chunks.groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("_halo")).alias("own"))
+    assert copies.agg(F.max("c")).first()[0] == 2 and copies.agg(F.min("own"), F.max("own")).first()[:] == (1, 1)
+    assert copies.count() == df.count()

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltmill.operators.series import (
-    BUCKET_SECONDS,
     CHUNK_ROWS,
     drop_halo,
     lag_rows,
@@ -47,7 +46,7 @@ def lags_and_rolling(
     keys: Sequence[str] = ("asset_id",),
     ts: str = "timestamp_utc",
     chunk_rows: int = CHUNK_ROWS,
-    bucket_seconds: int = BUCKET_SECONDS,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Lags and the mean of the previous ``window`` values, this row left out.
 
@@ -63,7 +62,7 @@ def lags_and_rolling(
         lagged = {name: F.lag(value, rows).over(ordered) for name, rows in lags.items()}
         frame = ordered.rowsBetween(-window, -1)
     elif mode == "time":
-        chunks = with_time_halo(df, ts, longest * 3600, bucket_seconds)
+        chunks = with_time_halo(df, ts, longest * 3600, bucket_seconds, keys, chunk_rows)
         ordered = Window.partitionBy(*keys, "_chunk").orderBy("_epoch")
         lagged = {
             name: F.max(value).over(ordered.rangeBetween(-hours * 3600, -hours * 3600))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltmill.functions.physics import EARTH_RADIUS_KM, haversine_km
-from voltmill.operators.series import BUCKET_SECONDS, carry_bounds
+from voltmill.operators.series import bucketed_rows, carry_bounds, place, splitters
 from voltmill.session import epoch_bucket
 
 
@@ -84,11 +84,12 @@ def nearest_asof(
     right_ts: str,
     payload: Sequence[str],
     tolerance_seconds: int | None = None,
-    bucket_seconds: int = BUCKET_SECONDS,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """For every left row the right row closest in time; the earlier one on a tie.
 
-    Both sides are put on one time line per series and time bucket. The
+    Both sides are put on one time line per series and time bucket, of about
+    ``CHUNK_ROWS`` rows unless ``bucket_seconds`` fixes its length. The
     nearest right row on either side is found inside the bucket, or taken from
     the bucket summaries when the bucket has none.
     """
@@ -103,7 +104,12 @@ def nearest_asof(
         F.lit(None).cast(line_right.schema["_match"].dataType).alias("_match"),
         F.struct(*[F.col(c) for c in left.columns]).alias("_row"),
     )
-    line = line_right.unionByName(line_left).withColumn("_bucket", epoch_bucket("_time", bucket_seconds))
+    line = line_right.unionByName(line_left)
+    if bucket_seconds is None:
+        # only keys and times are counted
+        line = place(line, by, "_time", cuts=splitters(line.select(*by, "_time"), by, "_time"))
+    else:
+        line = bucketed_rows(line, by, "_time", bucket_seconds)
     bounds = carry_bounds(
         line.select(*by, "_bucket", "_time", "_match"), by, "_time",
         {"_m": F.when(F.col("_match").isNotNull(), F.col("_match"))},

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltmill.operators.series import BUCKET_SECONDS, carry_bounds, number_rows
+from voltmill.operators.series import carry_bounds, number_rows
 from voltmill.schemas import GAP_COLUMNS
 from voltmill.session import materialize
 
@@ -94,7 +94,7 @@ def fill_short_gaps(
     keys: Sequence[str] = ("asset_id",),
     ts: str = "timestamp_utc",
     time_aware: bool = False,
-    bucket_seconds: int = BUCKET_SECONDS,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Fill the first cells of each gap.
 
@@ -105,7 +105,8 @@ def fill_short_gaps(
     reading repeats the last reading; a gap without an earlier one stays.
 
     Readings next to a bucket edge are carried over it by ``carry_bounds``, so
-    no task holds more than one bucket of a series. The numbered rows are
+    no task holds more than one bucket of a series: about ``CHUNK_ROWS`` rows,
+    unless ``bucket_seconds`` fixes its length. The numbered rows are
     stored once, as bounds and frames both read them.
     """
     keys = list(keys)
