@@ -577,11 +577,54 @@ def test_rate_flag_equals_a_sequential_pass(spark):
         expected.append(len(accepted) >= 20)
         if not expected[-1]:
             accepted.append(s)
-    flagged = monitors.rate_flag(logs_of(spark, seconds), limit=20, bucket_s=120).orderBy("request_id").collect()
+    flagged = monitors.rate_flag(logs_of(spark, seconds), limit=20, chunk_rows=40).orderBy("request_id").collect()
     assert [r.limited for r in flagged] == expected
     assert any(expected) and not all(expected)
 
 
+def sequential(rows, limit, window_s):
+    """Limited request ids of (client, seconds, id) by one pass per client."""
+    limited, accepted = set(), {}
+    for client, at, request in sorted(rows):
+        own = accepted.setdefault(client, [])
+        own[:] = [a for a in own if a > at - window_s]
+        if len(own) >= limit:
+            limited.add(request)
+        else:
+            own.append(at)
+    return limited
+
+
+@pytest.mark.parametrize("rounds", [1, 3, 50])
+def test_a_client_that_is_never_calm_is_spread(spark, monkeypatch, rounds):
+    """Nine tenths of the requests are one client's; its chunks run side by side until their states agree."""
+    rng = random.Random(rounds)
+    rows, now = [], 0
+    for i in range(4000):
+        now += rng.choice([0, 1, 1, 2, 3])
+        rows.append(("hot" if i % 10 else rng.choice("ab"), now + (0 if i < 2000 else 500), i))
+    tasks = []
+    monkeypatch.setattr(monitors, "materialize", lambda df, label, own=monitors.materialize: tasks.append((label, out := own(df, label))) or out)
+    frame = spark.createDataFrame([(c, START + dt.timedelta(seconds=s), i) for c, s, i in rows], "client string, ts timestamp, request_id long").repartition(5)
+    flagged = monitors.rate_flag(frame, limit=7, window_s=40, chunk_rows=300, rounds=rounds)
+    found = flagged.collect()
+    assert sorted(r.request_id for r in found) == list(range(4000))
+    assert {r.request_id for r in found if r.limited} == sequential(rows, 7, 40)
+    decisions = [df for label, df in tasks if label == "decisions"]
+    sizes = decisions[0].groupBy("client", "_bucket").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 320 and sizes[1] >= 12
+    # a later round reads only what changed
+    assert all(part.count() < decisions[0].count() for part in decisions[1:])
+
+
+def test_rate_flag_of_odd_rows(spark):
+    rows = [("a", None, 1), (None, START, 2), ("a", START, 3), ("a", START, 4), ("a", START, 5), ("b", START, None)]
+    frame = spark.createDataFrame(rows, "client string, ts timestamp, request_id long")
+    found = sorted((r.client, r.request_id or 0, r.limited) for r in monitors.rate_flag(frame, limit=2).collect())
+    assert found == [("a", 3, False), ("a", 4, False), ("a", 5, True), ("b", 0, False)]
+    assert monitors.rate_flag(frame.limit(0)).collect() == []
+
+
 # --- text ---
 
 

@@ -217,7 +217,7 @@ SELECT client, request_id, limited FROM walk"""
 
 @query("rate_flag", "client:s request_id:i limited:b", RATE_SQL)
 def _(t):
-    return monitors.rate_flag(request_logs(t.read("events")), limit=2, window_s=3600, bucket_s=7200)
+    return monitors.rate_flag(request_logs(t.read("events")), limit=2, window_s=3600)
 
 
 @query("stream_rate_flag", "client:s request_id:i limited:b", RATE_SQL)

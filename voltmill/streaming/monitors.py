@@ -7,17 +7,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from voltmill.session import epoch_bucket
+from voltmill.operators.series import CHUNK_ROWS, place
+from voltmill.session import materialize
 
 # Alert thresholds and the request limit.
 ERROR_RATIO = 0.05
 LATENCY_P95_S = 0.5
 RATE_LIMIT = 120
 RATE_WINDOW_S = 60
+#: Rounds in which chunks of a client's requests run side by side before it goes on in order.
+RATE_ROUNDS = 6
 
 
 def silence(df: DataFrame, max_silence_s: int, now: Column, ts: str = "timestamp_utc") -> DataFrame:
@@ -115,92 +119,126 @@ def hourly_errors(logs: DataFrame, ts: str = "ts") -> DataFrame:
     )
 
 
-def _sequential(limit: int, window_s: float):
-    """Flag requests in order; rows must arrive sorted by client, segment and time."""
+def _decide(limit: int, window_s: float):
+    """Flag requests in order; a row without a request brings the accepted times that the rows after it enter with.
+
+    Each chunk ends with a row of the times it entered and leaves with, and of its first request. Rows without a state
+    before them go on from the chunk before.
+    """
     span = int(window_s * 1_000_000)
 
-    def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, accepted = None, deque()
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, entry, first, accepted = None, [], None, deque()
+        schema = None
         for batch in batches:
-            limited = []
-            for client, segment, at, warm in zip(
-                batch["client"], batch["_segment"], batch["_us"], batch["_warm"], strict=True
-            ):
-                if (client, segment) != current:
-                    current, accepted = (client, segment), deque()
+            kinds = [batch.schema.field(c).type for c in ("client", "_bucket", "request_id", "_us")]
+            times = pa.list_(pa.int64())
+            names = ("client", "_bucket", "request_id", "_us", "limited", "_entry", "_exit")
+            schema = pa.schema(list(zip(names, [*kinds, pa.bool_(), times, times], strict=True)))
+            out: list[tuple] = []
+            for client, bucket, at, request, state in zip(*(batch.column(c).to_pylist() for c in ("client", "_bucket", "_us", "request_id", "_entry")), strict=True):
+                if chunk != (client, bucket):
+                    if chunk is not None:
+                        out.append((*chunk, None, first, None, entry, list(accepted)))
+                    chunk, entry, first = (client, bucket), list(accepted), None
+                if state is not None:
+                    entry, accepted = state, deque(state)
+                    continue
+                first = at if first is None else first
                 while accepted and accepted[0] <= at - span:
                     accepted.popleft()
-                over = not warm and len(accepted) >= limit
+                over = len(accepted) >= limit
                 if not over:
                     accepted.append(at)
-                limited.append(over)
-            result = batch[["client", "request_id", "_us"]].assign(limited=limited)
-            yield result[~batch["_warm"].to_numpy()]
+                out.append((client, bucket, request, at, over, None, None))
+            yield _batch(out, schema)
+        if chunk is not None:
+            yield _batch([(*chunk, None, first, None, entry, list(accepted))], schema)
 
     return flag
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def rate_flag(
     logs: DataFrame,
     limit: int = RATE_LIMIT,
     window_s: int = RATE_WINDOW_S,
     ts: str = "ts",
-    bucket_s: int = 3600,
+    chunk_rows: int = CHUNK_ROWS,
+    rounds: int = RATE_ROUNDS,
 ) -> DataFrame:
     """Requests (client, request_id, ts) with ``limited``.
 
     A request is limited when ``limit`` accepted requests of its client lie in
     the trailing window; limited requests do not count. The decision depends
-    on all earlier ones, so a client's time line is cut only where that cannot
-    matter: if at most ``limit`` requests fall into the two windows before a
-    bucket edge, every request in the last window was accepted whatever came
-    before, and the next bucket may start from exactly those requests. They
-    are copied into it as warm-up rows. Between such edges rows are streamed in
-    order through one task in batches, with at most ``limit`` times in memory.
+    on all earlier ones, but only through the accepted times of the last
+    window. A client's time line is cut into chunks of about ``chunk_rows``
+    requests, and all chunks run at once from a guessed entry, no accepted
+    times. Then each chunk's entry is compared with what its predecessor left
+    with, and only chunks that differ run again, until none does. After a calm
+    stretch (at most ``limit`` requests in two windows) a chunk leaves with the
+    same times whatever it entered with, so changes stop there. A client whose
+    chunks still differ after ``rounds``, or when a round has not halved the
+    number of those that do, goes on in order from its first such chunk, in one
+    task that streams its rows. Every chunk's last run counts.
+    A request without a time or client is left out.
     """
-    bucket_s = max(bucket_s, 2 * window_s)
-    us = F.unix_micros(F.col(ts))
-    rows = logs.select("client", "request_id", us.alias("_us"), epoch_bucket(ts, bucket_s).alias("_bucket"))
-    edge = (F.col("_bucket") + 1) * bucket_s * 1_000_000
-    near = rows.withColumn("_gap", edge - F.col("_us"))
-    counts = near.groupBy("client", "_bucket").agg(
-        F.count_if(F.col("_gap") <= 2 * window_s * 1_000_000).alias("_busy")
+    spark = logs.sparkSession
+    known = logs.select("client", "request_id", ts).where(F.col(ts).isNotNull() & F.col("client").isNotNull())
+    rows = materialize(
+        place(known, ["client"], ts, chunk_rows).select("client", "_bucket", F.unix_micros(ts).alias("_us"), "request_id"), "requests"
     )
+    key = ["client", "_bucket"]
+    kind = logs.schema["client"].dataType.simpleString()
+    number = logs.schema["request_id"].dataType.simpleString()
+    none = F.array().cast("array<bigint>")
+
+    def run(entries: DataFrame, turn: int, together: bool = False) -> DataFrame:
+        """Decisions and exits of the chunks of ``entries``; a null entry goes on from the chunk before."""
+        opens = entries.filter(F.col("_entry").isNotNull()).select(*key, "_entry")
+        body = rows.join(entries.select(*key), key, "left_semi").unionByName(opens, allowMissingColumns=True)
+        by = ["client"] if together else key
+        ordered = body.repartition(*by).sortWithinPartitions(*key, F.asc_nulls_first("_us"), "request_id")
+        schema = f"client {kind}, _bucket bigint, request_id {number}, _us bigint, limited boolean, _entry array<bigint>, _exit array<bigint>"
+        return materialize(ordered.mapInArrow(_decide(limit, window_s), schema).withColumn("_turn", F.lit(turn)), "decisions")
+
+    done = [run(rows.select(*key).distinct().withColumn("_entry", none), 0)]
+    exits = lambda part: part.filter(F.col("_exit").isNotNull()).select(*key, "_entry", "_exit", "_turn", F.col("_us").alias("_first"))
+    states = exits(done[0])
     along = Window.partitionBy("client").orderBy("_bucket")
-    calm = (F.lag("_bucket").over(along) < F.col("_bucket") - 1) | (
-        F.coalesce(F.lag("_busy").over(along), F.lit(0)) <= limit
-    )
-    segments = (
-        counts.withColumn("_calm", F.coalesce(calm, F.lit(True)))
-        .withColumn(
-            "_segment",
-            F.max(F.when(F.col("_calm"), F.col("_bucket"))).over(
-                along.rowsBetween(Window.unboundedPreceding, 0)
-            ),
-        )
-        .select("client", "_bucket", "_segment", "_calm")
-    )
-    copies = F.when(
-        F.col("_gap") < window_s * 1_000_000,
-        F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("w")),
-                F.struct((F.col("_bucket") + 1).alias("b"), F.lit(True).alias("w"))),
-    ).otherwise(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("w"))))
-    placed = (
-        near.withColumn("_c", F.explode(copies))
-        .select("client", "request_id", "_us", F.col("_c.b").alias("_bucket"), F.col("_c.w").alias("_warm"))
-        .join(segments, ["client", "_bucket"])
-        .filter(~F.col("_warm") | F.col("_calm"))
-        .select("client", "_segment", "_us", "request_id", "_warm")
-    )
-    flagged = (
-        placed.repartition("client", "_segment")
-        .sortWithinPartitions("client", "_segment", "_us", "request_id")
-        .mapInPandas(
-            _sequential(limit, window_s),
-            f"client {logs.schema['client'].dataType.simpleString()}, request_id long, _us long, limited boolean",
-        )
-    )
-    return flagged.select("client", "request_id", F.timestamp_micros("_us").alias(ts), "limited")
+    before, last = None, False
+    for turn in range(1, rounds + 2):
+        # times out of the window of a chunk's first request decide nothing in it
+        useful = F.filter(F.coalesce(F.lag("_exit").over(along), none), lambda at: at > F.col("_first") - window_s * 1_000_000)
+        wanted = states.withColumn("_wanted", useful)
+        differs = wanted.filter(F.col("_wanted") != F.col("_entry"))
+        last = last or turn > rounds
+        if last:
+            # the first chunk that differs knows its entry for certain, as all before it agree
+            first = differs.groupBy("client").agg(F.min_by(F.struct("_bucket", "_wanted"), "_bucket").alias("_f"))
+            differs = states.join(first, "client").filter(F.col("_bucket") >= F.col("_f._bucket"))
+            differs = differs.withColumn("_wanted", F.when(F.col("_bucket") == F.col("_f._bucket"), F.col("_f._wanted")))
+        again = materialize(differs.select(*key, F.col("_wanted").alias("_entry")), "entries")
+        differing = again.count()
+        if not differing:
+            break
+        done.append(run(again, turn, last))
+        fresh = exits(done[-1])
+        states = materialize(states.join(fresh.select(*key), key, "left_anti").unionByName(fresh), "states")
+        if last:
+            break
+        # a client that is always at its limit does not settle; more rounds would only repeat its chunks
+        last, before = before is not None and 2 * differing > before, differing
+    decided = done[0]
+    for part in done[1:]:
+        decided = decided.unionByName(part)
+    if len(done) > 1:
+        decided = decided.join(states.select(*key, "_turn"), [*key, "_turn"], "left_semi")
+    return decided.filter(F.col("_exit").isNull()).select("client", "request_id", F.timestamp_micros("_us").alias(ts), "limited")
 
 
 def rate_flag_stream(
