@@ -402,7 +402,7 @@ def _(t):
     "battery_rejects",
     "asset_id:s week:t rejection:s",
     f"""WITH {TELEMETRY_SQL} SELECT asset_id, date_trunc('week', timestamp_utc) AS week,
-      'prices must contain between 1 and 168 values' AS rejection FROM telemetry GROUP BY 1, 2 HAVING count(*) > 168""",
+      'PRICE_COUNT' AS rejection FROM telemetry GROUP BY 1, 2 HAVING count(*) > 168""",
 )
 def _(t):
     return storage.dispatch_rejects(weekly_requests(t, t.telemetry), ["asset_id", "week"])

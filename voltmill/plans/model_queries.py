@@ -856,8 +856,8 @@ def _(t):
 @query(
     "approval_violations",
     "technology:s model:s rejection:s",
-    f"""WITH {CANDIDATES_SQL} SELECT c.technology, c.model, CASE WHEN length(c.model) < 14 THEN 'rationale must explain the evidence'
-      WHEN c.model <> r.model THEN c.model || ' is not the selected Champion (' || r.model || ')' END AS rejection
+    f"""WITH {CANDIDATES_SQL} SELECT c.technology, c.model, CASE WHEN length(c.model) < 14 THEN 'RATIONALE_TOO_SHORT'
+      WHEN c.model <> r.model THEN 'NOT_THE_CHAMPION' END AS rejection
     FROM candidates c JOIN ranked r ON r.technology = c.technology AND r.selection_rank = 1""",
 )
 def _(t):
