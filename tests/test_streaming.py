@@ -1,6 +1,7 @@
 """Stream state and batch handlers over several micro-batches."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -81,3 +82,61 @@ def test_late_rows_and_alerts(spark):
     row = monitors.request_alerts(logs).orderBy(F.col("requests").desc(), "window_start").first()
     assert (row.requests, row.errors, row.error_alert, row.latency_alert) == (100, 6, True, True)
     assert monitors.hourly_errors(logs).first().errors == 6
+
+
+def drain(spark, path, schema, build):
+    """Everything that landed, file by file; the rows and the state that is left."""
+    out = new_path(spark, "out")
+    df = build(ingest.bronze_stream(spark, path, schema, 1))
+    run = df.writeStream.format("parquet").option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start(out)
+    run.awaitTermination()
+    rows = spark.read.schema(df.schema).parquet(out).collect()
+    return rows, run.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_silences_do_not_depend_on_the_order_of_readings_or_batches(spark):
+    draw = random.Random(5)
+    seen = {a: sorted({draw.randrange(0, 40_000) for _ in range(n)}) for a, n in (("a", 60), ("b", 25), ("c", 400), ("d", 1))}
+    rows = [(a, START + dt.timedelta(seconds=s)) for a, at in seen.items() for s in at] + [(None, START), ("a", None)]
+    rows.sort(key=lambda r: (r[1] or START) + dt.timedelta(seconds=draw.randrange(1500)))
+    third = len(rows) // 3
+    frames = [rows[:third], rows[third : 2 * third], rows[2 * third :]]
+    frames.append([("z", START + dt.timedelta(seconds=60_000))])
+    path, schema = land(spark, frames, "asset_id string, timestamp_utc timestamp")
+    # batches of a few rows: a group comes in many pieces
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got, left = drain(spark, path, schema, lambda df: monitors.freshness_monitor(df, 1800, delay="1500 seconds"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    zero = 1704067200
+    expected = [(a, zero + s) for a, at in seen.items() for s, after in zip(at, [*at[1:], 10**9]) if after - s > 1800]
+    assert sorted((r.asset_id, r.last_seen_s) for r in got) == sorted(expected)
+    assert left < 20  # the open cell of the last reading and its timer
+
+
+def test_rate_limit_of_a_stream_equals_the_requests_in_order(spark):
+    draw = random.Random(9)
+    rows = []
+    for number in range(1200):
+        client = "hot" if number % 10 else f"c{number % 3}"
+        rows.append((client, 2**53 + number, START + dt.timedelta(milliseconds=draw.randrange(600_000) // 500 * 500)))
+    rows += [(None, 1, START), ("hot", 2, None)]
+    arrival = lambda r: (r[2] or START) + dt.timedelta(seconds=draw.randrange(45))
+    rows.sort(key=arrival)
+    frames = [rows[:500], rows[500:900], rows[900:], *([("end", None, START + dt.timedelta(days=d))] for d in (1, 2))]
+    path, schema = land(spark, frames, "client string, request_id long, ts timestamp")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got, left = drain(spark, path, schema, lambda df: monitors.rate_flag_stream(df, 20, 30, delay="45 seconds", cell_s=20))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = {}
+    accepted = {}
+    for client, number, at in sorted((r for r in rows if r[0] and r[2]), key=lambda r: (r[2], r[1])):
+        live = [t for t in accepted.get(client, []) if t > at - dt.timedelta(seconds=30)]
+        expected[number] = len(live) >= 20
+        accepted[client] = live if expected[number] else [*live, at]
+    assert {r.request_id: r.limited for r in got} == expected and len(got) == len(expected)
+    assert any(expected.values()) and not all(expected.values())
+    assert left == 0  # nothing is kept once windows have passed

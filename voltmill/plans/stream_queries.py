@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltmill.plans.mart_queries import GOLD_SPEC, GOLD_SQL
 from voltmill.plans.registry import query
 from voltmill.plans.telemetry import TELEMETRY_SQL, telemetry_from_events
-from voltmill.session import new_path
+from voltmill.session import materialize, new_path
 from voltmill.streaming import ingest, monitors
 
 
@@ -222,10 +223,19 @@ def _(t):
 
 @query("stream_rate_flag", "client:s request_id:i limited:b", RATE_SQL)
 def _(t):
-    path, schema = landed(t)
-    out = new_path(t.spark, "rate")
-    logs = request_logs(ingest.bronze_stream(t.spark, path, schema))
-    ingest.append_table(
-        monitors.rate_flag_stream(logs, limit=2, window_s=3600), out, new_path(t.spark, "checkpoint")
-    )
+    """Requests land in the order of their arrival, up to an hour after their time, in four batches that overlap."""
+    path, out = new_path(t.spark, "landing"), new_path(t.spark, "rate")
+    logs = request_logs(t.read("events")).select("client", "request_id", "ts")
+    arrival = F.col("ts") + F.make_dt_interval(secs=F.pmod(F.hash("request_id"), F.lit(3600)))
+    quarter = F.ntile(4).over(Window.orderBy("_day"))
+    days = logs.select(F.to_date(arrival).alias("_day")).distinct().withColumn("_part", quarter)
+    placed = materialize(logs.withColumn("_day", F.to_date(arrival)).join(days, "_day").drop("_day"), "arrivals")
+    for k in range(1, 5):
+        placed.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    # a row without an id, two days later, closes the last cells
+    end = placed.agg(F.lit("client-0").alias("client"), F.lit(None).cast("bigint").alias("request_id"), (F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+    end.coalesce(1).write.mode("append").parquet(path)
+    stream = ingest.bronze_stream(t.spark, path, logs.schema, 1)
+    flagged = monitors.rate_flag_stream(stream, limit=2, window_s=3600, delay="1 hour", cell_s=3600)
+    ingest.append_table(flagged, out, new_path(t.spark, "checkpoint"))
     return t.spark.read.parquet(out)

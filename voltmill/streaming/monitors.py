@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from voltmill.operators.series import CHUNK_ROWS, place
 from voltmill.session import materialize
@@ -34,47 +33,81 @@ def silence(df: DataFrame, max_silence_s: int, now: Column, ts: str = "timestamp
     )
 
 
-def freshness_monitor(df: DataFrame, max_silence_s: int, ts: str = "timestamp_utc", delay: str = "0 seconds") -> DataFrame:
-    """Stream of silence alerts: an asset without readings for too long.
-
-    State is one timestamp per asset. A gap between two readings is reported
-    whether they come in one batch or in two; while nothing follows, an
-    event-time timer reports it as soon as the watermark has passed it. So the
-    alerts do not depend on how readings are batched, as long as an asset's
-    batches come in the order of time.
-    """
+class _Silence(StatefulProcessor):
+    """Least and greatest second of every open cell of time, and the last second of the closed ones."""
+
+    def __init__(self, max_silence_s: int):
+        self.cell_s = max_silence_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "cell long", "low long, high long")
+        self.last = handle.getValueState("last", "second long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for cell, seen in batch["seen_s"].groupby(batch["seen_s"] // self.cell_s):
+                low, high = int(seen.min()), int(seen.max())
+                before = self.open.getValue((int(cell),))
+                if before is None:
+                    self.handle.registerTimer((int(cell) + 1) * self.cell_s * 1000)
+                else:
+                    low, high = min(low, before[0]), max(high, before[1])
+                self.open.updateValue((int(cell),), (low, high))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (last,) = self.last.get() or (None,)
+        ended = expiredTimerInfo.getExpiryTimeInMs() // (self.cell_s * 1000) - 1
+        quiet = []
+        closed = self.open.getValue((ended,))
+        if closed is not None:
+            low, high = closed
+            self.open.removeKey((ended,))
+            if last is not None and low - last > self.cell_s:
+                quiet.append(last)
+            last = high
+            self.last.update((last,))
+        if last is not None:
+            deadline = last + self.cell_s
+            following = self.open.getValue((last // self.cell_s + 1,))
+            if following is None or following[0] > deadline:
+                if timerValues.getCurrentWatermarkInMs() > deadline * 1000:
+                    quiet.append(last)
+                    self.last.clear()
+                else:
+                    self.handle.registerTimer(deadline * 1000 + 1)
+        if quiet:
+            yield pd.DataFrame({"asset_id": [key[0]] * len(quiet), "last_seen_s": quiet, "silent": [True] * len(quiet)})
+
+    def close(self) -> None:
+        pass
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """State processors need the RocksDB store; a stream that has a checkpoint keeps the store it began with."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"asset_id": [key[0]], "last_seen_s": [last], "silent": [True]})
-            return
-        last = state.get[0] if state.exists else -1
-        gaps = []
-        for batch in batches:
-            seen = np.unique(batch["_seen_s"].to_numpy())
-            before = np.concatenate(([last if last >= 0 else seen[0]], seen[:-1]))
-            gaps += before[seen - before > max_silence_s].tolist()
-            last = max(last, int(seen[-1]))
-        if gaps:
-            yield pd.DataFrame({"asset_id": [key[0]] * len(gaps), "last_seen_s": gaps, "silent": [True] * len(gaps)})
-        state.update((last,))
-        deadline = (last + max_silence_s) * 1000
-        state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
 
+def freshness_monitor(df: DataFrame, max_silence_s: int, ts: str = "timestamp_utc", delay: str = "0 seconds") -> DataFrame:
+    """Stream of silence alerts: an asset without readings for more than ``max_silence_s``.
+
+    Time is cut into cells as long as the silence allowed, so no silence lies
+    inside a cell and only its first and last second matter, in whatever order
+    and batches readings come within ``delay``. A timer at a cell's end hands
+    its last second on; a silence is reported once the watermark has passed
+    it, whether a reading follows or not. State is two numbers for each cell
+    that the watermark has not passed, and one for each asset that is not
+    silent. Readings without a time or asset are left out.
+    """
+    keep_state_on_disk(df.sparkSession)
     return (
-        df.select("asset_id", ts)
+        df.where(F.col("asset_id").isNotNull() & F.col(ts).isNotNull())
+        .select("asset_id", ts)
         .withWatermark(ts, delay)
-        .select("asset_id", ts, F.unix_seconds(ts).alias("_seen_s"))
+        .select("asset_id", ts, F.unix_seconds(ts).alias("seen_s"))
         .groupBy("asset_id")
-        .applyInPandasWithState(
-            watch,
-            "asset_id string, last_seen_s long, silent boolean",
-            "last long",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+        .transformWithStateInPandas(_Silence(max_silence_s), "asset_id string, last_seen_s long, silent boolean", "append", "eventTime")
     )
 
 
@@ -241,38 +274,99 @@ def rate_flag(
     return decided.filter(F.col("_exit").isNull()).select("client", "request_id", F.timestamp_micros("_us").alias(ts), "limited")
 
 
-def rate_flag_stream(
-    logs: DataFrame, limit: int = RATE_LIMIT, window_s: int = RATE_WINDOW_S, ts: str = "ts"
-) -> DataFrame:
-    """The same decision on a stream; state is the accepted times of a client.
-
-    Requests of one micro-batch are taken in time order; the state never holds
-    more than ``limit`` times.
-    """
-    span = int(window_s * 1_000_000)
-
-    def flag(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        accepted = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(batches)).sort_values(["_us", "request_id"])
+class _RateLimit(StatefulProcessor):
+    """Requests of open cells of time, and the accepted times of the last window."""
+
+    def __init__(self, limit: int, span_us: int, cell_ms: int):
+        self.limit, self.span_us, self.cell_ms = limit, span_us, cell_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "cell long, part int", "us array<long>, request_id array<long>")
+        self.accepted = handle.getListState("accepted", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows if key[0] is not None else ():
+            batch = batch[batch["asks"]]
+            for cell, part in batch.groupby(batch["us"] // (self.cell_ms * 1000)):
+                number = sum(1 for _ in self._parts(int(cell)))
+                self.waiting.updateValue((int(cell), number), (part["us"].tolist(), part["request_id"].tolist()))
+                if not number:
+                    self.handle.registerTimer((int(cell) + 1) * self.cell_ms)
+        yield from ()
+
+    def _parts(self, cell: int) -> Iterator[tuple[int, int]]:
+        number = 0
+        while self.waiting.containsKey((cell, number)):
+            yield cell, number
+            number += 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end_ms = expiredTimerInfo.getExpiryTimeInMs()
+        parts = list(self._parts(end_ms // self.cell_ms - 1))
+        requests = sorted(request for part in parts for request in zip(*self.waiting.getValue(part), strict=True))
+        for part in parts:
+            self.waiting.removeKey(part)
+        accepted = deque(sorted(at for (at,) in self.accepted.get()))
         limited = []
-        for at in rows["_us"]:
-            while accepted and accepted[0] <= at - span:
+        for at, _ in requests:
+            while accepted and accepted[0] <= at - self.span_us:
                 accepted.popleft()
-            over = len(accepted) >= limit
-            if not over:
-                accepted.append(int(at))
-            limited.append(over)
-        state.update((list(accepted),))
-        yield rows[["client", "request_id", "_us"]].assign(limited=limited)
+            limited.append(len(accepted) >= self.limit)
+            if not limited[-1]:
+                accepted.append(at)
+        live = [(at,) for at in accepted if at > end_ms * 1000 - self.span_us]
+        if live:
+            self.accepted.put(live)
+            # a timer after the window forgets a client that stays away
+            self.handle.registerTimer(-(-(live[-1][0] + self.span_us) // (self.cell_ms * 1000)) * self.cell_ms)
+        else:
+            self.accepted.clear()
+        if requests:
+            times, ids = zip(*requests, strict=True)
+            yield pd.DataFrame({"client": [key[0]] * len(times), "request_id": ids, "_us": times, "limited": limited})
+
+    def close(self) -> None:
+        pass
+
 
+def rate_flag_stream(
+    logs: DataFrame,
+    limit: int = RATE_LIMIT,
+    window_s: int = RATE_WINDOW_S,
+    ts: str = "ts",
+    delay: str = "1 minute",
+    cell_s: int = RATE_WINDOW_S,
+) -> DataFrame:
+    """The same decision on a stream, in the order of request times.
+
+    A request waits in the state until the watermark, which follows the newest
+    request at ``delay``, has passed its cell of ``cell_s`` seconds. Cells are
+    decided one after another by timers, so batches may overlap in time by up
+    to ``delay`` and have any size; only one cell of a client is sorted at a
+    time. State is the open cells' requests and at most ``limit`` accepted
+    times of a client, which a timer removes after its window. A row without
+    ``request_id`` moves the watermark and gets no decision, so a quiet stream
+    can be closed by one; request ids are whole numbers. A request without a
+    time or client is left out, and one behind the watermark gets no decision.
+    """
+    keep_state_on_disk(logs.sparkSession)
     return (
-        logs.select("client", "request_id", F.unix_micros(ts).alias("_us"))
+        logs.where(F.col(ts).isNotNull())
+        .withWatermark(ts, delay)
+        # a filter here would be moved below the watermark, which rows without a request must reach
+        .select(
+            "client",
+            ts,
+            F.col("request_id").isNotNull().alias("asks"),
+            F.coalesce(F.col("request_id").cast("long"), F.lit(0)).alias("request_id"),
+            F.unix_micros(ts).alias("us"),
+        )
         .groupBy("client")
-        .applyInPandasWithState(
-            flag,
+        .transformWithStateInPandas(
+            _RateLimit(limit, int(window_s * 1_000_000), cell_s * 1000),
             "client string, request_id long, _us long, limited boolean",
-            "accepted array<long>",
             "append",
-            GroupStateTimeout.NoTimeout,
+            "eventTime",
         )
     )
