@@ -241,3 +241,29 @@ def test_time_halo_copies_a_row_once_at_most(spark):
     copies = chunks.groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("_halo")).alias("own"))
     assert copies.agg(F.max("c")).first()[0] == 2 and copies.agg(F.min("own"), F.max("own")).first()[:] == (1, 1)
     assert copies.count() == df.count()
+
+
+def test_nearest_asof_with_copies_nulls_and_clashing_names(spark):
+    """Copies share one point of the time line; nulls of a series match nulls; the least payload of a time is taken."""
+    at = lambda s: None if s is None else START + dt.timedelta(seconds=s)
+    left = [("a", at(s), i, float(i)) for i, s in enumerate([10, 10, 10, 55, None])] + [(None, at(7), 9, 1.0), ("c", at(1), 10, 2.0)]
+    right = [("a", at(0), 5.0, "x"), ("a", at(20), 4.0, "b"), ("a", at(20), 4.0, "a"), ("a", None, 0.0, "n"), (None, at(90), 8.0, "z")] + [("a", at(60), 7.0, "q")] * 300
+    out = joins.nearest_asof(
+        spark.createDataFrame(left, "k string, ts timestamp, n int, v double"), spark.createDataFrame(right, "k string, ts timestamp, v double, tag string"), ["k"], "ts", "ts", ["v", "tag"]
+    )
+    assert out.columns == ["k", "ts", "n", "v", "matched_ts", "matched_v", "matched_tag"]
+    got = {r.n: (r.matched_ts, r.matched_v, r.matched_tag) for r in out.collect()}
+    none = (None, None, None)
+    assert got == {0: (at(0), 5.0, "x"), 1: (at(0), 5.0, "x"), 2: (at(0), 5.0, "x"), 3: (at(60), 7.0, "q"), 4: none, 9: (at(90), 8.0, "z"), 10: none}
+    assert joins.nearest_asof(out.select("k", "ts").limit(0), out.select("k", "ts", "v"), ["k"], "ts", "ts", ["v"]).count() == 0
+
+
+def test_nearest_asof_sorts_times_alone(spark):
+    left = spark.range(50).selectExpr("'a' AS k", "timestamp_seconds(id * 7) AS ts", "id AS n", "repeat('x', 99) AS wide")
+    right = spark.range(50).selectExpr("'a' AS k", "timestamp_seconds(id * 11) AS rts", "id AS s", "id AS unused")
+    plan = joins.nearest_asof(left, right, ["k"], "ts", "rts", ["s"])._jdf.queryExecution()
+    optimized = plan.optimizedPlan().toString()
+    # both neighbours in one window; whole rows reach only the last join
+    windows = [line for line in optimized.splitlines() if "lead(_offered" in line]
+    assert len(windows) == 1 and "lag(_offered" in windows[0]
+    assert "wide" not in optimized[optimized.index(windows[0][:60]):] and "unused" not in optimized.split("Aggregate")[0]

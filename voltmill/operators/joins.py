@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltmill.functions.physics import EARTH_RADIUS_KM, haversine_km
-from voltmill.operators.series import bucketed_rows, carry_bounds, place, splitters
-from voltmill.session import epoch_bucket
+from voltmill.operators.series import bucketed_rows, carry_bounds
+from voltmill.session import epoch_bucket, materialize
 
 
 def _cells(lat: str, lon: str, size_km: float) -> list:
@@ -88,61 +88,44 @@ def nearest_asof(
 ) -> DataFrame:
     """For every left row the right row closest in time; the earlier one on a tie.
 
-    Both sides are put on one time line per series and time bucket, of about
-    ``CHUNK_ROWS`` rows unless ``bucket_seconds`` fixes its length. The
-    nearest right row on either side is found inside the bucket, or taken from
-    the bucket summaries when the bucket has none.
+    Only series and times are put on one time line, each pair once however
+    many rows share it, so copies cost nothing there. The line is cut per
+    series into buckets of about ``CHUNK_ROWS`` points, unless
+    ``bucket_seconds`` fixes their length; one sort of a bucket gives both
+    neighbours, and bucket summaries give those beyond its edges. Rows meet
+    their match afterwards, by series and time. Among right rows of one series
+    and time the least payload is taken. A row without a time matches nothing.
     """
     by = list(by)
-    match = F.struct(F.col(right_ts).alias("_at"), *[F.col(c) for c in payload])
-    line_right = right.select(
-        *by, F.col(right_ts).alias("_time"), F.lit(0).alias("_side"), match.alias("_match"),
-        F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType).alias("_row"),
-    )
-    line_left = left.select(
-        *by, F.col(left_ts).alias("_time"), F.lit(1).alias("_side"),
-        F.lit(None).cast(line_right.schema["_match"].dataType).alias("_match"),
-        F.struct(*[F.col(c) for c in left.columns]).alias("_row"),
-    )
-    line = line_right.unionByName(line_left)
-    if bucket_seconds is None:
-        # only keys and times are counted
-        line = place(line, by, "_time", cuts=splitters(line.select(*by, "_time"), by, "_time"))
-    else:
-        line = bucketed_rows(line, by, "_time", bucket_seconds)
-    bounds = carry_bounds(
-        line.select(*by, "_bucket", "_time", "_match"), by, "_time",
-        {"_m": F.when(F.col("_match").isNotNull(), F.col("_match"))},
-    )
-    inside = Window.partitionBy(*by, "_bucket")
-    running = (Window.unboundedPreceding, 0)
-    before = F.last("_match", ignorenulls=True).over(
-        inside.orderBy("_time", "_side").rowsBetween(*running)
-    )
-    after = F.last("_match", ignorenulls=True).over(
-        inside.orderBy(F.col("_time").desc(), "_side").rowsBetween(*running)
-    )
-    placed = (
-        line.select("*", before.alias("_before"), after.alias("_after"))
-        .filter(F.col("_side") == 1)
-        .join(bounds, [*by, "_bucket"], "left")
-        .withColumn("_before", F.coalesce("_before", "_m_before"))
-        .withColumn("_after", F.coalesce("_after", "_m_after"))
-    )
-    micros = lambda c: F.unix_micros(F.col(c))
-    back = micros("_time") - F.unix_micros("_before._at")
-    ahead = F.unix_micros("_after._at") - micros("_time")
-    chosen = F.when(F.col("_after").isNull() | (back <= ahead), F.col("_before")).otherwise(F.col("_after"))
-    result = placed.withColumn("_hit", chosen).withColumn(
-        "_gap", F.abs(F.unix_micros("_hit._at") - micros("_time")) / F.lit(1e6)
-    )
+    points = lambda df, ts, is_right: df.select(*by, F.col(ts).alias("_time"), F.lit(is_right).alias("_right")).where(F.col("_time").isNotNull())
+    both = points(left, left_ts, False).unionByName(points(right, right_ts, True))
+    asked, offered = F.bool_or(~F.col("_right")), F.max(F.when(F.col("_right"), F.col("_time")))
+    # written, as it is counted, summed up and sorted
+    line = materialize(both.groupBy(*by, "_time").agg(asked.alias("_asked"), offered.alias("_offered")), "time-line")
+    line = bucketed_rows(line, by, "_time", bucket_seconds)
+    bounds = carry_bounds(line, by, "_time", {"_edge": F.col("_offered")}).select(
+        *(F.col(k).alias(f"_e_{k}") for k in by), F.col("_bucket").alias("_e_bucket"), "_edge_before", "_edge_after"
+    )
+    series = ", ".join(f"`{k}`" for k in by)
+    neighbour = lambda side: F.expr(f"{side}(_offered, 1) IGNORE NULLS OVER (PARTITION BY {series}, _bucket ORDER BY _time)")
+    placed = line.withColumns({"_before": neighbour("lag"), "_after": neighbour("lead")}).where("_asked")
+    same = [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in by]
+    known = placed.join(bounds, [*same, F.col("_bucket") == F.col("_e_bucket")], "left")
+    before, after = F.coalesce("_offered", "_before", "_edge_before"), F.coalesce("_offered", "_after", "_edge_after")
+    micros = F.unix_micros
+    back, ahead = micros("_time") - micros(before), micros(after) - micros("_time")
+    at = F.when(after.isNull() | (back <= ahead), before).otherwise(after)
     if tolerance_seconds is not None:
-        result = result.withColumn("_hit", F.when(F.col("_gap") <= tolerance_seconds, F.col("_hit")))
-    return result.select(
-        "_row.*",
-        F.col("_hit._at").alias("matched_ts"),
-        *[F.col(f"_hit.{c}").alias(f"matched_{c}") for c in payload],
-    )
+        at = F.when(F.least(back, ahead) <= tolerance_seconds * 1_000_000, at)
+    hits = known.select(*(F.col(k).alias(f"_k_{k}") for k in by), F.col("_time").alias("_asked_at"), at.alias("matched_ts"))
+    stored = (
+        right.groupBy(*(F.col(k).alias(f"_r_{k}") for k in by), F.col(right_ts).alias("_at"))
+        .agg(F.min(F.struct(*payload)).alias("_match"))
+        .select(*(f"_r_{k}" for k in by), "_at", *(F.col(f"_match.{c}").alias(f"matched_{c}") for c in payload))
+    )
+    fetched = hits.join(stored, [*(F.col(f"_k_{k}").eqNullSafe(F.col(f"_r_{k}")) for k in by), F.col("matched_ts") == F.col("_at")], "left")
+    own = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by]
+    return left.join(fetched, [*own, F.col(left_ts) == F.col("_asked_at")], "left").select(*left.columns, "matched_ts", *(f"matched_{c}" for c in payload))
 
 
 def label_intervals(
