@@ -140,3 +140,27 @@ def test_rate_limit_of_a_stream_equals_the_requests_in_order(spark):
     assert {r.request_id: r.limited for r in got} == expected and len(got) == len(expected)
     assert any(expected.values()) and not all(expected.values())
     assert left == 0  # nothing is kept once windows have passed
+
+
+def test_the_watermark_drops_state_and_late_rows_and_a_repeated_batch_replaces_itself(spark):
+    at = lambda h: START + dt.timedelta(hours=h)
+    frames = [[("a", at(h + 100 * k), h) for h in range(100)] for k in range(4)]
+    frames[3] += [("a", at(h), 0) for h in range(7)] + [("a", at(399), 1), ("a", None, 1)]
+    path, schema = land(spark, frames, "asset_id string, timestamp_utc timestamp, n int")
+    df = ingest.dedup_stream(ingest.bronze_stream(spark, path, schema, 1), "3 hours")
+    run = df.writeStream.format("noop").option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    states = [p["stateOperators"][0] for p in run.recentProgress if p["stateOperators"]]
+    assert sum(s["numRowsDroppedByWatermark"] for s in states) == 7
+    assert states[-1]["numRowsTotal"] <= 8  # of 400 keys, those of the last hours and the one without a time
+
+    main, late = new_path(spark, "main"), new_path(spark, "late")
+    handle = ingest.split_behind(main, late, 3 * 3600)
+    batches = [spark.createDataFrame(f, schema) for f in frames]
+    for number in (0, 1, 2, 3, 3, 2):
+        handle(batches[number], number)
+    counts = lambda p: {r.batch_id: r["count"] for r in spark.read.parquet(p).groupBy("batch_id").count().collect()}
+    assert counts(main) == {0: 100, 1: 100, 2: 100, 3: 102} and counts(late) == {3: 7}
+    handle(batches[0].limit(0), 4)
+    handle(batches[0], 5)  # the mark passes over an empty batch
+    assert counts(late) == {3: 7, 5: 100}

@@ -76,17 +76,35 @@ def _(t):
     return t.spark.read.parquet(gold)
 
 
+#: Landing of a reading: one for five days, and three landings later for some readings of the first three.
+LANDING_SQL = f"""{TELEMETRY_SQL}, periods AS (
+  SELECT *, least(greatest(date_diff('day', TIMESTAMP '2024-01-01', timestamp_utc) // 5, 0), 5) AS period FROM telemetry
+), landings AS (SELECT *, period < 3 AND event_sequence % 50 = 0 AS behind FROM periods)"""
+
+
+def landed_in_time(t):
+    """Readings as six landing files in the order of time, with some readings far behind; a stream of one file a batch."""
+    path = new_path(t.spark, "landing")
+    day = F.datediff("timestamp_utc", F.lit("2024-01-01").cast("date"))
+    period = F.least(F.greatest(F.floor(day / 5), F.lit(0)), F.lit(5))
+    behind = (period < 3) & (F.col("event_sequence") % 50 == 0)
+    placed = materialize(t.telemetry.withColumn("_landing", F.when(behind, period + 3).otherwise(period)), "landings")
+    for k in range(6):
+        placed.where(F.col("_landing") == k).drop("_landing").coalesce(1).write.mode("append").parquet(path)
+    return ingest.bronze_stream(t.spark, path, t.telemetry.schema, 1).drop("_ingested_at", "_source_file")
+
+
 @query(
     "stream_hourly",
     "date_hour:t technology:s energy_mwh:d actual_mw:d expected_mw:d asset_count:i",
-    f"""WITH {TELEMETRY_SQL} SELECT timestamp_utc AS date_hour, technology, sum(energy_mwh) AS energy_mwh, sum(power_mw) AS actual_mw,
-      sum(expected_power_mw) AS expected_mw, count(DISTINCT asset_id) AS asset_count FROM telemetry
-    GROUP BY 1, 2 HAVING timestamp_utc + INTERVAL 1 HOUR <= (SELECT max(timestamp_utc) FROM telemetry) - INTERVAL 1 HOUR""",
+    f"""WITH {LANDING_SQL} SELECT timestamp_utc AS date_hour, technology, sum(energy_mwh) AS energy_mwh, sum(power_mw) AS actual_mw,
+      sum(expected_power_mw) AS expected_mw, count(DISTINCT asset_id) AS asset_count FROM landings WHERE NOT behind
+    GROUP BY 1, 2 HAVING timestamp_utc + INTERVAL 1 HOUR <= (SELECT max(timestamp_utc) FROM telemetry) - INTERVAL 3 HOUR""",
 )
 def _(t):
+    """Hours come out as the watermark passes them; readings behind it are left to the late merge."""
     out = new_path(t.spark, "hourly")
-    # one batch: landing files are not in time order here
-    hourly = ingest.portfolio_hourly_stream(telemetry_stream(t, None))
+    hourly = ingest.portfolio_hourly_stream(landed_in_time(t), "3 hours")
     ingest.append_table(hourly, out, new_path(t.spark, "checkpoint"))
     return t.spark.read.parquet(out)
 
@@ -94,16 +112,45 @@ def _(t):
 @query(
     "stream_dedup",
     "asset_id:s n:i",
-    f"WITH {TELEMETRY_SQL} SELECT asset_id, count(DISTINCT timestamp_utc) AS n FROM telemetry GROUP BY asset_id",
+    f"WITH {LANDING_SQL} SELECT asset_id, count(DISTINCT timestamp_utc) AS n FROM landings WHERE NOT behind GROUP BY asset_id",
 )
 def _(t):
+    """One copy of each asset and hour; keys are forgotten three hours later, and readings behind that are left out."""
     out = new_path(t.spark, "dedup")
-    ingest.append_table(
-        ingest.dedup_stream(telemetry_stream(t), "60 days"), out, new_path(t.spark, "checkpoint")
-    )
+    ingest.append_table(ingest.dedup_stream(landed_in_time(t), "3 hours"), out, new_path(t.spark, "checkpoint"))
     return t.spark.read.parquet(out).groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def split_landings(t):
+    main, late = new_path(t.spark, "main"), new_path(t.spark, "late")
+    ingest.run_batches(landed_in_time(t), ingest.split_behind(main, late, 3 * 3600), new_path(t.spark, "checkpoint"))
+    return main, late
+
+
+@query(
+    "stream_behind",
+    "part:s batch_id:i n:i first_id:i last_id:i",
+    f"""WITH {LANDING_SQL} SELECT CASE WHEN behind THEN 'late' ELSE 'main' END AS part, CASE WHEN behind THEN period + 3 ELSE period END AS batch_id,
+      count(*) AS n, min(event_sequence) AS first_id, max(event_sequence) AS last_id FROM landings GROUP BY 1, 2""",
+)
+def _(t):
+    """Readings behind the watermark of their batch, and the others."""
+    parts = [t.spark.read.parquet(p).withColumn("part", F.lit(n)) for n, p in zip(("main", "late"), split_landings(t), strict=True)]
+    return parts[0].unionByName(parts[1]).groupBy("part", "batch_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_sequence").alias("first_id"), F.max("event_sequence").alias("last_id")
+    )
+
+
+@query("stream_behind_merge", GOLD_SPEC, f"WITH {GOLD_SQL} SELECT * FROM gold")
+def _(t):
+    """The mart of the readings before the watermark, with those behind it merged into their hours: nothing is lost."""
+    main, late = split_landings(t)
+    bronze, gold = new_path(t.spark, "bronze"), new_path(t.spark, "gold")
+    ingest.refresh_gold(bronze, gold)(t.spark.read.parquet(main).drop("batch_id"), 0)
+    ingest.merge_late(late, bronze, gold)(t.spark, 0)
+    return t.spark.read.parquet(gold)
+
+
 @query(
     "late_events",
     "event_sequence:i asset_id:s timestamp_utc:t ingested_at:t",

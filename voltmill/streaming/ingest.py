@@ -147,6 +147,35 @@ def split_late(main: str, late: str, delay_seconds: int) -> Callable[[DataFrame,
     return handle
 
 
+def split_behind(main: str, late: str, delay_seconds: int, ts: str = "timestamp_utc") -> Callable[[DataFrame, int], None]:
+    """Batch handler that writes rows behind the watermark to ``late`` and all others to ``main``, by batch.
+
+    The watermark of a batch is the newest event time of all batches before it
+    less the delay, so no row is lost where a stateful operator with the same
+    delay reads ``main``: its own watermark follows a batch later. Each batch
+    leaves its mark beside ``main``, one row that already covers the batches
+    before, and a repeated batch replaces its rows and its mark. ``late`` can
+    be given to ``merge_late``. Rows without a time stay in ``main``.
+    """
+    marks = f"{main}-marks"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema("newest timestamp").parquet(f"{marks}/batch_id={batch_id - 1}").first()[0] if batch_id else None
+        newest = F.lit(before).cast("timestamp")
+        behind = F.coalesce(F.unix_micros(ts) < F.unix_micros(newest) - delay_seconds * 1_000_000, F.lit(False))
+        marked = batch.withColumn("_late", behind).persist()
+        try:
+            for path, wanted in ((main, False), (late, True)):
+                marked.filter(F.col("_late") == wanted).drop("_late").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            mark = marked.agg(F.greatest(F.max(ts), newest).alias("newest"))
+            mark.write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
+        finally:
+            marked.unpersist()
+
+    return handle
+
+
 def portfolio_hourly_stream(df: DataFrame, delay: str = "1 hour", ts: str = "timestamp_utc") -> DataFrame:
     """Hourly mart on the stream; an hour is emitted once the watermark has passed it.
 
