@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voltmill.session import new_path
 from voltmill.functions import physics, text
 from voltmill.operators import (
     anomaly,
@@ -457,10 +458,30 @@ def test_content_hash_ignores_order_but_not_content(spark):
     assert value(df) != value(df.withColumn("v", F.col("v") + 1))
 
 
-def test_lineage_and_evidence(spark):
-    edges = governance.lineage([("Bronze", spark.range(5)), ("Silver", spark.range(3)), ("Gold", spark.range(0))], "r")
-    assert [(r.rows_in, r.rows_out, r.status) for r in edges.orderBy("position").collect()] == [
-        (5, 3, "verified"), (3, 0, "empty")]
+def test_lineage_is_recorded_by_the_run(spark):
+    """Counts come from the writes; a repeated run stands once, others stay, a failed stage is on record."""
+    stages = [
+        governance.Stage("Bronze", lambda _: spark.range(50).repartition(7), {"small": "id < 45", "odd": "id % 2 = 1"}),
+        governance.Stage("Silver", lambda rows: rows.where("id < 30").groupBy("id").count(), {"once": "count = 1"}),
+        governance.Stage("Gold", lambda rows: rows.where("id < 0")),
+    ]
+    root, ledger = new_path(spark, "run"), new_path(spark, "ledger")
+    for run in ("r", "other", "r"):
+        out = governance.run_stages(spark, stages, root, ledger, run)
+    assert {name: df.count() for name, df in out.items()} == {"Bronze": 50, "Silver": 30, "Gold": 0}
+    edges = governance.lineage(spark, ledger, "r").orderBy("position").collect()
+    assert [(r.position, r.source, r.target, r.rows_in, r.rows_out, r.status) for r in edges] == [
+        (0, "Bronze", "Silver", 50, 30, "verified"), (1, "Silver", "Gold", 30, 0, "empty")]
+    counts = governance.rule_counts(spark, ledger, "r").collect()
+    assert {(r.stage, r.rule): (r.violations, r.row_count) for r in counts} == {
+        ("Bronze", "small"): (5, 50), ("Bronze", "odd"): (25, 50), ("Silver", "once"): (0, 30)}
+    broken = governance.Stage("Silver", lambda rows: rows.select(F.raise_error(F.lit("no")).alias("x")))
+    with pytest.raises(Exception, match="no"):
+        governance.run_stages(spark, [stages[0], broken], root, ledger, "r")
+    runs = governance.read_ledger(spark, ledger).orderBy("run_id", "position").collect()
+    assert [(r.run_id, r.target, r.rows_out, r.status) for r in runs] == [
+        ("other", "Bronze", 50, "violated"), ("other", "Silver", 30, "verified"), ("other", "Gold", 0, "empty"),
+        ("r", "Bronze", 50, "violated"), ("r", "Silver", None, "failed")]
 
 
 # --- sources ---

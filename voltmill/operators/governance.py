@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 
 from voltmill.operators.quality import schema_fingerprint
 from voltmill.operators.series import number_rows
+from voltmill.operators.silver import expect
 from voltmill.session import materialize
 from voltmill.sources.tables import file_checksums
 
@@ -186,24 +189,72 @@ def evidence_hash(columns: Sequence[str]) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(canonical(columns), 256))
 
 
-def lineage(stages: Sequence[tuple[str, DataFrame]], run_id: str) -> DataFrame:
-    """One edge per neighbouring pair of stages with the rows on both sides."""
-    edges = None
-    counts = [
-        (name, df.agg(F.count(F.lit(1)).alias("n")).scalar()) for name, df in stages
-    ]
-    spark = stages[0][1].sparkSession
-    for order, ((source, rows_in), (target, rows_out)) in enumerate(zip(counts, counts[1:], strict=False)):
-        edge = spark.range(1).select(
-            F.lit(run_id).alias("run_id"),
-            F.lit(order).alias("position"),
-            F.lit(source).alias("source"),
-            F.lit(target).alias("target"),
-            rows_in.alias("rows_in"),
-            rows_out.alias("rows_out"),
-        ).withColumn("status", F.when(F.col("rows_out") > 0, "verified").otherwise("empty"))
-        edges = edge if edges is None else edges.unionByName(edge)
-    return edges
+LEDGER = (
+    "position int, source string, target string, rows_in bigint, rows_out bigint, violations map<string,bigint>,"
+    " schema_hash string, status string, started_at timestamp, finished_at timestamp, run_id string"
+)
+
+
+@dataclass(frozen=True)
+class Stage:
+    """A table of a run: made by ``build`` from the table before (None for the first), with rules that its rows should keep."""
+
+    name: str
+    build: Callable[[DataFrame | None], DataFrame]
+    rules: dict[str, str] = field(default_factory=dict)
+
+
+def run_stages(spark: SparkSession, stages: Sequence[Stage], root: str, ledger: str, run_id: str) -> dict[str, DataFrame]:
+    """Write every stage below ``root`` and record the run in the append table ``ledger``; returns the tables read back.
+
+    Rows and broken rules are counted by the write itself, at its last
+    operator: a task that runs again counts once, and no table is read to be
+    counted. A stage's input is what the stage before has written. The rows of
+    a run are one partition of the ledger, so a repeated run replaces its own
+    and other runs stay. A stage that fails is recorded as failed, without
+    counts, and ends the run.
+    """
+    tables, records = {}, []
+    before, rows_in, source = None, None, None
+    try:
+        for position, stage in enumerate(stages):
+            started = datetime.now(UTC)
+            path = f"{root}/run_id={run_id}/{stage.name}"
+            try:
+                watched, observed = expect(stage.build(before), stage.rules, "warn")
+                watched.write.mode("overwrite").option("compression", "zstd").parquet(path)
+            except Exception:
+                records.append((position, source, stage.name, rows_in, None, None, None, "failed", started, datetime.now(UTC), run_id))
+                raise
+            counts = dict(observed.get)
+            rows = counts.pop("rows")
+            status = "empty" if not rows else "violated" if any(counts.values()) else "verified"
+            fingerprint = schema_fingerprint(watched)
+            records.append((position, source, stage.name, rows_in, rows, counts, fingerprint, status, started, datetime.now(UTC), run_id))
+            before = tables[stage.name] = spark.read.schema(watched.schema).parquet(path)
+            rows_in, source = rows, stage.name
+    finally:
+        # one row for each stage
+        rows = spark.createDataFrame(records, LEDGER)
+        rows.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(ledger)
+    return tables
+
+
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    """All recorded runs."""
+    return spark.read.schema(LEDGER).parquet(ledger)
+
+
+def lineage(spark: SparkSession, ledger: str, run_id: str) -> DataFrame:
+    """One edge per neighbouring pair of stages of a run, with the rows on both sides."""
+    edges = read_ledger(spark, ledger).where((F.col("run_id") == run_id) & F.col("source").isNotNull())
+    return edges.select("run_id", (F.col("position") - 1).alias("position"), "source", "target", "rows_in", "rows_out", "status")
+
+
+def rule_counts(spark: SparkSession, ledger: str, run_id: str) -> DataFrame:
+    """Rows that break a rule, for each stage and rule of a run."""
+    recorded = read_ledger(spark, ledger).where(F.col("run_id") == run_id)
+    return recorded.select("run_id", F.col("target").alias("stage"), F.explode("violations").alias("rule", "violations"), F.col("rows_out").alias("row_count"))
 
 
 def ingestion_status(results: DataFrame) -> DataFrame:

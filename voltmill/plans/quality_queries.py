@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voltmill.operators import quality, silver
+from voltmill.operators import governance, quality, silver
 from voltmill.plans.registry import query
 from voltmill.plans.telemetry import SILVER_SQL, TELEMETRY_SQL
+from voltmill.session import new_path
 
 
 @query(
@@ -96,12 +97,11 @@ def _(t):
         AND power_mw <= installed_capacity_mw * CAST(1.03 AS DOUBLE)), FALSE) = FALSE), count(*) FROM telemetry""",
 )
 def _(t):
-    rules = {**silver.SILVER_RULES, **silver.POWER_RULE}
-    counts = t.telemetry.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        *[F.count_if(~F.coalesce(F.expr(text), F.lit(False))).alias(name) for name, text in rules.items()],
-    )
-    return counts.unpivot(["row_count"], list(rules), "rule", "violations")
+    """Broken rules as the write of the table counts them, from the ledger of the run."""
+    stage = governance.Stage("Bronze", lambda _: t.telemetry, {**silver.SILVER_RULES, **silver.POWER_RULE})
+    ledger = new_path(t.spark, "ledger")
+    governance.run_stages(t.spark, [stage], new_path(t.spark, "run"), ledger, "run-1")
+    return governance.rule_counts(t.spark, ledger, "run-1")
 
 
 @query(
