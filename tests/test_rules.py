@@ -661,3 +661,13 @@ def test_text_helpers(spark):
     assert one(spark, text.redact_path(F.lit("/var/x/secret.json"), "/srv")) == "redacted-local-path/secret.json"
     assert one(spark, text.cause_label(F.lit("some_new_cause"))) == "some new cause"
     assert one(spark, text.technology_label(F.lit("tidal"))) == "tidal"
+
+
+def test_sun_over_a_year_and_a_day(spark):
+    """Noon height is 90 degrees less the distance from latitude to declination; nights are dark and clouds dim."""
+    rows = [(dt.datetime(2023, 6, 21, 12), 40.0, 0.0), (dt.datetime(2023, 12, 21, 12), 40.0, 0.0), (dt.datetime(2023, 6, 21, 0), 40.0, 0.0), (dt.datetime(2023, 6, 21, 12), 40.0, 1.0), (None, 40.0, 0.0)]
+    df = spark.createDataFrame(rows, "ts timestamp, lat double, cloud double").coalesce(1)
+    sun = physics.solar_irradiance(F.col("ts"), F.col("lat"), F.col("cloud"))
+    got = df.select(F.degrees(F.asin(physics.solar_elevation(F.col("ts"), F.col("lat")))).alias("h"), sun.alias("g")).collect()
+    assert got[0].h == pytest.approx(73.45, abs=0.05) and got[1].h == pytest.approx(26.55, abs=0.05)
+    assert got[2].g == 0.0 and got[0].g > 2 * got[1].g > 0 and got[3].g == pytest.approx(0.25 * got[0].g) and got[4].g is None

@@ -295,18 +295,21 @@ def _(t):
 @query(
     "solar_expected",
     "event_sequence:i irradiance_ref_wm2:d expected_ref_mw:d",
-    f"""WITH {TELEMETRY_SQL}, sky AS (
-      SELECT event_sequence, installed_capacity_mw, temperature_c,
-        least(greatest(1020 * greatest(sin((extract(hour FROM ingested_at) + extract(minute FROM ingested_at) / CAST(60 AS DOUBLE) - CAST(5.8 AS DOUBLE)) * pi() / CAST(13.7 AS DOUBLE)), 0)
-          * (CAST(0.84 AS DOUBLE) + CAST(0.16 AS DOUBLE) * sin((extract(doy FROM ingested_at) - 80) * (2 * pi()) / 365))
-          * (1 - CAST(0.68 AS DOUBLE) * cloud_cover_fraction), 0), 1100) AS irradiance_ref_wm2
-      FROM telemetry WHERE technology = 'solar')
+    f"""WITH {TELEMETRY_SQL}, angles AS (
+      SELECT event_sequence, installed_capacity_mw, temperature_c, cloud_cover_fraction, radians(36 + CAST(substr(asset_id, 5, 2) AS DOUBLE)) AS phi,
+        radians(CAST(23.45 AS DOUBLE) * sin(2 * pi() * (284 + extract(doy FROM ingested_at)) / 365)) AS decl,
+        radians(15 * (extract(hour FROM ingested_at) + extract(minute FROM ingested_at) / CAST(60 AS DOUBLE) - 12)) AS angle
+      FROM telemetry WHERE technology = 'solar'),
+    heights AS (SELECT *, sin(phi) * sin(decl) + cos(phi) * cos(decl) * cos(angle) AS h FROM angles),
+    sky AS (SELECT *, CASE WHEN h > 0 THEN 1098 * h * exp(CAST(-0.057 AS DOUBLE) / h) ELSE 0 END
+        * (1 - CAST(0.75 AS DOUBLE) * pow(cloud_cover_fraction, CAST(3.4 AS DOUBLE))) AS irradiance_ref_wm2 FROM heights)
     SELECT event_sequence, irradiance_ref_wm2, installed_capacity_mw * irradiance_ref_wm2 / 1000
-      * least(greatest(1 - CAST(0.0038 AS DOUBLE) * greatest(temperature_c - 25, 0), CAST(0.82 AS DOUBLE)), CAST(1.02 AS DOUBLE))
-      * CAST(0.975 AS DOUBLE) AS expected_ref_mw FROM sky""",
+      * greatest(1 - CAST(0.0047 AS DOUBLE) * (temperature_c + irradiance_ref_wm2 * CAST(0.03125 AS DOUBLE) - 25), 0) * CAST(0.86 AS DOUBLE) AS expected_ref_mw FROM sky""",
 )
 def _(t):
-    sun = physics.solar_irradiance(F.col("ingested_at"), F.col("cloud_cover_fraction"))
+    """Plants lie on latitudes by their numbers."""
+    latitude = 36 + F.substring("asset_id", 5, 2).cast("double")
+    sun = physics.solar_irradiance(F.col("ingested_at"), latitude, F.col("cloud_cover_fraction"))
     power = physics.solar_expected(
         F.col("installed_capacity_mw"), F.col("irradiance_ref_wm2"), F.col("temperature_c")
     )
@@ -332,10 +335,10 @@ def _(t):
 @query(
     "derived_signals",
     "event_sequence:i reactive_power_mvar:d module_temperature_c:d inverter_temperature_est_c:d dc_current_a:d",
-    f"""WITH {TELEMETRY_SQL} SELECT event_sequence, power_mw * CAST(0.08 AS DOUBLE) AS reactive_power_mvar,
-      CASE WHEN technology = 'solar' THEN temperature_c + irradiance_wm2 * CAST(0.028 AS DOUBLE) END AS module_temperature_c,
-      CASE WHEN technology = 'solar' AND power_mw IS NOT NULL THEN temperature_c + greatest(power_mw, 0) / greatest(installed_capacity_mw, 1) * 21 END AS inverter_temperature_est_c,
-      CASE WHEN technology = 'solar' AND power_mw IS NOT NULL THEN greatest(power_mw, 0) * 1000 / 760 END AS dc_current_a
+    f"""WITH {TELEMETRY_SQL} SELECT event_sequence, power_mw * tan(acos(CAST(0.95 AS DOUBLE))) AS reactive_power_mvar,
+      CASE WHEN technology = 'solar' THEN temperature_c + irradiance_wm2 * CAST(25 AS DOUBLE) / 800 END AS module_temperature_c,
+      CASE WHEN technology = 'solar' AND power_mw IS NOT NULL THEN temperature_c + 25 * greatest(power_mw, 0) / installed_capacity_mw END AS inverter_temperature_est_c,
+      CASE WHEN technology = 'solar' AND power_mw IS NOT NULL THEN greatest(power_mw, 0) * 1000 END AS dc_current_a
     FROM telemetry""",
 )
 def _(t):
