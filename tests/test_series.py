@@ -255,6 +255,8 @@ def test_nearest_asof_with_copies_nulls_and_clashing_names(spark):
     got = {r.n: (r.matched_ts, r.matched_v, r.matched_tag) for r in out.collect()}
     none = (None, None, None)
     assert got == {0: (at(0), 5.0, "x"), 1: (at(0), 5.0, "x"), 2: (at(0), 5.0, "x"), 3: (at(60), 7.0, "q"), 4: none, 9: (at(90), 8.0, "z"), 10: none}
+    alone = joins.nearest_asof(out.select("k", "ts", "n"), out.where("n = 3").select("k", "ts"), ["k"], "ts", "ts", [])
+    assert {r.n: r.matched_ts for r in alone.collect()} == {n: at(55) if n < 4 else None for n in (0, 1, 2, 3, 4, 9, 10)}
     assert joins.nearest_asof(out.select("k", "ts").limit(0), out.select("k", "ts", "v"), ["k"], "ts", "ts", ["v"]).count() == 0
 
 

@@ -118,12 +118,14 @@ def nearest_asof(
     if tolerance_seconds is not None:
         at = F.when(F.least(back, ahead) <= tolerance_seconds * 1_000_000, at)
     hits = known.select(*(F.col(k).alias(f"_k_{k}") for k in by), F.col("_time").alias("_asked_at"), at.alias("matched_ts"))
-    stored = (
-        right.groupBy(*(F.col(k).alias(f"_r_{k}") for k in by), F.col(right_ts).alias("_at"))
-        .agg(F.min(F.struct(*payload)).alias("_match"))
-        .select(*(f"_r_{k}" for k in by), "_at", *(F.col(f"_match.{c}").alias(f"matched_{c}") for c in payload))
-    )
-    fetched = hits.join(stored, [*(F.col(f"_k_{k}").eqNullSafe(F.col(f"_r_{k}")) for k in by), F.col("matched_ts") == F.col("_at")], "left")
+    fetched = hits
+    if payload:
+        stored = (
+            right.groupBy(*(F.col(k).alias(f"_r_{k}") for k in by), F.col(right_ts).alias("_at"))
+            .agg(F.min(F.struct(*payload)).alias("_match"))
+            .select(*(f"_r_{k}" for k in by), "_at", *(F.col(f"_match.{c}").alias(f"matched_{c}") for c in payload))
+        )
+        fetched = hits.join(stored, [*(F.col(f"_k_{k}").eqNullSafe(F.col(f"_r_{k}")) for k in by), F.col("matched_ts") == F.col("_at")], "left")
     own = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by]
     return left.join(fetched, [*own, F.col(left_ts) == F.col("_asked_at")], "left").select(*left.columns, "matched_ts", *(f"matched_{c}" for c in payload))
 
