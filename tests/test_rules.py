@@ -3,8 +3,10 @@
 import datetime as dt
 import json
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -638,6 +640,52 @@ def test_a_client_that_is_never_calm_is_spread(spark, monkeypatch, rounds):
     assert all(part.count() < decisions[0].count() for part in decisions[1:])
 
 
+def test_requests_travel_without_null_lists(spark, monkeypatch):
+    """Arrow's writer goes back to the last list that is no null for each null, so a run of them takes quadratic time."""
+
+    def strict(limit, window_s, own=monitors._decide):
+        def flag(batches):
+            def seen():
+                for batch in batches:
+                    assert batch.column("_entry").null_count == 0
+                    yield batch
+
+            return own(limit, window_s)(seen())
+
+        return flag
+
+    monkeypatch.setattr(monitors, "_decide", strict)
+    seconds = [0.5 * i for i in range(300)]
+    flagged = monitors.rate_flag(logs_of(spark, seconds), limit=4, window_s=7, chunk_rows=100).collect()
+    assert {r.request_id for r in flagged if r.limited} == sequential([("c", s, i) for i, s in enumerate(seconds)], 4, 7)
+
+
+def test_limited_requests_are_not_gone_through_one_by_one():
+    """The decision takes Python steps for accepted requests only."""
+    rows = 20_000
+    schema = pa.schema([("client", pa.string()), ("_bucket", pa.int64()), ("request_id", pa.int64()), ("_us", pa.int64()), ("_entry", pa.list_(pa.int64()))])
+    columns = [["c"] * rows, [0] * rows, [None, *range(rows - 1)], [None, *range(0, 1000 * (rows - 1), 1000)], [[-500]] + [[]] * (rows - 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    steps, out = 0, []
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        out = list(monitors._decide(2, 1)(iter([batch])))
+    finally:
+        sys.settrace(before)
+    decided = [r for part in out for r in part.to_pylist() if r["_exit"] is None]
+    times = [-500, *range(0, 1000 * (rows - 1), 1000)]
+    limited = sequential([("c", at, i) for i, at in enumerate(times)], 2, 1_000_000)
+    assert {r["request_id"] + 1 for r in decided if r["limited"]} == limited
+    assert len(decided) == rows - 1 and steps < 1000
+
+
 def test_rate_flag_of_odd_rows(spark):
     rows = [("a", None, 1), (None, START, 2), ("a", START, 3), ("a", START, 4), ("a", START, 5), ("b", START, None)]
     frame = spark.createDataFrame(rows, "client string, ts timestamp, request_id long")

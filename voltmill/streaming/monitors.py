@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +23,8 @@ RATE_LIMIT = 120
 RATE_WINDOW_S = 60
 #: Rounds in which chunks of a client's requests run side by side before it goes on in order.
 RATE_ROUNDS = 6
+#: Greatest time in microseconds.
+LAST_US = 2**63 - 1
 
 
 def silence(df: DataFrame, max_silence_s: int, now: Column, ts: str = "timestamp_utc") -> DataFrame:
@@ -152,8 +156,29 @@ def hourly_errors(logs: DataFrame, ts: str = "ts") -> DataFrame:
     )
 
 
+def _admit(at: np.ndarray, accepted: list[int], limit: int, span: int) -> tuple[list[int], list[int]]:
+    """Places of the accepted ones among requests at the ascending times ``at``, and the accepted times to go on with.
+
+    A request is accepted from the place on at which the ``limit``-th accepted time before it leaves the window, so
+    the loop steps from one accepted request to the next, however many limited ones lie between.
+    """
+    if limit <= 0:
+        return [], []
+    leaves = lambda times: np.searchsorted(at, np.minimum(times, LAST_US - span) + span).tolist()
+    after, taken, place = leaves(at), [], -1
+    free = [0] * (limit - len(accepted)) + leaves(np.array(accepted, np.int64))
+    for k in range(len(at)):
+        place = max(place + 1, free[k])
+        if place >= len(at):
+            break
+        taken.append(place)
+        free.append(after[place])
+    accepted = [*accepted, *at[taken[-limit:]].tolist()][-limit:]
+    return taken, [a for a in accepted if a > int(at[-1]) - span]
+
+
 def _decide(limit: int, window_s: float):
-    """Flag requests in order; a row without a request brings the accepted times that the rows after it enter with.
+    """Flag requests in order; a row without a time brings the accepted times that the rows after it enter with.
 
     Each chunk ends with a row of the times it entered and leaves with, and of its first request. Rows without a state
     before them go on from the chunk before.
@@ -161,32 +186,40 @@ def _decide(limit: int, window_s: float):
     span = int(window_s * 1_000_000)
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, entry, first, accepted = None, [], None, deque()
+        chunk, entry, first, accepted = None, [], None, []
         schema = None
         for batch in batches:
-            kinds = [batch.schema.field(c).type for c in ("client", "_bucket", "request_id", "_us")]
-            times = pa.list_(pa.int64())
-            names = ("client", "_bucket", "request_id", "_us", "limited", "_entry", "_exit")
-            schema = pa.schema(list(zip(names, [*kinds, pa.bool_(), times, times], strict=True)))
-            out: list[tuple] = []
-            for client, bucket, at, request, state in zip(*(batch.column(c).to_pylist() for c in ("client", "_bucket", "_us", "request_id", "_entry")), strict=True):
-                if chunk != (client, bucket):
+            names = ("client", "_bucket", "request_id", "_us")
+            clients, buckets, requests, times = (batch.column(c) for c in names)
+            kinds = [*(batch.schema.field(c).type for c in names), pa.bool_(), *[pa.list_(pa.int64())] * 2]
+            schema = pa.schema(list(zip([*names, "limited", "_entry", "_exit"], kinds, strict=True)))
+            states = batch.column("_entry")
+            opens = times.is_null().to_numpy(zero_copy_only=False)
+            at, limited, ends = times.fill_null(0).to_numpy(), np.ones(len(times), bool), []
+            begins = opens.copy()
+            begins[:1] = True
+            for key in (clients, buckets):
+                begins[1:] |= pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+            begins = np.flatnonzero(begins).tolist()
+            for low, high in zip(begins, [*begins[1:], len(times)], strict=True):
+                own = (clients[low].as_py(), buckets[low].as_py())
+                if chunk != own:
                     if chunk is not None:
-                        out.append((*chunk, None, first, None, entry, list(accepted)))
-                    chunk, entry, first = (client, bucket), list(accepted), None
-                if state is not None:
-                    entry, accepted = state, deque(state)
-                    continue
-                first = at if first is None else first
-                while accepted and accepted[0] <= at - span:
-                    accepted.popleft()
-                over = len(accepted) >= limit
-                if not over:
-                    accepted.append(at)
-                out.append((client, bucket, request, at, over, None, None))
-            yield _batch(out, schema)
+                        ends.append((*chunk, None, first, None, entry, accepted))
+                    chunk, entry, first = own, accepted, None
+                if opens[low]:
+                    entry = accepted = states[low].as_py()
+                    low += 1
+                if low < high:
+                    first = int(at[low]) if first is None else first
+                    taken, accepted = _admit(at[low:high], accepted, limit, span)
+                    limited[low:high][taken] = False
+            blank = pa.nulls(len(times), kinds[-1])
+            decided = pa.RecordBatch.from_arrays([clients, buckets, requests, times, pa.array(limited), blank, blank], schema=schema)
+            yield decided.filter(pa.array(~opens))
+            yield _batch(ends, schema)
         if chunk is not None:
-            yield _batch([(*chunk, None, first, None, entry, list(accepted))], schema)
+            yield _batch([(*chunk, None, first, None, entry, accepted)], schema)
 
     return flag
 
@@ -233,7 +266,8 @@ def rate_flag(
     def run(entries: DataFrame, turn: int, together: bool = False) -> DataFrame:
         """Decisions and exits of the chunks of ``entries``; a null entry goes on from the chunk before."""
         opens = entries.filter(F.col("_entry").isNotNull()).select(*key, "_entry")
-        body = rows.join(entries.select(*key), key, "left_semi").unionByName(opens, allowMissingColumns=True)
+        # requests carry an empty list: Arrow's writer takes time by the square of a run of null lists
+        body = rows.join(entries.select(*key), key, "left_semi").withColumn("_entry", none).unionByName(opens, allowMissingColumns=True)
         by = ["client"] if together else key
         ordered = body.repartition(*by).sortWithinPartitions(*key, F.asc_nulls_first("_us"), "request_id")
         schema = f"client {kind}, _bucket bigint, request_id {number}, _us bigint, limited boolean, _entry array<bigint>, _exit array<bigint>"
