@@ -404,6 +404,51 @@ def test_removed_event_is_found(spark):
     assert governance.verify_chain(chain).first().first_bad_index == 20
 
 
+def test_verification_shuffles_hashes_only(spark, monkeypatch):
+    """Contents are digested where they are read; neither they nor a copy of the events are written or shuffled."""
+    monkeypatch.setattr(governance, "SEQ_BUCKET", 10)
+    chain = chain_of(spark, 45).localCheckpoint()
+    monkeypatch.setattr(governance, "materialize", None)
+    first = lambda df: governance.verify_chain(df).first()
+    assert (first(chain).valid, first(chain).first_bad_index, first(chain).events) == (True, None, 45)
+    for bad in (0, 9, 10, 11, 44):
+        edited = chain.withColumn("result", F.when(F.col("seq") == bad, "edited").otherwise(F.col("result")))
+        assert first(edited).first_bad_index == bad
+    for low, high in ((0, 0), (9, 9), (10, 10), (20, 29)):
+        row = first(chain.filter(~F.col("seq").between(low, high)))
+        assert (row.first_bad_index, row.events) == (low, 44 - high + low)
+
+
+def test_chain_runs_on_over_buckets(spark, monkeypatch):
+    """Equal numbers too are linked in one order; chains do not mix and rows without a chain or number are left out."""
+    monkeypatch.setattr(governance, "SEQ_BUCKET", 7)
+    rows = [(c, i // 2 if c == "b" else i, str(i)) for c in "ab" for i in range(30)] + [(None, 1, "x"), ("a", None, "y")]
+    events = spark.createDataFrame(rows, "chain_id string, seq long, result string").repartition(5)
+    linked = governance.append_events(events).collect()
+    assert len(linked) == 60
+    for chain in "ab":
+        after = {r.previous_hash: r for r in linked if r.chain_id == chain}
+        last, numbers = "GENESIS", []
+        while last in after:
+            numbers.append(after[last].seq)
+            last = after[last].event_hash
+        assert numbers == sorted(seq for c, seq, _ in rows if c == chain and seq is not None)
+
+
+def test_lines_of_a_log_are_numbered_without_a_shuffle(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"event_id": "{name}{i:05d}"}}\n' for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        log = tables.read_audit(spark, str(tmp_path))
+        assert "Exchange hashpartitioning" not in log._jdf.queryExecution().executedPlan().toString()
+        found = log.orderBy("log_file", "line").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.event_id for r in found] == [f"{name}{i:05d}" for name in "ab" for i in range(5000)]
+    assert len({(r.log_file, r.line) for r in found}) == 10_000
+
+
 def test_genesis(spark):
     assert chain_of(spark, 3).orderBy("seq").first().previous_hash == "GENESIS"
 

@@ -8,12 +8,11 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltmill.operators.quality import schema_fingerprint
-from voltmill.operators.series import number_rows
 from voltmill.operators.silver import expect
 from voltmill.session import materialize
 from voltmill.sources.tables import file_checksums
@@ -119,30 +118,59 @@ def verify_manifests(spark: SparkSession, path: str, expected: DataFrame, glob:
     )
 
 
-def _numbered(events: DataFrame, chain: str, seq: str, columns: Sequence[str] | None) -> DataFrame:
-    """Events with their position in the chain and the digest of their content (all but chain and hashes)."""
+def _placed(events: DataFrame, chain: str, seq: str, columns: Sequence[str] | None) -> DataFrame:
+    """Events with the digest of their content (all but chain and hashes) and a bucket that grows with their sequence number.
+
+    Events without a chain or a number are left out.
+    """
     content = [c for c in columns or events.columns if c not in (chain, "previous_hash", "event_hash")]
-    digest = F.sha2(canonical(content, events.schema), 256)
+    digest = F.unhex(F.sha2(canonical(content, events.schema), 256))
     bucket = F.floor(F.col(seq) / SEQ_BUCKET).cast("long")
-    return number_rows(events.withColumn("_digest", digest), [chain], seq, bucket=bucket).drop("_bucket")
+    return events.withColumns({"_digest": digest, "_bucket": bucket}).where(F.col(chain).isNotNull() & F.col("_bucket").isNotNull())
 
 
 def _link(previous: Column, digest: Column) -> Column:
-    return F.sha2(F.concat(previous, F.lit("\n"), digest), 256)
+    return F.sha2(F.concat(previous, F.lit("\n"), F.lower(F.hex(digest))), 256)
+
+
+def _next_hash(last: str, digest: bytes) -> str:
+    return hashlib.sha256(f"{last}\n{digest.hex()}".encode()).hexdigest()
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash rows (chain, position, digest) in order; only the last hash is carried along."""
-    chain, last = None, ""
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Last hash before each bucket of ordered rows (chain, bucket, digest); only that hash is carried along."""
+    chain, bucket, last = None, None, GENESIS
     for batch in batches:
-        previous, hashes = [], []
-        for name, digest in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if name != chain or not last:
-                chain, last = name, GENESIS
-            previous.append(last)
-            last = hashlib.sha256(f"{last}\n{digest}".encode()).hexdigest()
-            hashes.append(last)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(previous), pa.array(hashes)], ["_chain", "_pos", "previous_hash", "event_hash"])
+        starts, entries = [], []
+        for row, (name, part, digest) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            if name != chain:
+                chain, bucket, last = name, None, GENESIS
+            if part != bucket:
+                bucket = part
+                starts.append(row)
+                entries.append(last)
+            last = _next_hash(last, digest)
+        at = pa.array(starts, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(entries, pa.string())], ["_chain", "_part", "_entry"])
+
+
+def _fold(chain: str):
+    """Add both hashes to rows ordered by chain and bucket, from the hash before each bucket on."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, ""
+        for batch in batches:
+            previous, hashes = [], []
+            for *place, entry, digest in zip(*(batch.column(c).to_pylist() for c in (chain, "_bucket", "_entry", "_digest")), strict=True):
+                if place != at:
+                    at, last = place, entry
+                previous.append(last)
+                last = _next_hash(last, digest)
+                hashes.append(last)
+            kept = batch.drop_columns(["_bucket", "_entry", "_digest"])
+            yield kept.append_column("previous_hash", pa.array(previous, pa.string())).append_column("event_hash", pa.array(hashes, pa.string()))
+
+    return fold
 
 
 def append_events(events: DataFrame, chain: str = "chain_id", seq: str = "seq", columns: Sequence[str] | None = None) -> DataFrame:
@@ -150,16 +178,22 @@ def append_events(events: DataFrame, chain: str = "chain_id", seq: str = "seq",
 
     The hash covers the previous hash and the digest of the event's content, so changing an event changes all later
     hashes and the head. A hash chain is sequential by nature: contents are digested in parallel, and only the digests
-    of a chain run through one task, row after row, with nothing held but the last hash.
+    of a chain run through one task, row after row, with nothing held but the last hash. That pass hands out the hash
+    before each bucket; the events themselves are shuffled once, by bucket, and linked there side by side. Equal
+    numbers are taken in the order of their digests, so that both passes agree.
     """
-    numbered = materialize(_numbered(events, chain, seq, columns), "events")
-    kind = events.schema[chain].dataType.simpleString()
-    light = numbered.select(F.col(chain).alias("_chain"), "_pos", "_digest")
-    ordered = light.repartition("_chain").sortWithinPartitions("_chain", "_pos")
-    links = ordered.mapInArrow(_fold, f"_chain {kind}, _pos bigint, previous_hash string, event_hash string").withColumnRenamed("_pos", "_at")
     kept = [c for c in events.columns if c not in ("previous_hash", "event_hash")]
-    same = F.col(chain).eqNullSafe(F.col("_chain")) & (F.col("_pos") == F.col("_at"))
-    return numbered.select(*kept, "_pos").join(links, same).select(*kept, "previous_hash", "event_hash")
+    # written, so that both passes see the same events
+    placed = materialize(_placed(events, chain, seq, columns).select(*kept, "_digest", "_bucket"), "events")
+    order = (chain, "_bucket", seq, "_digest")
+    light = placed.select(*dict.fromkeys(order)).repartition(chain).sortWithinPartitions(*order).select(chain, "_bucket", "_digest")
+    kind = events.schema[chain].dataType.simpleString()
+    entries = materialize(light.mapInArrow(_entries, f"_chain {kind}, _part bigint, _entry string"), "entries")
+    same = (F.col(chain) == F.col("_chain")) & (F.col("_bucket") == F.col("_part"))
+    ordered = placed.join(entries, same).drop("_chain", "_part").repartition(chain, "_bucket").sortWithinPartitions(*order)
+    fields = [T.StructField(c, events.schema[c].dataType) for c in kept]
+    hashes = [T.StructField(c, T.StringType()) for c in ("previous_hash", "event_hash")]
+    return ordered.mapInArrow(_fold(chain), T.StructType(fields + hashes))
 
 
 def verify_chain(events: DataFrame, chain: str = "chain_id", seq: str = "seq", columns: Sequence[str] | None = None, damaged: str | None = None) -> DataFrame:
@@ -167,20 +201,30 @@ def verify_chain(events: DataFrame, chain: str = "chain_id", seq: str = "seq", c
 
     An event is bad when its hash does not match its content, when its previous hash is not the one stored by its
     predecessor, or when the column ``damaged`` holds the text that could not be read. Every event is checked by
-    itself against its neighbour, so one chain is spread over all tasks.
+    itself, then against its neighbour in its bucket, so one chain is spread over all tasks and only hashes are
+    shuffled, once; the first event of a bucket is compared with the last one of the bucket before.
     """
-    numbered = materialize(_numbered(events, chain, seq, columns), "events")
-    before = numbered.select(F.col(chain).alias("_chain"), (F.col("_pos") + 1).alias("_next"), F.col("event_hash").alias("_stored"))
-    follows = F.col(chain).eqNullSafe(F.col("_chain")) & (F.col("_pos") == F.col("_next"))
-    expected = F.when(F.col("_pos") == 0, F.lit(GENESIS)).otherwise(F.col("_stored"))
-    good = F.col("previous_hash").eqNullSafe(expected) & F.col("event_hash").eqNullSafe(_link(F.col("previous_hash"), F.col("_digest")))
+    good = F.col("event_hash").eqNullSafe(_link(F.col("previous_hash"), F.col("_digest")))
     if damaged:
         good = good & F.col(damaged).isNull()
-    checked = numbered.join(before, follows, "left").withColumn("_bad", ~good)
-    return checked.groupBy(chain).agg(
-        (F.count_if("_bad") == 0).alias("valid"),
-        F.min(F.when(F.col("_bad"), F.col("_pos"))).alias("first_bad_index"),
-        F.count(F.lit(1)).alias("events"),
+    number = F.col(seq).alias("_seq")
+    hashes = _placed(events, chain, seq, columns).select(F.col(chain).alias("_chain"), "_bucket", number, "previous_hash", "event_hash", good.alias("_good"))
+    inside = Window.partitionBy("_chain", "_bucket").orderBy("_seq")
+    rows = hashes.withColumns({"_row": F.row_number().over(inside), "_before": F.lag("event_hash").over(inside)})
+    follows = (F.col("_row") == 1) | F.col("previous_hash").eqNullSafe(F.col("_before"))
+    buckets = rows.groupBy("_chain", "_bucket").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min(F.when(~(F.col("_good") & follows), F.col("_row"))).alias("_bad"),
+        F.max(F.when(F.col("_row") == 1, F.col("previous_hash"))).alias("_enters"),
+        F.max_by("event_hash", "_row").alias("_leaves"),
+    )
+    along = Window.partitionBy("_chain").orderBy("_bucket")
+    offset = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = buckets.withColumns({"_offset": offset, "_stored": F.lag("_leaves").over(along)})
+    expected = F.when(F.col("_offset") == 0, F.lit(GENESIS)).otherwise(F.col("_stored"))
+    first = F.when(F.col("_enters").eqNullSafe(expected), F.col("_bad")).otherwise(F.lit(1))
+    return placed.withColumn("_first", F.col("_offset") + first - 1).groupBy(F.col("_chain").alias(chain)).agg(
+        (F.count("_first") == 0).alias("valid"), F.min("_first").alias("first_bad_index"), F.sum("_n").alias("events")
     )
 
 

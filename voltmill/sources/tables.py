@@ -9,7 +9,7 @@ from urllib.parse import unquote
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -210,7 +210,8 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """Audit log in JSON lines, with ``log_file``, ``line`` and ``damaged``.
 
     ``line`` grows in the order of a file's lines. A line that is no valid event keeps its text in ``damaged``, so that
-    verification reports it; blank lines and a missing file give no rows.
+    verification reports it; blank lines and a missing file give no rows. The log is parsed once and written; its
+    lines are numbered by the first row of their block, without a shuffle.
     """
     schema = T.StructType([*AUDIT.fields, T.StructField("damaged", T.StringType())])
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -219,9 +220,12 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     read = spark.read.schema(schema).option("columnNameOfCorruptRecord", "damaged").option("recursiveFileLookup", True).json(path)
     # rows of a block come in the order of its lines, and a line takes a byte at least
     placed = read.select("*", F.col("_metadata.file_path").alias("log_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
-    number = F.row_number().over(Window.partitionBy("log_file", "_block").orderBy("_row"))
     lost = F.when(F.col("damaged").isNull() & F.col("event_id").isNull(), F.lit("no event_id")).otherwise(F.col("damaged"))
-    return placed.withColumns({"line": (F.col("_block") + number).cast("bigint"), "damaged": lost}).drop("_block", "_row")
+    parsed = materialize(placed.withColumn("damaged", lost), "audit-log")
+    # a row for each block, written, so that the join is planned by its size
+    blocks = materialize(parsed.groupBy("log_file", "_block").agg(F.min("_row").alias("_first")), "blocks")
+    numbered = parsed.join(blocks, ["log_file", "_block"]).withColumn("line", F.col("_block") + F.col("_row") - F.col("_first") + 1)
+    return numbered.select(*schema.names, "log_file", "line")
 
 
 def read_risks(spark: SparkSession, path: str) -> DataFrame:
